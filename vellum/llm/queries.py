@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import lm_score, suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2,
+    "op3_lm_score": lm_score.op3,
 }
 ORACLE: dict[str, str] = {}

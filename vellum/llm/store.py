@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import atexit
 import functools
+import mmap
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -83,9 +85,11 @@ def load(folder: str, name: str) -> np.ndarray | None:
     """The array, mapped into memory; None if there is none."""
     if path := _local(folder):
         path = f"{path}/{name}.npy"
-        if not os.path.exists(path):
+        try:
+            with open(path, "rb") as f:
+                return _mapped(f)
+        except FileNotFoundError:
             return None
-        return np.load(path, mmap_mode="r") if os.path.getsize(path) > 4096 else np.load(path)
     fs, p = _remote(folder)
     if fs.get_file_info(f"{p}/{name}.npy").type == 0:
         return None
@@ -93,9 +97,17 @@ def load(folder: str, name: str) -> np.ndarray | None:
     with fs.open_input_stream(f"{p}/{name}.npy") as f:
         shutil.copyfileobj(f, local)
     local.seek(0)
-    version = np.lib.format.read_magic(local)
-    shape, _, dtype = np.lib.format.read_array_header_1_0(local) if version == (1, 0) else np.lib.format.read_array_header_2_0(local)
-    return np.memmap(local, dtype, "r", local.tell(), shape) if shape[0] else np.zeros(shape, dtype)
+    return _mapped(local)
+
+
+def _mapped(f) -> np.ndarray:
+    """The array of an open .npy file; the mapping keeps no file descriptor where Python allows that."""
+    version = np.lib.format.read_magic(f)
+    shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+    if not shape[0]:
+        return np.zeros(shape, dtype)
+    at, kw = f.tell(), {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **kw), dtype, int(np.prod(shape)), at).reshape(shape)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,14 +119,15 @@ def shard_bits(spark: SparkSession) -> int:
     return max(4, (2 * partitions(spark) - 1).bit_length())
 
 
-def blobs(kind: int, shard: np.ndarray, rows: np.ndarray):
-    """Record batches of packed rows (2-d bytes), one for each shard, which must be sorted."""
+def blobs(kind: int, shard: np.ndarray, rows: np.ndarray | list[np.ndarray]):
+    """A record batch of packed rows, one blob for each shard, which must be sorted. Several arrays lie one after the other in each blob."""
+    parts = rows if isinstance(rows, list) else [rows]
     if len(shard) == 0:
         return
     at = np.flatnonzero(firsts_of(shard))
     ends = np.append(at[1:], len(shard))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(at), kind, np.int32)), pa.array(shard[at].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], names=["kind", "shard", "blob"]
+        [pa.array(np.full(len(at), kind, np.int32)), pa.array(shard[at].astype(np.int32)), pa.array([b"".join(p[a:b].tobytes() for p in parts) for a, b in zip(at, ends)], pa.binary())], names=["kind", "shard", "blob"]
     )
 
 
@@ -124,9 +137,13 @@ def firsts_of(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def columns(rows, dtype) -> np.ndarray:
-    """Structured rows of a blob."""
-    return np.frombuffer(rows, dtype)
+def split(blob: bytes, *widths: int) -> list[bytes]:
+    """The arrays of a blob, given each one's bytes a row."""
+    n, out, at = len(blob) // sum(widths), [], 0
+    for w in widths:
+        out.append(blob[at : at + n * w])
+        at += n * w
+    return out
 
 
 def as_bytes(rec: np.ndarray) -> np.ndarray:
@@ -145,3 +162,44 @@ def gather(batches) -> dict[tuple[int, int], list[bytes]]:
         for k, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             out.setdefault((k, s), []).append(x)
     return out
+
+
+def save_sorted(folder: str, name: str, key40: np.ndarray, values: np.ndarray) -> None:
+    """A sorted hash array: 40-bit keys as 256 offsets and 32-bit rests, and a row of values for each."""
+    save(folder, f"{name}.off", np.searchsorted(key40, np.arange(257, dtype=np.uint64) << np.uint64(32)).astype(np.uint32))
+    save(folder, f"{name}.key", (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    save(folder, f"{name}.val", values)
+
+
+def find_sorted(folder: str, name: str, key40: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, row) of each key, by binary search in the mapped arrays; row counts where found."""
+    off = load(folder, f"{name}.off")
+    key = load(folder, f"{name}.key")
+    if off is None or not len(key):
+        return np.zeros(len(key40), bool), np.zeros(len(key40), np.int64)
+    off = off.astype(np.int64)
+    sub, rest = (key40 >> np.uint64(32)).astype(np.int64), (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    lo, hi = off[sub], off[sub + 1]
+    end = hi.copy()
+    for _ in range(int((hi - lo).max()).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (key[np.minimum(mid, len(key) - 1)] < rest) & (lo < hi)
+        lo = np.where(less, mid + 1, lo)
+        hi = np.where(less, hi, mid)
+    row = np.minimum(lo, len(key) - 1)
+    return (lo < end) & (key[row] == rest), row
+
+
+def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=np.int64) -> np.ndarray:
+    """The values of 64-bit hashes in sharded sorted hash arrays; zeros where there are none."""
+    out = np.zeros((len(h), columns), dtype)
+    shard = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+    low = ((h << np.uint64(bits)) >> np.uint64(24))[order]
+    for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        a, b = ends[s], ends[s + 1]
+        hit, row = find_sorted(folder, f"{name}-{s}", low[a:b])
+        if hit.any():
+            out[order[a:b][hit]] = load(folder, f"{name}-{s}.val")[row[hit]]
+    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm_score, suffix_dedup
+from . import lang_id, lm_score, suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2,
     "op3_lm_score": lm_score.op3,
+    "op10_lang_id": lang_id.op10,
 }
 ORACLE: dict[str, str] = {}

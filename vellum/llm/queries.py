@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lang_id, lm_score, secret_scan, suffix_dedup, toxicity
+from . import bpe, lang_id, lm_score, near_dup, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.op2,
     "op3_lm_score": lm_score.op3,
     "op4_bpe": bpe.op4,
+    "op5_near_dup": near_dup.op5,
     "op6_toxicity": toxicity.op6,
     "op7_secret_scan": secret_scan.op7,
     "op10_lang_id": lang_id.op10,

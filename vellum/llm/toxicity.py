@@ -35,12 +35,11 @@ IDENTITY = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("ausländer", "einwanderer", "flüchtlinge"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("immigrés", "étrangers", "réfugiés"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("inmigrantes", "extranjeros", "refugiados"),
 )
 PREFIXES = (3, 4, 5, 6)
-WORD = vec.byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
 def words(data: np.ndarray, off: np.ndarray):
     c = vec.sums(vec.BYTE[vec.LOWER[data]])
-    s, e, first = vec.runs(WORD[data], off)
+    s, e, first = vec.runs(vec.WORD[data], off)
     return c, s, e, first
 
 

@@ -133,8 +133,5 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def crc32_text(ids: np.ndarray) -> np.ndarray:
-    """zlib.crc32 of each id as decimal text."""
-    import zlib
-
-    return np.array([zlib.crc32(b"%d" % i) for i in ids.tolist()], np.int64)
+#: Bytes of words: 0-9, A-Z, a-z and everything outside ASCII.
+WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lang_id, lm_score, near_dup, secret_scan, suffix_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, lang_id, lm_score, near_dup, secret_scan, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_secret_scan": secret_scan.op7,
     "op8_topk": topk.op8,
+    "op9_chat": chat.op9,
     "op10_lang_id": lang_id.op10,
 }
 ORACLE: dict[str, str] = {

@@ -28,6 +28,7 @@ from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -259,37 +260,27 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, tokens: bool = False, decoded: bool = False) -> DataFrame:
-    """docs(text, ...) -> its other columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text."""
+def encode_decode(docs: DataFrame, path: str | None = None, outputs: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256; with outputs also ids and the decoded text."""
     store.prepare(docs.sparkSession)
     path = path or vocabulary_path()
-    extra = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * tokens + ", decoded string" * decoded
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), extra])
 
     def run(batches):
         bpe = load(path)
         for b in batches:
-            n, h, d, ids_out, text_out = [], [], [], [], []
-            for text in b.column("text"):
-                ids = bpe.encode(text.as_py())
-                out = bpe.decode(ids)
-                n.append(len(ids) >> 2), h.append(hashlib.sha256(ids).hexdigest()), d.append(hashlib.sha256(out).hexdigest())
-                if tokens:
-                    ids_out.append(memoryview(ids).cast("I").tolist())
-                if decoded:
-                    text_out.append(out.decode())
-            names = [x for x in b.schema.names if x != "text"]
-            cols = [*(b.column(x) for x in names), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())]
-            names += ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if tokens:
-                cols.append(pa.array(ids_out, pa.list_(pa.int32()))), names.append("ids")
-            if decoded:
-                cols.append(pa.array(text_out, pa.string())), names.append("decoded")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return docs.mapInArrow(run, schema)
+            every = [bpe.encode(t.as_py()) for t in b.column("text")]
+            texts = [bpe.decode(x) for x in every]
+            digest = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+            n = np.array([len(x) >> 2 for x in every], np.int64)
+            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": digest(every), "decoded_sha256": digest(texts)}
+            if outputs:
+                flat = np.frombuffer(b"".join(every), "<u4").astype(np.int32)
+                cols |= {"ids": pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), flat), "decoded": pa.array(texts, pa.binary()).cast(pa.string())}
+            yield pa.RecordBatch.from_pydict(cols)
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_decode(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 WINDOW = 8
 BROADCAST_BYTES = 32 << 20
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -66,6 +68,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_i
     return per.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.size("hit").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", (F.size("items") >= least_items).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
+    """The rows of docs whose doc_id has no contaminated row."""
+    store.shared_base(docs.sparkSession)  # where checkpoint() writes
+    bad = decontaminate(docs, items, size, least_items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct().checkpoint()
+    side = F.broadcast(bad) if bad.count() * 16 <= BROADCAST_BYTES else bad
+    return docs.join(side, F.expr("doc_id <=> bad"), "left_anti")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     got = decontaminate(docs.select("doc_id", "text"), items)

@@ -40,6 +40,8 @@ FIT_DOCS, FIT_STRINGS = 6000, 400
 #: Candidates have these lengths, and this advantage a character in natural logarithms.
 LEAST, MOST, MARGIN = 16, 256, 0.35
 ALPHA = 0.05
+MASK = "[SECRET]"
+OUT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint"
 
 VALUE = vec.byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_=-"])
 HEXES = vec.byte_class(b"0123456789abcdef")
@@ -229,49 +231,75 @@ def hits(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(off, at, "right") - 1)
 
 
+def spans_of(data: np.ndarray, off: np.ndarray, grammars: Grammars | None) -> dict[int, tuple[list, list]]:
+    """By document: its base spans (start, kind, end, credential) and the spans that the grammars add, in code points."""
+    raw = data.tobytes()
+    out: dict[int, tuple[list, list]] = {}
+    for i in hits(data, off).tolist():
+        if got := base_spans(raw[off[i] : off[i + 1]].decode()):
+            out[i] = got, []
+    if grammars:
+        s, e, _ = vec.runs(VALUE[data], off)
+        keep = (e - s >= LEAST) & (e - s <= MOST)
+        s, e = s[keep], e[keep]
+        keep = grammars.advantage(data, s, e) > MARGIN
+        for x, y, i in zip(s[keep].tolist(), e[keep].tolist(), (np.searchsorted(off, s[keep], "right") - 1).tolist()):
+            at = len(raw[off[i] : x].decode())
+            base, more = out.get(i, ([], []))
+            if not any(at < q and p < at + y - x for p, _, q, _ in base):
+                more.append((at, at + y - x))
+                out[i] = base, more
+    return out
+
+
 def scan(docs: DataFrame, grammars: Grammars | None) -> DataFrame:
-    """docs(text, ...) -> its other columns and n_assign, n_access, n_hex, base_sha256, spans, n_spans."""
+    """docs(doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans."""
     store.prepare(docs.sparkSession)
     empty = hashlib.sha256(b"").hexdigest()
-    extra = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), extra])
 
     def run(batches):
         for b in batches:
             out = []
             for _, _, data, off in vec.texts(b):
-                raw, n = data.tobytes(), len(off) - 1
-                base: dict[int, tuple[str, list]] = {}
-                for i in hits(data, off).tolist():
-                    text = raw[off[i] : off[i + 1]].decode()
-                    if got := base_spans(text):
-                        base[i] = text, got
-                more: dict[int, list[tuple[int, int]]] = {}
-                if grammars:
-                    s, e, _ = vec.runs(VALUE[data], off)
-                    keep = (e - s >= LEAST) & (e - s <= MOST)
-                    s, e = s[keep], e[keep]
-                    keep = grammars.advantage(data, s, e) > MARGIN
-                    for x, y, i in zip(s[keep].tolist(), e[keep].tolist(), (np.searchsorted(off, s[keep], "right") - 1).tolist()):
-                        at = len(raw[off[i] : x].decode())
-                        if not any(at < q and p < at + y - x for p, _, q, _ in base.get(i, ("", ()))[1]):
-                            more.setdefault(i, []).append((at, at + y - x))
-                for i in range(n):
-                    if i not in base and i not in more:
+                found = spans_of(data, off, grammars)
+                for i in range(len(off) - 1):
+                    if i not in found:
                         out.append((0, 0, 0, empty, "", 0))
                         continue
-                    got = base.get(i, ("", []))[1]
-                    named = [f"{KINDS[k]}:{p}:{q}" for p, k, q, _ in got]
-                    every = sorted([(p, k, q) for p, k, q, _ in got] + [(p, len(KINDS), q) for p, q in more.get(i, ())])
-                    out.append((*(sum(k == j for _, k, _, _ in got) for j in range(3)), hashlib.sha256(",".join(named).encode()).hexdigest(), ",".join(f"{(*KINDS, 'format')[k]}:{p}:{q}" for p, k, q in every), len(every)))
-            names = [x for x in b.schema.names if x != "text"]
+                    base, more = found[i]
+                    named = [f"{KINDS[k]}:{p}:{q}" for p, k, q, _ in base]
+                    every = sorted([(p, k, q) for p, k, q, _ in base] + [(p, len(KINDS), q) for p, q in more])
+                    out.append((*(sum(k == j for _, k, _, _ in base) for j in range(3)), hashlib.sha256(",".join(named).encode()).hexdigest(), ",".join(f"{(*KINDS, 'format')[k]}:{p}:{q}" for p, k, q in every), len(every)))
             cols = list(zip(*out)) if out else [[]] * 6
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
-    return docs.mapInArrow(run, schema)
+
+def redact(docs: DataFrame, grammars: Grammars | None, mask: str = MASK) -> DataFrame:
+    """docs with each span (overlapping ones together) replaced by mask; n_chars, if there is such a column, follows."""
+    store.prepare(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts, sizes = b.column("text").to_pylist(), b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None
+            for lo, _, data, off in vec.texts(b):
+                for i, (base, more) in spans_of(data, off, grammars).items():
+                    text, out, at = texts[lo + i], [], 0
+                    for p, q in sorted([(p, q) for p, _, q, _ in base] + more):
+                        if p >= at:
+                            out += [text[at:p], mask]
+                        at = max(at, q)
+                    texts[lo + i] = "".join([*out, text[at:]])
+                    if sizes:
+                        sizes[lo + i] = len(texts[lo + i])
+            cols = {"text": texts} | ({"n_chars": sizes} if sizes else {})
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else b.column(f.name) for f in b.schema], schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs))
+    return scan(docs, fit(docs))

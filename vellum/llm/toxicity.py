@@ -145,31 +145,52 @@ def _fit(texts: list[np.ndarray], y: np.ndarray) -> Classifier:
     return Classifier(chosen, w, float(b))
 
 
-def score(docs: DataFrame, m: Classifier) -> DataFrame:
-    """docs(text, ...) -> its other columns, score, predicted."""
+def scores(batch, m: Classifier, bloom: np.ndarray) -> np.ndarray:
+    """The score of each text of a batch."""
+    total = []
+    for _, _, data, off in vec.texts(batch):
+        c, s, e, first = words(data, off)
+        f = features(c, s, e)
+        i, j = np.nonzero(bloom[(f >> U(44)).astype(np.int64)] & (f != 0))
+        at = np.searchsorted(m.features, f[i, j])
+        ok = m.features[np.minimum(at, len(m.features) - 1)] == f[i, j] if len(m.features) else np.zeros(len(i), bool)
+        pair = np.unique((np.searchsorted(first, i[ok], "right") - 1) * (len(m.features) + 1) + at[ok])  # present or absent
+        doc, col = pair // (len(m.features) + 1), pair % (len(m.features) + 1)
+        total.append(np.bincount(doc, m.weights[col] if len(col) else None, len(off) - 1))
+    z = (np.concatenate(total) if total else np.zeros(0)) + m.intercept
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _bloom(m: Classifier) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[(m.features >> U(44)).astype(np.int64)] = True
+    return out
+
+
+def score(docs: DataFrame, m: Classifier, held_out) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out (a boolean column), score, predicted."""
     store.prepare(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", score double, predicted int"
-    bloom = np.zeros(1 << 20, bool)
-    bloom[(m.features >> U(44)).astype(np.int64)] = True
+    bloom = _bloom(m)
 
     def run(batches):
         for b in batches:
-            total = []
-            for _, _, data, off in vec.texts(b):
-                c, s, e, first = words(data, off)
-                f = features(c, s, e)
-                i, j = np.nonzero(bloom[(f >> U(44)).astype(np.int64)] & (f != 0))
-                at = np.searchsorted(m.features, f[i, j])
-                ok = (at < len(m.features)) & (m.features[np.minimum(at, len(m.features) - 1)] == f[i, j]) if len(m.features) else np.zeros(len(i), bool)
-                doc = np.searchsorted(first, i[ok], "right") - 1
-                pair = np.unique(doc * (len(m.features) + 1) + at[ok])
-                total.append(np.bincount(pair // (len(m.features) + 1), m.weights[pair % (len(m.features) + 1)] if len(pair) else None, len(off) - 1))
-            z = (np.concatenate(total) if total else np.zeros(0)) + m.intercept
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            names = [x for x in b.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            p = scores(b, m, bloom)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    return docs.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, m: Classifier) -> DataFrame:
+    """The rows of docs that are not predicted toxic."""
+    store.prepare(docs.sparkSession)
+    bloom = _bloom(m)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(scores(b, m, bloom) < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -179,5 +200,4 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    m = fit(docs, learnable(labels))
-    return score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(5) == 0).alias("held_out")), m).select("doc_id", "held_out", "score", "predicted")
+    return score(docs, fit(docs, learnable(labels)), fold(5) == 0)

@@ -23,8 +23,8 @@ def counters(x: str = "text", regions: str = "0", confidence: str = "confidence"
 
 
 def disagreement(base: str, x: str) -> str:
-    """Levenshtein distance over the longer length; 0 if both are empty."""
-    return f"coalesce(levenshtein({base}, {x}) / nullif(greatest(char_length({base}), char_length({x})), 0), 0D)"
+    """Levenshtein distance over the longer length; 0 if both are empty. Its cost is the product of the lengths, but none for equal texts."""
+    return f"IF({base} = {x}, 0D, levenshtein({base}, {x}) / nullif(greatest(char_length({base}), char_length({x})), 0))"
 
 
 def length_ratio(base: str, x: str) -> str:

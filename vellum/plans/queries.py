@@ -74,9 +74,9 @@ LOG = f"""log_ AS (
     CASE event_type WHEN 'purchase' THEN 2 WHEN 'view' THEN 1 END AS processing_pass, CASE WHEN event_type = 'error' THEN 'error ' || CAST(event_id AS VARCHAR) END AS last_error FROM events
 ), now_ AS (SELECT * FROM log_ QUALIFY row_number() OVER (PARTITION BY book_id, page ORDER BY seq DESC) = 1),
 books_ AS (SELECT book_id, CAST(max(page) + CASE WHEN book_id = 'book3' THEN 2 ELSE 0 END AS INTEGER) AS page_count FROM log_ GROUP BY book_id)"""
-_H = "1000.0 / greatest(1, (len(ls) + 2) // 3)"
+_U = "(1000::DOUBLE / greatest(1, (len(ls) + 2) // 3))"
 REGIONS = f"""regions_ AS (
-  SELECT book_id, page, i, l AS text, CASE WHEN l LIKE '#%' THEN 'heading' WHEN i = 0 AND length(l) < 12 THEN 'header' ELSE 'body' END AS kind, CAST((i * 37) % 100 AS DOUBLE) AS x0, (i // 3) * ({_H}) + (i % 3) AS y0
+  SELECT book_id, page, i, l AS text, CASE WHEN l LIKE '#%' THEN 'heading' WHEN i = 0 AND length(l) < 12 THEN 'header' ELSE 'body' END AS kind, CAST((i * 37) % 100 AS DOUBLE) AS x0, ((i // 3) + 0.9::DOUBLE + (i % 3) / 100::DOUBLE) * {_U} AS y0, {_U} AS unit
   FROM (SELECT book_id, page, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS i FROM pages_) q, (SELECT 1) o, LATERAL (SELECT ls[i + 1] AS l) z
 )"""
 
@@ -352,7 +352,7 @@ def label_map(spark, sf_dir):
 
 #: Each page's blocks: the upper band, the whole left half, and a footer; lines of the right half of the middle lie outside.
 _BLOCKS = "array(struct('heading' AS kind, 0D AS x0, 0D AS y0, 5000D AS x1, 200D AS y1, 1 AS reading_order), struct('body' AS kind, 0D AS x0, 0D AS y0, 80D AS x1, 800D AS y1, 0 AS reading_order), struct('footer' AS kind, 0D AS x0, 800D AS y0, 5000D AS x1, 1000D AS y1, 2 AS reading_order))"
-ASSIGNED = rf"""centre_ AS (SELECT *, x0 + length(text) / 2.0 AS cx, y0 + 1000.0 / greatest(1, (n + 2) // 3) / 4 AS cy FROM (SELECT *, count(*) OVER (PARTITION BY book_id, page) AS n FROM regions_)),
+ASSIGNED = rf"""centre_ AS (SELECT *, x0 + length(text) / 2.0 AS cx, (y0 + (y0 + 0.08::DOUBLE * unit)) / 2 AS cy FROM regions_),
 assigned_ AS (SELECT *, CASE WHEN cx BETWEEN 0 AND 5000 AND cy BETWEEN 0 AND 200 THEN 1 WHEN cx BETWEEN 0 AND 80 AND cy BETWEEN 0 AND 800 THEN 0 WHEN cx BETWEEN 0 AND 5000 AND cy BETWEEN 800 AND 1000 THEN 2 ELSE 3 END AS ro FROM centre_),
 kinds_ AS (SELECT *, CASE WHEN ro = 2 AND regexp_full_match(trim(text, {_SP}), '[0-9٠-٩ivxlcIVXLC\-–—. ()\[\]]{{1,8}}') AND regexp_matches(text, '[0-9٠-٩]') THEN 'page_number' ELSE ['body', 'heading', 'footer', 'body'][ro + 1] END AS kind2 FROM assigned_)"""
 

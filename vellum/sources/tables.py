@@ -36,10 +36,13 @@ def pages(spark: SparkSession, sf_dir: str, script_pages: bool = True) -> DataFr
 
 
 def with_regions(pages: DataFrame, height: int = 1000) -> DataFrame:
-    """pages plus page_height and regions: one a line, three to a row of the page, its number of characters as its width."""
-    size = "greatest(1, (size(ls) + 2) div 3)"
-    top = f"(i div 3) * {height}D / {size} + (i % 3)"
-    region = f"struct(CASE WHEN l LIKE '#%' THEN 'heading' WHEN i = 0 AND char_length(l) < 12 THEN 'header' ELSE 'body' END AS kind, CAST((i * 37) % 100 AS double) AS x0, {top} AS y0, (i * 37) % 100 + char_length(l) + 0D AS x1, {top} + {height}D / {size} / 2 AS y1, l AS text, CAST(NULL AS double) AS confidence, CAST(NULL AS int) AS reading_order)"
+    """pages plus page_height and regions: one a line, three to a row of the page; a row's lines lie at its lower end, its number of characters is a line's width."""
+    unit = f"({height}D / greatest(1, (size(ls) + 2) div 3))"
+    top = f"((i div 3) + 0.9D + (i % 3) / 100D) * {unit}"
+    region = (
+        "struct(CASE WHEN l LIKE '#%' THEN 'heading' WHEN i = 0 AND char_length(l) < 12 THEN 'header' ELSE 'body' END AS kind, CAST((i * 37) % 100 AS double) AS x0, "
+        f"{top} AS y0, (i * 37) % 100 + char_length(l) + 0D AS x1, {top} + 0.08D * {unit} AS y1, l AS text, CAST(NULL AS double) AS confidence, CAST(NULL AS int) AS reading_order)"
+    )
     return pages.selectExpr("*", f"{height} AS page_height", t.let("ls", "split(text, '\\n')", f"transform(ls, (l, i) -> {region})") + " AS regions")
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: White space as Python's str.isspace() has it, in a Java pattern inside a SQL literal.
 SPACE = r"(?U)[\\s\\x1c-\\x1f]"
@@ -55,7 +56,7 @@ def repeats(sorted_array: str, times: int) -> str:
     return let("s", sorted_array, f"size(s) >= {times} AND exists(sequence(0, size(s) - {times}), i -> s[i] = s[i + {times - 1}])")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in one. ASCII text is passed on as it is."""
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -13,10 +13,11 @@ from ..schemas import PAGES_LOG
 
 
 def read_log(spark: SparkSession, path: str, strict: bool = True, schema: str = PAGES_LOG) -> DataFrame:
-    """A page log. strict raises on a malformed line; else its columns are null and _malformed holds the line."""
+    """A page log. strict raises on a malformed line; else such a line, one without an integer page, is in _malformed, and its columns are null."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(f"{schema}, _malformed string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).selectExpr("r.*", "IF(r.page IS NULL, value, NULL) AS _malformed")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

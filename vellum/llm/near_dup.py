@@ -12,10 +12,9 @@ common for that reason alone, still counts as equal to its copies.
    shingle's hash. Bands of ROWS samples are hashed with the bucket of the text's total weight; a text goes to
    two buckets so that any two of a ratio over 0.8 meet, and only those can be similar enough.
 3. Shingle vectors of texts that share a band are written once to the shared folder.
-4. Each group of a band is clustered around leaders, not by pairs: a text is verified against the leaders whose
-   samples agree often enough, then against members of a cluster that it isn't yet linked to, which the triangle
-   inequality of the Jaccard distance allows only for leaders at a distance under 0.4. Texts that a group
-   already links are not compared again. Vectors are read in place, so a large group needs no large memory.
+4. In each group of a band a text is verified only against texts of other components whose samples agree often
+   enough, best first, so a group whose texts are all alike costs one verification a text, not one a pair. A pair
+   that shares several bands is left to the first. Vectors are read in place.
 5. Components by least labels with pointer jumping, cut by checkpoint().
 
 A pair at exactly 0.8 shares a band with probability 0.999; at 0.9 with 0.999999.
@@ -40,13 +39,15 @@ from .vec import U
 
 SHINGLE, SIMILARITY, IDF = 5, 0.8, 0.2
 BANDS, ROWS = 10, 3
-#: Samples that two texts must share before they are verified: of 30, Binomial(30, 0.8) has fewer than 14 once in 100,000
-#: times; a leader at similarity 0.6 or more has at least 8 as surely.
-AGREE, AGREE_LEADER = 14, 8
-HELD = 4_000_000
+#: Samples that two texts must share before they are verified: of 30, Binomial(30, 0.8) has fewer than 14 once in
+#: 30,000 times.
+AGREE = 14
+#: Failures after which a text is compared with its whole group, if that has up to so many shingles.
+TRIES, GROUP_ITEMS = 6, 4_000_000
+HELD = 1_500_000
 _MAX = (1 << 63) - 1
 _KEYS = vec.mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
-_BAND = np.dtype([("key", "<u8"), ("node", "<u8"), ("sig", "u1", (BANDS * ROWS,))])
+_BAND = np.dtype([("key", "<u8"), ("node", "<u8"), ("band", "u1"), ("sig", "u1", (BANDS * ROWS,))])
 _NODE = np.dtype([("th", "<u8"), ("doc", "<i8")])
 
 
@@ -141,50 +142,82 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def cluster(nodes: np.ndarray, sig: np.ndarray, vector, union: Union) -> None:
-    """Links the near duplicates of one band's group; union knows what is linked already."""
-    leaders: list[int] = []  # index of each cluster's leader
-    members: list[list[int]] = []
-    lead_sig = np.zeros((16, sig.shape[1]), np.uint8)
+class Group:
+    """Shingle vectors of one group by local numbers, so that one text is compared with all others at once."""
+
+    def __init__(self, vectors: list):
+        n = np.array([len(v[0]) for v in vectors])
+        self.start = np.cumsum(n) - n
+        self.vocabulary, self.at = np.unique(np.concatenate([v[0] for v in vectors]), return_inverse=True)
+        self.w = np.concatenate([v[1] for v in vectors])
+        self.total = np.array([v[2] for v in vectors])
+        self.own = np.zeros(len(self.vocabulary), np.float32)
+        self.n = n
+
+    def similarities(self, x: int) -> np.ndarray:
+        mine = slice(self.start[x], self.start[x] + self.n[x])
+        self.own[self.at[mine]] = self.w[mine]
+        m = np.add.reduceat(np.minimum(self.own[self.at], self.w), self.start, dtype=float)
+        self.own[self.at[mine]] = 0
+        return m / (self.total + self.total[x] - m)
+
+
+def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union: Union) -> None:
+    """Links the near duplicates of one group; union knows what is linked already.
+
+    Each text is verified against earlier ones whose samples agree often enough, best first, until all of them are
+    in its component or verified; a text that fails TRIES times is compared with all at once. A pair that also
+    shares an earlier band is left to that band's group.
+    """
+    part = np.zeros(len(nodes), U)  # component of each earlier text
+    whole = None
     for x in range(len(nodes)):
         own = int(nodes[x])
-        placed = False
-        agree = (lead_sig[: len(leaders)] == sig[x]).sum(1)
-        for c in np.flatnonzero(agree >= AGREE_LEADER)[np.argsort(-agree[agree >= AGREE_LEADER], kind="stable")].tolist():
-            lead = int(nodes[leaders[c]])
-            linked = union.find(own) == union.find(lead)
-            if linked:
-                if not placed:
-                    members[c].append(x)
-                    placed = True
-                continue
-            if agree[c] >= AGREE and similarity(vector(own), vector(lead)) >= SIMILARITY:
-                union.join(own, lead)
-                if not placed:
-                    members[c].append(x)
-                    placed = True
-                continue
-            m = np.array(members[c])
-            close = (sig[m] == sig[x]).sum(1)
-            for y in m[close >= AGREE][np.argsort(-close[close >= AGREE], kind="stable")].tolist():
-                if y != leaders[c] and similarity(vector(own), vector(int(nodes[y]))) >= SIMILARITY:
-                    union.join(own, int(nodes[y]))
-                    break
-        if not placed:
-            if len(leaders) == len(lead_sig):
-                lead_sig = np.concatenate([lead_sig, np.zeros_like(lead_sig)])
-            lead_sig[len(leaders)] = sig[x]
-            leaders.append(x), members.append([x])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, root): the least node of each component, by least labels with pointer jumping."""
-    both = edges.union(edges.select("b", "a")).toDF("src", "dst").distinct().checkpoint()
-    labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")).checkpoint()
+        part[x] = union.find(own)
+        if not x:
+            continue
+        same = sig[:x] == sig[x]
+        todo = same.sum(1) >= AGREE
+        for i in range(band):
+            todo &= ~same[:, i * ROWS : (i + 1) * ROWS].all(1)
+        todo &= part[:x] != part[x]
+        todo = np.flatnonzero(todo)
+        if not len(todo):
+            continue
+        todo = todo[np.argsort(-same[todo].sum(1), kind="stable")]
+        failed = 0
+        while len(todo):
+            y = int(todo[0])
+            todo = todo[1:]
+            if failed >= TRIES and len(todo) > TRIES and whole is None:
+                whole = sum(size(int(n)) for n in nodes) <= GROUP_ITEMS and Group([vector(int(n)) for n in nodes])
+            if failed >= TRIES and whole:
+                near = np.append(y, todo)[whole.similarities(x)[np.append(y, todo)] >= SIMILARITY].tolist()
+                todo = todo[:0]
+            else:
+                near = [y] if similarity(vector(own), vector(int(nodes[y]))) >= SIMILARITY else []
+                failed += not near
+            for y in near:
+                other = int(nodes[y])
+                if union.find(own) != union.find(other):
+                    old = (U(union.find(own)), U(union.find(other)))
+                    union.join(own, other)
+                    part[: x + 1][(part[: x + 1] == old[0]) | (part[: x + 1] == old[1])] = union.find(own)
+            if near and len(todo):
+                todo = todo[part[todo] != part[x]]
+
+
+def components(edges: DataFrame, parts: int) -> DataFrame:
+    """edges(a, b) -> (node, root): the least node of each component, by least labels with pointer jumping.
+
+    What is kept of a round is written in parts files, as many as its few rows need.
+    """
+    both = edges.union(edges.select("b", "a")).toDF("src", "dst").distinct().coalesce(parts).checkpoint()
+    labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")).coalesce(parts).checkpoint()
     while True:
         near = both.join(labels.toDF("dst", "l"), "dst").groupBy("src").agg(F.min("l").alias("l")).withColumnRenamed("src", "node")
         step = labels.join(near, "node").select("node", F.least("root", "l").alias("root"), F.col("root").alias("old"))
-        jump = step.join(labels.toDF("root", "up"), "root").select("node", F.least("root", "up").alias("root"), "old").checkpoint()
+        jump = step.join(labels.toDF("root", "up"), "root").select("node", F.least("root", "up").alias("root"), "old").coalesce(parts).checkpoint()
         labels = jump.select("node", "root")
         if jump.where("root <> old").isEmpty():
             return labels
@@ -206,6 +239,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
         k, n = np.unique(np.concatenate(held), return_counts=True)
         yield from store.blobs(0, shard_of(k), [vec.pack((k << U(bits)) >> U(24), 5), n.astype("<u4")])
 
+    @store.frugal
     def map_df(batches):
         held, n = [], 0
         for b in batches:
@@ -225,6 +259,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
         if held:
             yield from flush_df(held)
 
+    @store.frugal
     def reduce_df(batches):
         rows = again = 0
         for (kind, shard), got in store.gather(batches).items():
@@ -274,6 +309,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                 start = np.flatnonzero(store.firsts_of(doc))
                 yield h, tf, start, whole[doc[start]]
 
+    @store.frugal
     def map_bands(batches):
         for b in batches:
             for h, tf, start, th in firsts_only(b):
@@ -287,12 +323,13 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                         key = vec.mix(key * U(vec.BASE) + sig[:, i * ROWS + j])
                     for bucket in (np.floor(size), np.floor(size) + 1):
                         x = np.zeros(len(th), _BAND)
-                        x["key"], x["node"], x["sig"] = vec.mix(key + bucket.astype(np.int64).view(U)), th, sig.astype(np.uint8)
+                        x["key"], x["node"], x["band"], x["sig"] = vec.mix(key + bucket.astype(np.int64).view(U)), th, i, sig.astype(np.uint8)
                         rec.append(x)
                 x = np.concatenate(rec)
                 x = x[np.argsort(shard_of(x["key"]), kind="stable")]
                 yield from store.blobs(0, shard_of(x["key"]), store.as_bytes(x))
 
+    @store.frugal
     def reduce_bands(batches):
         n = 0
         for (_, shard), got in store.gather(batches).items():
@@ -315,6 +352,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
     bands = store.deal(docs.mapInArrow(map_bands, store.BLOB), parts).mapInArrow(reduce_bands, store.BLOB)
     any_group = store.deal(bands, parts).mapInArrow(write_wanted, "n bigint").count()
 
+    @store.frugal
     def write_vectors(batches):
         part, at, hashes, values, index = TaskContext.get().partitionId(), 0, [], [], []
         for b in batches:
@@ -352,11 +390,16 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
             store.save(folder, f"place-th-{shard}", np.ascontiguousarray(x["th"]))
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64())})
 
+    def place(th: int):
+        s = th >> (64 - bits)
+        return store.load(folder, f"place-{s}")[np.searchsorted(store.load(folder, f"place-th-{s}"), U(th))]
+
+    def size(th: int) -> int:
+        return int(place(th)["n"])
+
     def vector(th: int):
         if (got := cache.get(th)) is None:
-            s = th >> (64 - bits)
-            key, place = store.load(folder, f"place-th-{s}"), store.load(folder, f"place-{s}")
-            p = place[np.searchsorted(key, U(th))]
+            p = place(th)
             a, b = int(p["at"]), int(p["at"]) + int(p["n"])
             h, w = store.load(folder, f"hashes-{p['part']}")[a:b], store.load(folder, f"values-{p['part']}")[a:b]
             if len(cache) > 256:
@@ -366,6 +409,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     cache: dict = {}
 
+    @store.frugal
     def link(batches):
         for b in batches:
             for shard in b.column(0).to_pylist():
@@ -375,7 +419,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                 union = Union()
                 at = np.flatnonzero(vec.firsts(x["key"]))
                 for i, j in zip(at.tolist(), np.append(at[1:], len(x)).tolist()):
-                    cluster(x["node"][i:j], x["sig"][i:j], vector, union)
+                    cluster(x["node"][i:j], x["sig"][i:j], int(x["band"][i]), vector, size, union)
                 rows = [(n, r) for n in list(union.up) if (r := union.find(n)) != n]
                 a = np.array([r[0] for r in rows], U).view(np.int64)
                 c = np.array([r[1] for r in rows], U).view(np.int64)
@@ -385,9 +429,10 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
     if any_group:
         store.deal(docs.mapInArrow(write_vectors, store.BLOB), parts).mapInArrow(write_places, "n bigint").count()
         shards = spark.range(0, 1 << bits, 1, min(1 << bits, 2 * parts)).select(F.col("id").cast("int").alias("shard"))
-        edges = shards.mapInArrow(link, "a bigint, b bigint").checkpoint()
+        few = total // 100_000 + 1
+        edges = shards.mapInArrow(link, "a bigint, b bigint").repartition(few).checkpoint()
         if not edges.isEmpty():
-            label = components(edges)
+            label = components(edges, few)
 
             def send(batches):
                 for b in batches:
@@ -410,7 +455,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                     store.save(folder, f"class-{shard}", np.ascontiguousarray(x[o, 1]))
                     yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64())})
 
-            nodes = label.mapInArrow(first_docs, "node bigint, root bigint, doc bigint").checkpoint()
+            nodes = label.mapInArrow(first_docs, "node bigint, root bigint, doc bigint").coalesce(few).checkpoint()
             low = nodes.groupBy("root").agg(F.min("doc").alias("class"))
             classes = store.deal(nodes.join(low, "root").select("node", "class").mapInArrow(send, store.BLOB), parts).mapInArrow(write_classes, "n bigint").count()
 

@@ -8,6 +8,7 @@ are first fetched into an unnamed local file. The folder is the session's spark.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import mmap
 import os
@@ -155,6 +156,21 @@ def deal(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("shard") % n)
 
 
+def frugal(f):
+    """A map over batches after which the worker, which Spark keeps, gives unused memory back to the system."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def gather(batches) -> dict[tuple[int, int], list[bytes]]:
     """A task's blobs by (kind, shard)."""
     out: dict[tuple[int, int], list[bytes]] = {}

@@ -71,7 +71,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_i
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
     """The rows of docs whose doc_id has no contaminated row."""
     store.shared_base(docs.sparkSession)  # where checkpoint() writes
-    bad = decontaminate(docs, items, size, least_items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct().checkpoint()
+    bad = decontaminate(docs, items, size, least_items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct().coalesce(1 + store.partitions(docs.sparkSession) // 8).checkpoint()
     side = F.broadcast(bad) if bad.count() * 16 <= BROADCAST_BYTES else bad
     return docs.join(side, F.expr("doc_id <=> bad"), "left_anti")
 

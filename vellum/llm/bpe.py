@@ -38,7 +38,7 @@ from . import store
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks and words that a worker remembers, and token pairs; a full map is emptied.
-CHUNKS, WORDS, PAIRS = 400_000, 200_000, 1_000_000
+CHUNKS, WORDS, PAIRS = 300_000, 100_000, 300_000
 #: White space as \\s of the file's pattern has it; str.split() also splits at U+001C-001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")

@@ -265,6 +265,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, outputs: bool = Fals
     store.prepare(docs.sparkSession)
     path = path or vocabulary_path()
 
+    @store.frugal
     def run(batches):
         bpe = load(path)
         for b in batches:

@@ -189,6 +189,7 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS, strings: int = FIT_STRINGS) -> Gr
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
 
+    @store.frugal
     def credentials(batches):
         for b in batches:
             for _, _, data, off in vec.texts(b):
@@ -257,6 +258,7 @@ def scan(docs: DataFrame, grammars: Grammars | None) -> DataFrame:
     store.prepare(docs.sparkSession)
     empty = hashlib.sha256(b"").hexdigest()
 
+    @store.frugal
     def run(batches):
         for b in batches:
             out = []
@@ -281,6 +283,7 @@ def redact(docs: DataFrame, grammars: Grammars | None, mask: str = MASK) -> Data
     """docs with each span (overlapping ones together) replaced by mask; n_chars, if there is such a column, follows."""
     store.prepare(docs.sparkSession)
 
+    @store.frugal
     def run(batches):
         for b in batches:
             texts, sizes = b.column("text").to_pylist(), b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else None

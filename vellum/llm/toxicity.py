@@ -81,6 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     )
     both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
+    @store.frugal
     def extract(batches):
         for b in batches:
             out = []
@@ -172,6 +173,7 @@ def score(docs: DataFrame, m: Classifier, held_out) -> DataFrame:
     store.prepare(docs.sparkSession)
     bloom = _bloom(m)
 
+    @store.frugal
     def run(batches):
         for b in batches:
             p = scores(b, m, bloom)
@@ -186,6 +188,7 @@ def accepted(docs: DataFrame, m: Classifier) -> DataFrame:
     store.prepare(docs.sparkSession)
     bloom = _bloom(m)
 
+    @store.frugal
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(scores(b, m, bloom) < 0.5))

@@ -17,7 +17,7 @@ common for that reason alone, still counts as equal to its copies.
    that shares several bands is left to the first. Vectors are read in place.
 5. Components by least labels with pointer jumping, cut by checkpoint().
 
-A pair at exactly 0.8 shares a band with probability 0.999; at 0.9 with 0.999999.
+A pair at exactly 0.8 shares a band with probability 0.9992, one at 0.9 with 0.999998.
 
 Defined cases: words are runs of letters, digits and other non-ASCII characters, A-Z folded; texts of fewer words,
 but not none, are one shingle; texts without words are near duplicates of equal texts only; null text is the empty
@@ -45,6 +45,7 @@ AGREE = 14
 #: Failures after which a text is compared with its whole group, if that has up to so many shingles.
 TRIES, GROUP_ITEMS = 6, 4_000_000
 HELD = 1_500_000
+BROADCAST_ROWS = 500_000
 _MAX = (1 << 63) - 1
 _KEYS = vec.mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 _BAND = np.dtype([("key", "<u8"), ("node", "<u8"), ("band", "u1"), ("sig", "u1", (BANDS * ROWS,))])
@@ -210,14 +211,16 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union:
 def components(edges: DataFrame, parts: int) -> DataFrame:
     """edges(a, b) -> (node, root): the least node of each component, by least labels with pointer jumping.
 
-    What is kept of a round is written in parts files, as many as its few rows need.
+    What is kept of a round is written in parts files, as many as its few rows need. Labels are broadcast while there are
+    up to BROADCAST_ROWS of them (16 bytes each), which is counted first.
     """
     both = edges.union(edges.select("b", "a")).toDF("src", "dst").distinct().coalesce(parts).checkpoint()
     labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")).coalesce(parts).checkpoint()
+    side = F.broadcast if labels.count() <= BROADCAST_ROWS else (lambda df: df)
     while True:
-        near = both.join(labels.toDF("dst", "l"), "dst").groupBy("src").agg(F.min("l").alias("l")).withColumnRenamed("src", "node")
-        step = labels.join(near, "node").select("node", F.least("root", "l").alias("root"), F.col("root").alias("old"))
-        jump = step.join(labels.toDF("root", "up"), "root").select("node", F.least("root", "up").alias("root"), "old").coalesce(parts).checkpoint()
+        near = both.join(side(labels.toDF("dst", "l")), "dst").groupBy("src").agg(F.min("l").alias("l")).withColumnRenamed("src", "node")
+        step = near.join(side(labels), "node").select("node", F.least("root", "l").alias("root"), F.col("root").alias("old"))
+        jump = step.join(side(labels.toDF("root", "up")), "root").select("node", F.least("root", "up").alias("root"), "old").coalesce(parts).checkpoint()
         labels = jump.select("node", "root")
         if jump.where("root <> old").isEmpty():
             return labels

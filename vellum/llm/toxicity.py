@@ -93,19 +93,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
                     out.append(x[x != 0].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.binary())], names=["toxic", "x"])
 
-    rows_ = both.mapInArrow(extract, "toxic int, x binary").collect()
-    return _fit([np.frombuffer(r.x, U) for r in rows_], np.array([r.toxic > 0 for r in rows_], float))
+    got = both.mapInArrow(extract, "toxic int, x binary").toArrow()
+    return _fit([np.frombuffer(x.as_buffer(), U) if x.as_buffer().size else np.zeros(0, U) for x in got.column("x")], got.column("toxic").to_numpy().astype(float) > 0)
 
 
-def _fit(texts: list[np.ndarray], y: np.ndarray) -> Classifier:
+def _fit(texts: list[np.ndarray], toxic: np.ndarray) -> Classifier:
+    y = toxic.astype(float)
     prior = (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Classifier(np.zeros(0, U), np.zeros(0), base if len(y) else -4.0)
     all_ = np.concatenate(texts)
     order = np.argsort(all_, kind="stable")
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[order]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])[order]
     f = all_[order]
+    del all_, order
     at = np.flatnonzero(store.firsts_of(f))
     n = np.diff(np.append(at, len(f)))
     pos = np.add.reduceat(y[doc], at)

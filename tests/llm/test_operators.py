@@ -235,6 +235,14 @@ def test_group_clustering_compares_all_at_once():
     assert [union.find(i) for i in range(60)] == [want.find(i) for i in range(60)]
 
 
+def test_equal_bytes_are_no_shared_band():
+    """All samples of bands 0 and 1 agree in their bytes, as where one of band 0's only collides: band 1's group must still link the pair."""
+    v = (np.arange(100, dtype=np.uint64), np.ones(100, np.float32), 100.0)
+    union = near_dup.Union()
+    near_dup.cluster(np.array([3, 8], np.uint64), np.zeros((2, 30), np.uint8), 1, {3: v, 8: v}.__getitem__, lambda n: 100, union)
+    assert union.find(8) == 3
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 

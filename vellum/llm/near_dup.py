@@ -14,10 +14,10 @@ common for that reason alone, still counts as equal to its copies.
 3. Shingle vectors of texts that share a band are written once to the shared folder.
 4. In each group of a band a text is verified only against texts of other components whose samples agree often
    enough, best first, so a group whose texts are all alike costs one verification a text, not one a pair. A pair
-   that shares several bands is left to the first. Vectors are read in place.
+   that shares several bands is verified in each until it is of one component. Vectors are read in place.
 5. Components by least labels with pointer jumping, cut by checkpoint().
 
-A pair at exactly 0.8 shares a band with probability 0.9992, one at 0.9 with 0.999998.
+By calculation a pair at exactly 0.8 shares a band with probability 0.9992, one at 0.9 with 0.999998.
 
 Defined cases: words are runs of letters, digits and other non-ASCII characters, A-Z folded; texts of fewer words,
 but not none, are one shingle; texts without words are near duplicates of equal texts only; null text is the empty
@@ -167,8 +167,8 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union:
     """Links the near duplicates of one group; union knows what is linked already.
 
     Each text is verified against earlier ones whose samples agree often enough, best first, until all of them are
-    in its component or verified; a text that fails TRIES times is compared with all at once. A pair that also
-    shares an earlier band is left to that band's group.
+    in its component or verified; a text that fails TRIES times is compared with all at once. No pair is left to the
+    group of an earlier band: samples are known by a byte here, which does not tell whether it was in that group.
     """
     part = np.zeros(len(nodes), U)  # component of each earlier text
     whole = None
@@ -178,11 +178,7 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union:
         if not x:
             continue
         same = sig[:x] == sig[x]
-        todo = same.sum(1) >= AGREE
-        for i in range(band):
-            todo &= ~same[:, i * ROWS : (i + 1) * ROWS].all(1)
-        todo &= part[:x] != part[x]
-        todo = np.flatnonzero(todo)
+        todo = np.flatnonzero((same.sum(1) >= AGREE) & (part[:x] != part[x]))
         if not len(todo):
             continue
         todo = todo[np.argsort(-same[todo].sum(1), kind="stable")]

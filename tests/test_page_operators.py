@@ -9,6 +9,7 @@ import pytest
 from vellum import config
 from vellum.functions import image
 from vellum.operators import engines, layout, log, ordering, render, routing, stamps, validate
+from vellum.plans import queries
 from vellum.sources import files, tables, text_layer
 from vellum.streaming import log as slog
 
@@ -182,3 +183,16 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert [r.status for r in slog.run_available(read(), cp, "s2").collect()] == ["COMPLETED"]
     slog.upsert_to(read(), str(tmp_path / "out"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_leak_check_is_plain_containment(spark, tmp_path):
+    passages = [(1, "one\ntwo three four five six seven eight nine"), (2, "quoted word goes on for eight words here"), (3, " leads with a space and goes on to end"), (4, "short one"), (5, "a b c"), (6, "word"), (7, ""), (8, None), (None, "two three four five"), (1, "a b c"), (9, "two  spaces in a row are one empty word"), (10, "not in any of the texts at all , really")]
+    texts = ["zero one\ntwo three four five six seven eight nineteen", 'x "quoted word goes on for eight words here"', "\tquoted word goes on for eight words here", "it leads with a space and goes on to endings", "a short one, a b cd", "a b c", "a b c", "", None, "xtwo  spaces in a row are one empty words", "leads with a space and goes on to end"]
+    spark.createDataFrame(passages, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, p in passages:
+        for t in texts:
+            if p is not None and t is not None and p in t:
+                want[k] = want.get(k, 0) + 1
+    assert {r.item_id: r.pages for r in queries.leak_check(spark, str(tmp_path)).collect()} == want

@@ -408,18 +408,28 @@ def metric_rollup(spark, sf_dir):
     return g.selectExpr("IF(g = 1, 'overall', font) AS font", "pages", "cer", "punctuation_recall")
 
 
+#: Words of a passage that leak_check hashes.
+INNER = 6
+
+
 @query("SELECT item_id, count(*) AS pages FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id")
 def leak_check(spark, sf_dir):
-    """Documents that contain a passage verbatim. Candidates share the passage's first six words' hash at some place, so no pairs are formed."""
-    head = 6
-    b = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.expr("split(text, ' ')").alias("w"))
-    least = b.agg(F.min(F.size("w"))).first()[0] or 0
-    n = max(1, min(head, least - 1))
-    keys = b.selectExpr("item_id", "passage", f"xxhash64(array_join(slice(w, 1, {n}), ' ')) AS h")
-    d = tables.read(spark, sf_dir, "documents").selectExpr("doc_id", "text", "split(text, ' ') AS w")
-    # a passage may begin inside a space-delimited word, so the first word is matched by its last line
-    grams = d.selectExpr("doc_id", "text", f"explode(array_distinct(transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64(array_join(transform(slice(w, i, {n}), (x, j) -> IF(j = 0, element_at(split(x, '\\n'), -1), x)), ' '))))) AS h")
-    return grams.join(keys, "h").where("contains(text, passage)").groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"))
+    """Documents that contain a passage verbatim, each pair of rows once.
+
+    A passage's space-delimited words but its first and last are whole words of any text that contains it. Candidates
+    share the hash of the first INNER of these, or of all where there are fewer; a passage without any is compared with
+    every text.
+    """
+    b = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.expr("split(text, ' ')").alias("w")).where("passage IS NOT NULL")
+    b = b.selectExpr("item_id", "passage", "w", f"greatest(least(size(w) - 2, {INNER}), 0) AS n")
+    d = tables.read(spark, sf_dir, "documents").selectExpr("text", "split(text, ' ') AS w").where("text IS NOT NULL")
+    sizes = sorted(r.n for r in b.select("n").distinct().collect())
+    keys = b.where("n > 0").selectExpr("item_id", "passage", "xxhash64(n, array_join(slice(w, 2, n), ' ')) AS h")
+    of_size = [f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64({n}, array_join(slice(w, i, {n}), ' ')))" for n in sizes if n]
+    hits = d.selectExpr("text", f"explode(array_distinct(concat({', '.join(of_size) or 'CAST(array() AS array<bigint>)'}))) AS h").join(keys, "h").where("contains(text, passage)").select("item_id")
+    if 0 in sizes:
+        hits = hits.union(d.join(F.broadcast(b.where("n = 0").select("item_id", "passage")), F.expr("contains(text, passage)")).select("item_id"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("pages"))
 
 
 _NAMES = ("Primary OCR/v2", "a b", "--", "", "engine_1.0", "ü-ß")

@@ -301,6 +301,19 @@ def test_secrets(spark):
     assert secret_scan.fit(empty(spark)) is None and secret_scan.scan(empty(spark), None).count() == 0
 
 
+def test_rare_kinds_teach_too(spark):
+    """One access key among many more documents than any sample, one without doc_id."""
+    few = docs_of(spark, ["plain words here"])
+    many = spark.range(9000).selectExpr("id AS doc_id", "concat('ordinary documents hold ', md5(CAST(id AS string))) AS text")
+    rare = spark.createDataFrame([(None, f"id AKIA{x} end") for x in ("QWERTYUIOPASDFGH", "ZXCVBNMLKJHGFDSA")], "doc_id bigint, text string")
+    with_rare = secret_scan.fit(many.union(rare))
+    assert len(with_rare.automata) == 2 and len(secret_scan.fit(many).automata) == 1
+    bare = docs_of(spark, ["the bare AKIBQAZWSXEDCRFVTGBY here"])
+    assert secret_scan.scan(bare, with_rare).first().spans == "format:9:29"
+    same = [secret_scan.fit(many.union(rare).repartition(n)) for n in (1, 7)]
+    assert all((a.step == b.step).all() for a, b in zip(same[0].automata, same[1].automata)) and secret_scan.fit(few) is None
+
+
 def test_inferred_automaton_repeats_a_loop():
     a = secret_scan.infer([b"ab" * n for n in range(1, 30)])
     assert len(a.end) < 10 and np.isfinite(a.step).all()

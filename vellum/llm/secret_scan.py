@@ -1,16 +1,16 @@
 """Secret scanning with inferred grammars (operator 7).
 
-Base rules give spans by pattern (KINDS). From the credentials that they find in a bounded sample of documents,
-one probabilistic automaton a kind is inferred: the prefix tree of their character classes, whose states are
-merged while their continuations are statistically compatible (Hoeffding's bound, as in ALERGIA). All candidates,
+Base rules give spans by pattern (KINDS). From the credentials that they find in all documents, one probabilistic automaton
+a kind is inferred: the prefix tree of their character classes, whose states are merged while their continuations are statistically compatible (Hoeffding's bound, as in ALERGIA). All candidates,
 the runs of VALUE characters of LEAST to MOST characters, are then scored: the log likelihood of the
 candidate under the best automaton, a character, against a class-pair model of ordinary runs. A candidate above
 the threshold that overlaps no base span becomes a span of kind `format`. Base spans stay in any case.
 
 A span is kind:start:end in code points, end exclusive; for `assign` it is the whole assignment.
 
-Fitting reads FIT_DOCS documents, those of least hash of doc_id, and FIT_STRINGS credentials a kind at most. The
-patterns run only on texts that hold a rule's fixed part, which is searched over the bytes of many texts at once;
+Fitting reads all documents. Each task keeps a kind's FIT_STRINGS distinct credentials of least hash (of the ordinary
+runs PLAIN times as many), and of these the least again are learned from, so a kind that occurs at all has its
+automaton, and the same strings are taken however the table is split. The patterns run only on texts that hold a rule's fixed part, which is searched over the bytes of many texts at once;
 whole texts are always read.
 
 Defined cases: null or empty text has no spans (base_sha256 is that of the empty string, spans is ''); null
@@ -36,7 +36,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
-FIT_DOCS, FIT_STRINGS = 6000, 400
+FIT_STRINGS, PLAIN = 400, 5
 #: Candidates have these lengths, and this advantage a character in natural logarithms.
 LEAST, MOST, MARGIN = 16, 256, 0.35
 ALPHA = 0.05
@@ -183,34 +183,38 @@ class Grammars:
         return (best - plain) / np.maximum(n, 1)
 
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS, strings: int = FIT_STRINGS) -> Grammars | None:
-    """The grammars of the credentials in a bounded sample of documents; None if it holds none."""
+def fit(docs: DataFrame, strings: int = FIT_STRINGS) -> Grammars | None:
+    """The grammars of the credentials in all documents; None if there are none."""
     store.prepare(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text")
+    most = {-1: strings * PLAIN} | dict.fromkeys(range(len(KINDS)), strings)
 
     @store.frugal
     def credentials(batches):
+        least: dict[int, dict[int, bytes]] = {k: {} for k in most}
         for b in batches:
             for _, _, data, off in vec.texts(b):
-                kind, value = [], []
-                raw = data.tobytes()
-                covered = np.zeros(len(data) + 1, bool)
+                raw, c = data.tobytes(), vec.sums(vec.BYTE[data])
+                at: dict[int, list] = {k: [] for k in range(len(KINDS))}
+                covered = np.zeros(len(data) + 1, np.int64)
                 for i in hits(data, off).tolist():
                     text = raw[off[i] : off[i + 1]].decode()
                     for s, k, e, v in base_spans(text):
-                        kind.append(k), value.append(text[v:e].encode())
-                        lo = off[i] + len(text[:s].encode())
-                        covered[lo : lo + len(text[s:e].encode())] = True
+                        lo, hi = (int(off[i]) + len(text[:x].encode()) for x in (s, e))
+                        at[k].append((lo + len(text[s:v].encode()), hi))
+                        covered[lo:hi] = 1
                 s, e, _ = vec.runs(VALUE[data], off)
-                for x, y in zip(s[e - s >= 8].tolist(), e[e - s >= 8].tolist()):
-                    if not covered[x:y].any() and y - x <= MOST:
-                        kind.append(-1), value.append(raw[x:y])
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "value": pa.array(value, pa.binary())})
-
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    found = sample.mapInArrow(credentials, "kind int, value binary").distinct().withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") < 0, strings * 5).otherwise(strings)).collect()
-    by = {k: sorted(bytes(r.value) for r in found if r.kind == k) for k in (-1, *range(len(KINDS)))}
+                covered = np.append(0, np.cumsum(covered))
+                plain = (e - s >= 8) & (e - s <= MOST) & (covered[e] == covered[s])
+                for k, x in [(-1, np.stack([s[plain], e[plain]], 1)), *((k, np.array(x, np.int64).reshape(-1, 2)) for k, x in at.items())]:
+                    h, first = np.unique(vec.span(c, x[:, 0], x[:, 1]).view(np.int64), return_index=True)
+                    least[k].update((g, raw[p:q]) for g, (p, q) in zip(h[: most[k]].tolist(), x[first[: most[k]]].tolist()))
+                    least[k] = {g: least[k][g] for g in sorted(least[k])[: most[k]]}
+        rows = [(k, g, v) for k, got in least.items() for g, v in got.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "value"])
+
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(credentials, "kind int, h bigint, value binary").distinct().withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") < 0, most[-1]).otherwise(strings)).collect()
+    by = {k: sorted(bytes(r.value) for r in found if r.kind == k) for k in most}
     automata = tuple(infer(by[k]) for k in range(len(KINDS)) if by[k])
     return Grammars(automata, background(by[-1])) if automata else None
 

@@ -314,6 +314,24 @@ def test_rare_kinds_teach_too(spark):
     assert all((a.step == b.step).all() for a, b in zip(same[0].automata, same[1].automata)) and secret_scan.fit(few) is None
 
 
+def test_long_and_overlapping_candidates(spark, monkeypatch):
+    g = random.Random(17)
+    key = lambda n, s="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(g.choice(s) for _ in range(n))
+    taught = [f"some ordinary words of {w} and token={key(40)} thereafter" for w in ("unquestionably", "responsibilities", "correspondence") * 60]
+    grammar = secret_scan.fit(docs_of(spark, taught))
+    long, part = key(300), key(40) + "Z" + key(16, "0123456789abcdef") + "Z" + key(40)
+    texts = [f"a {long} b", f"a {key(70000)} b", f"é {part} b"]
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(docs_of(spark, texts), grammar).collect()}
+    assert "format:2:302" in got[0] and "format:2:70002" in got[1]
+    assert any(x.startswith("hex:") for x in got[2]) and f"format:2:{2 + len(part)}" in got[2]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs_of(spark, texts), grammar).collect()}
+    assert masked == {0: "a [SECRET] b", 1: "a [SECRET] b", 2: "é [SECRET] b"}
+    k, s, n = secret_scan.CLASS[np.frombuffer(long.encode(), np.uint8)], np.array([0, 5]), np.array([300, 20])
+    one = secret_scan.likelihoods(grammar.automata[0], 0, k, s, n)
+    monkeypatch.setattr(secret_scan, "MOST", 1000)
+    assert (one == secret_scan.likelihoods(grammar.automata[0], 0, k, s, n)).all()
+
+
 def test_inferred_automaton_repeats_a_loop():
     a = secret_scan.infer([b"ab" * n for n in range(1, 30)])
     assert len(a.end) < 10 and np.isfinite(a.step).all()

@@ -2,9 +2,10 @@
 
 Base rules give spans by pattern (KINDS). From the credentials that they find in all documents, one probabilistic automaton
 a kind is inferred: the prefix tree of their character classes, whose states are merged while their continuations are statistically compatible (Hoeffding's bound, as in ALERGIA). All candidates,
-the runs of VALUE characters of LEAST to MOST characters, are then scored: the log likelihood of the
-candidate under the best automaton, a character, against a class-pair model of ordinary runs. A candidate above
-the threshold that overlaps no base span becomes a span of kind `format`. Base spans stay in any case.
+the runs of LEAST or more VALUE characters, are then scored: the log likelihood of the candidate under the best
+automaton, a character, against a class-pair model of ordinary runs. A candidate above the threshold becomes a span
+of kind `format`, beside base spans that overlap it; if it lies within one, it is named already. Base spans stay in
+any case.
 
 A span is kind:start:end in code points, end exclusive; for `assign` it is the whole assignment.
 
@@ -15,7 +16,7 @@ whole texts are always read.
 
 Defined cases: null or empty text has no spans (base_sha256 is that of the empty string, spans is ''); null
 doc_id is returned as null; repeated rows each get their result; with no credentials to learn from there are no
-`format` spans; runs over MOST characters are no credentials but can hold base spans; extra columns are ignored.
+`format` spans; runs over MOST characters teach nothing to the model of ordinary runs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 FIT_STRINGS, PLAIN = 400, 5
-#: Candidates have these lengths, and this advantage a character in natural logarithms.
-LEAST, MOST, MARGIN = 16, 256, 0.35
+#: Candidates have this length at least, and this advantage a character in natural logarithms. Up to MOST characters they
+#: are scored side by side, longer ones each by itself in chunks of CHUNK.
+LEAST, MOST, MARGIN, CHUNK = 16, 256, 0.35, 1 << 16
 ALPHA = 0.05
 MASK = "[SECRET]"
 OUT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint"
@@ -161,12 +163,22 @@ def background(strings: list[bytes]) -> Automaton:
 def likelihoods(a: Automaton, start: int, classes: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
     """ln probability of each run [s, s+n) of classes; a class that no state foresees costs its smoothed share."""
     state, out = np.full(len(s), start), np.zeros(len(s))
-    for i in range(int(n.max(initial=0))):
-        on = np.flatnonzero(n > i)
+    short = n <= MOST
+    for i in range(int(n[short].max(initial=0))):
+        on = np.flatnonzero(short & (n > i))
         k = classes[s[on] + i]
         out[on] += a.step[state[on], k]
         to = a.next[state[on], k]
         state[on] = np.where(to < 0, start, to)
+    if not short.all():
+        step, to = a.step.tolist(), np.where(a.next < 0, start, a.next).tolist()
+        for r in np.flatnonzero(~short).tolist():
+            q, sum_ = start, 0.0
+            for lo in range(int(s[r]), int(s[r] + n[r]), CHUNK):
+                for k in classes[lo : min(lo + CHUNK, int(s[r] + n[r]))].tolist():
+                    sum_ += step[q][k]
+                    q = to[q][k]
+            state[r], out[r] = q, sum_
     return out + a.end[state]
 
 
@@ -245,13 +257,13 @@ def spans_of(data: np.ndarray, off: np.ndarray, grammars: Grammars | None) -> di
             out[i] = got, []
     if grammars:
         s, e, _ = vec.runs(VALUE[data], off)
-        keep = (e - s >= LEAST) & (e - s <= MOST)
+        keep = e - s >= LEAST
         s, e = s[keep], e[keep]
         keep = grammars.advantage(data, s, e) > MARGIN
         for x, y, i in zip(s[keep].tolist(), e[keep].tolist(), (np.searchsorted(off, s[keep], "right") - 1).tolist()):
             at = len(raw[off[i] : x].decode())
             base, more = out.get(i, ([], []))
-            if not any(at < q and p < at + y - x for p, _, q, _ in base):
+            if not any(p <= at and at + y - x <= q for p, _, q, _ in base):
                 more.append((at, at + y - x))
                 out[i] = base, more
     return out

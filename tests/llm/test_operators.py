@@ -220,6 +220,21 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_each_class_keeps_one_row(spark, repeated):
+    g = random.Random(15)
+    text = lambda: " ".join(str(g.random()) for _ in range(120))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, a), (None, b), (None, near(b)), (1, c), (1, d), (1, near(d)), (2, near(c)), (None, near(a)), (4, None)]
+    rows += [(3, e), (3, e), (4, "")] if repeated else [(3, e)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int").repartition(3)
+    kept = near_dup.near_duplicates(docs, keep=True)
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(set(got)) == 6
+    assert {(3, e), (1, c), (4, "")} < set(got) and all(len({(None, x), (None, near(x))} & set(got)) == 1 for x in (a, b)) and len({(1, d), (1, near(d))} & set(got)) == 1
+
+
 def test_group_clustering_compares_all_at_once():
     g = np.random.default_rng(0)
     vectors = {}

@@ -22,7 +22,8 @@ By calculation a pair at exactly 0.8 shares a band with probability 0.9992, one
 Defined cases: words are runs of letters, digits and other non-ASCII characters, A-Z folded; texts of fewer words,
 but not none, are one shingle; texts without words are near duplicates of equal texts only; null text is the empty
 text; class_id is the least doc_id of the class (null doc_id after all others); repeated rows are of one class;
-an empty table gives no rows; extra columns are kept by near_duplicates(keep=True) and ignored otherwise.
+an empty table gives no rows; extra columns are kept by near_duplicates(keep=True) and ignored otherwise. What that keeps
+of a class is its row of least doc_id and, among several of these, least text hash; of rows equal in both, one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import store, vec
 from .vec import U
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     total, again = store.deal(docs.mapInArrow(map_df, store.BLOB), parts).mapInArrow(reduce_df, "n bigint, again bigint").selectExpr("coalesce(sum(n), 0)", "coalesce(sum(again), 0)").first()
 
-    def lookup(th: np.ndarray, keys: str, values: str, missing: int) -> np.ndarray:
+    def lookup(th: np.ndarray, keys: str, values: str, missing: int | np.ndarray) -> np.ndarray:
         """Values by text hash from sorted files of shards."""
         out = np.full(len(th), missing, np.int64)
         shard = shard_of(th)
@@ -435,10 +437,10 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
             def send(batches):
                 for b in batches:
-                    x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], 1)
+                    x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
                     th = x[:, 0].copy().view(U)
                     o = np.argsort(shard_of(th), kind="stable")
-                    yield from store.blobs(0, shard_of(th)[o], np.ascontiguousarray(x[o]).view(np.uint8).reshape(len(x), 16))
+                    yield from store.blobs(0, shard_of(th)[o], np.ascontiguousarray(x[o]).view(np.uint8).reshape(len(x), 24))
 
             def first_docs(batches):
                 for b in batches:
@@ -447,44 +449,49 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
             def write_classes(batches):
                 for (_, shard), got in store.gather(batches).items():
-                    x = np.concatenate([np.frombuffer(g, np.int64).reshape(-1, 2) for g in got])
+                    x = np.concatenate([np.frombuffer(g, np.int64).reshape(-1, 3) for g in got])
                     th = x[:, 0].copy().view(U)
                     o = np.argsort(th)
                     store.save(folder, f"member-{shard}", th[o])
                     store.save(folder, f"class-{shard}", np.ascontiguousarray(x[o, 1]))
+                    store.save(folder, f"kept-{shard}", np.ascontiguousarray(x[o, 2]))
                     yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64())})
 
             nodes = label.mapInArrow(first_docs, "node bigint, root bigint, doc bigint").coalesce(few).checkpoint()
-            low = nodes.groupBy("root").agg(F.min("doc").alias("class"))
-            classes = store.deal(nodes.join(low, "root").select("node", "class").mapInArrow(send, store.BLOB), parts).mapInArrow(write_classes, "n bigint").count()
-
-    def class_of(data, off):
-        c = vec.sums(vec.BYTE[data])
-        th = vec.span(c, off[:-1], off[1:]) ^ vec.mix(np.diff(off).astype(U))
-        out = lookup(th, "text", "doc", _MAX)
-        if classes:
-            got = lookup(th, "member", "class", -(1 << 63))
-            out = np.where(got == -(1 << 63), out, got)
-        return out
+            low = nodes.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("least")).select("root", F.col("least.doc").alias("class"), F.col("least.node").alias("kept"))
+            classes = store.deal(nodes.join(low, "root").select("node", "class", "kept").mapInArrow(send, store.BLOB), parts).mapInArrow(write_classes, "n bigint").count()
+
+    def hashes(b):
+        got = [np.zeros(0, U)]
+        for _, _, data, off in vec.texts(b):
+            got.append(vec.span(vec.sums(vec.BYTE[data]), off[:-1], off[1:]) ^ vec.mix(np.diff(off).astype(U)))
+        return np.concatenate(got)
 
     def label_rows(batches):
         for b in batches:
-            got = [class_of(data, off) for _, _, data, off in vec.texts(b)]
-            k = np.concatenate(got) if got else np.zeros(0, np.int64)
+            th = hashes(b)
+            k = lookup(th, "text", "doc", _MAX)
+            k = lookup(th, "member", "class", k) if classes else k
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k, pa.int64(), mask=k == _MAX)], names=["doc_id", "class_id"])
 
     def keep_rows(batches):
         for b in batches:
-            got = [class_of(data, off) for _, _, data, off in vec.texts(b)]
-            k = np.concatenate(got) if got else np.zeros(0, np.int64)
-            yield b.filter(pa.array(k == ids(b)))
+            th = hashes(b)
+            stays = lookup(th, "text", "doc", _MAX) == ids(b)
+            if classes:
+                stays &= lookup(th, "member", "kept", th.view(np.int64)) == th.view(np.int64)
+            cols = [*b.columns, pa.array(th.view(np.int64))] if again else b.columns
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, _HASH] if again else b.schema.names).filter(pa.array(stays))
 
     if keep:
-        out = all_docs.mapInArrow(keep_rows, all_docs.schema)
-        return out.dropDuplicates(["doc_id"]) if again else out
+        if not again:
+            return all_docs.mapInArrow(keep_rows, all_docs.schema)
+        # of a class, only rows equal in doc_id and text are left
+        return all_docs.mapInArrow(keep_rows, StructType([*all_docs.schema, StructField(_HASH, LongType())])).dropDuplicates([_HASH]).drop(_HASH)
     return docs.mapInArrow(label_rows, "doc_id bigint, class_id bigint")
 
 
+_HASH = "near_dup_text_hash"
 _PLACE = np.dtype([("th", "<u8"), ("part", "<u4"), ("at", "<u8"), ("n", "<u4")])
 
 

@@ -81,6 +81,17 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if len(x[2]) < 2}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_decides_by_row(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    bad, rows = "so a b c d and e f g h too", [(None, "clean one"), (None, "clean two"), (7, "clean three"), (7, None), (8, "a b c d")]
+    docs = spark.createDataFrame([*rows, (None, bad), (7, bad), (9, bad), (9, bad)], "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "item_id int, text string")
+    kept = decontaminate.clean(docs, items, 4)
+    assert Counter(map(tuple, kept.collect())) == Counter(rows) and kept.columns == docs.columns
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.decontaminate(empty(spark), none).count() == 0

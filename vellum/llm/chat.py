@@ -12,9 +12,14 @@ assistant turns, as code point spans of the formatted window; repeated targets a
 
 A token is a word or a single other sign; a turn's frame counts TURN_TOKENS more.
 
-A conversation is formatted in sections of SECTION turn numbers, so one conversation with a large share of all rows is
-many rows. Later sections begin without history and get the system turn by a join, planned only where a table
-has such turn numbers.
+A conversation is formatted in sections of SECTION turns by their place in it, so one conversation with a large share of
+all rows is many rows; a window also ends where its section does. A section gets the last HISTORY turns of the one
+before and the conversation's system turn by a join. Both the places and the joins are planned only where a conversation
+has more turns than SECTION: turns are counted by blocks of turn numbers, the blocks' sizes are summed up, and a turn's
+place is its block's start plus its place there, so no conversation is sorted in one task unless one block holds it.
+
+SECTION must be HISTORY at least. The query's digests need a conversation's whole text in one row (read_back), as the SQL
+function sha2 takes one string; windows don't.
 
 Defined cases: null text or role is empty; null conv_id is a conversation of its own; null turn comes first; rows of
 equal conv_id and turn are turns of their own in the order of role and text, repeated rows too; a conversation without
@@ -23,7 +28,7 @@ an assistant turn has an empty loss mask; an empty table gives no windows; extra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY, HISTORY_TOKENS, TURN_TOKENS, SECTION = 512, 2, 128, 4, 4096
@@ -44,28 +49,40 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _grouped(turns: DataFrame) -> DataFrame:
-    """conv_id, section, system (a turn or null), turns (in order, without that)."""
+def _placed(turns: DataFrame, size: int) -> DataFrame:
+    """turns plus section: a turn's place in its conversation, by turn, role and text, over size."""
+    turns = turns.withColumn("block", F.expr(f"coalesce(CAST(floor(turn / {size}) AS bigint), -9223372036854775808)"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = turns.groupBy("conv_id", "block").agg(F.count("*").alias("n")).select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text"))
+    return turns.withColumn("place", place).alias("t").join(starts.alias("s"), F.expr("t.conv_id <=> s.conv_id AND t.block = s.block")).selectExpr("t.*", f"(start + place - 1) div {size} AS section").drop("block", "place")
+
+
+def _grouped(turns: DataFrame, size: int, history: int) -> DataFrame:
+    """conv_id, section, system (a turn or null), t (its turns in order, without that), back (the turns before it that may be repeated)."""
     piece = f"concat('<s>', replace({escape('role')}, '\\n', '&nl;'), '\\n', {escape('text')}, '</s>')"
-    turns = (
-        turns.selectExpr("CAST(conv_id AS bigint) AS conv_id", "CAST(turn AS bigint) AS turn", "coalesce(CAST(role AS string), '') AS role", "coalesce(CAST(text AS string), '') AS text")
-        .selectExpr("conv_id", f"greatest(coalesce(turn, 0), 0) div {SECTION} AS section", "turn", "role", "text", f"{piece} AS piece", f"CAST(regexp_count(text, '(?U)\\\\w+|[^\\\\w\\\\s]') + {TURN_TOKENS} AS bigint) AS n", f"char_length({escape('text')}) AS long")
-        .groupBy("conv_id", "section").agg(F.expr("transform(array_sort(collect_list(struct(turn, role, text, piece, n, long))), t -> struct(t.role, t.piece, t.n, t.long))").alias("t"))
-    )
+    turns = turns.selectExpr("CAST(conv_id AS bigint) AS conv_id", "CAST(turn AS bigint) AS turn", "coalesce(CAST(role AS string), '') AS role", "coalesce(CAST(text AS string), '') AS text")
+    many = (turns.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0) > size
+    placed = _placed(turns, size) if many else turns.withColumn("section", F.lit(0).cast("bigint"))
+    one = placed.selectExpr("conv_id", "section", "turn", "role", "text", f"{piece} AS piece", f"CAST(regexp_count(text, '(?U)\\\\w+|[^\\\\w\\\\s]') + {TURN_TOKENS} AS bigint) AS n", f"char_length({escape('text')}) AS long")
+    got = one.groupBy("conv_id", "section").agg(F.expr("transform(array_sort(collect_list(struct(turn, role, text, piece, n, long))), t -> struct(t.role, t.piece, t.n, t.long))").alias("t"))
     own = "section = 0 AND t[0].role = 'system'"
-    return turns.selectExpr("conv_id", "section", f"CASE WHEN {own} THEN t[0] END AS system", f"CASE WHEN {own} THEN slice(t, 2, size(t)) ELSE t END AS t")
+    got = got.selectExpr("conv_id", "section", f"CASE WHEN {own} THEN t[0] END AS system", f"CASE WHEN {own} THEN slice(t, 2, size(t)) ELSE t END AS t")
+    if not many:
+        return got.selectExpr("*", "slice(t, 1, 0) AS back")
+    first = got.where("section = 0 AND system IS NOT NULL").selectExpr("conv_id", "system AS s")
+    last = got.selectExpr("conv_id", "section + 1 AS section", f"slice(t, greatest(size(t) - {history - 1}, 1), {history}) AS back")
+    got = got.alias("g").join(last.alias("l"), F.expr("g.conv_id <=> l.conv_id AND g.section = l.section"), "left").selectExpr("g.*", "coalesce(l.back, slice(t, 1, 0)) AS back")
+    return got.alias("g").join(first.alias("f"), F.expr("g.conv_id <=> f.conv_id AND g.section > 0"), "left").selectExpr("g.conv_id", "section", "coalesce(system, s) AS system", "t", "back")
 
 
-def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, section: int = SECTION) -> DataFrame:
     """turns(conv_id, turn, role, text) -> one row a window: conv_id, section, window, n_repeated, n_new, n_tokens, over_budget, formatted, loss."""
-    got = _grouped(turns)
-    if (turns.agg(F.max(F.col("turn").cast("bigint"))).first()[0] or 0) >= SECTION:
-        first = got.where("section = 0 AND system IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("system").alias("s"))
-        got = got.join(first, F.expr("conv_id <=> c AND section > 0"), "left").selectExpr("conv_id", "section", "coalesce(system, s) AS system", "t")
+    got = _grouped(turns, section, history).selectExpr("conv_id", "section", "system", "size(back) AS old", "concat(back, t) AS t")
     sums = "aggregate(t, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x.n))"
     # by turn i: the first repeated turn of a window that begins there
     backs = f"transform(sequence(0, size(t)), i -> coalesce(array_min(filter(sequence(greatest(i - {history}, 0), i), j -> sums[i] - sums[j] <= {history_tokens})), i))"
-    starts = f"""aggregate(sequence(0, greatest(size(t) - 1, 0)), array(0), (a, i) ->
+    starts = f"""aggregate(sequence(old, greatest(size(t) - 1, old)), array(old), (a, i) ->
         IF(i > element_at(a, -1) AND fixed + sums[i + 1] - sums[backs[element_at(a, -1)]] > {budget}, array_append(a, i), a))"""
     window = "struct(s AS start, coalesce(get(starts, k + 1), size(t)) AS stop, backs[s] AS first, fixed + sums[coalesce(get(starts, k + 1), size(t))] - sums[backs[s]] AS n_tokens)"
     plan = _let("fixed", "coalesce(system.n, 0L)", _let("sums", sums, _let("backs", backs, _let("starts", starts, f"transform(starts, (s, k) -> {window})"))))

@@ -12,10 +12,13 @@ window limited to k a task.
 
 Queries lie in the shared folder and are read in blocks of BLOCK, so a task holds its tree and one block.
 
+Rows equal in vec_id and vector are one tree entry with their number, reduced in each task first, so a row that a third
+of the table repeats is one entry; its copies come back when the best are ranked.
+
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows of null
-vec_id; shorter vectors are filled up with zeros; repeated rows (same vec_id and vector) count once, and rows of the
-query's own vec_id are never its candidates; ties go to the smaller vec_id; an empty table gives no rows; extra
-columns are ignored.
+vec_id; shorter vectors are filled up with zeros; repeated rows are candidates each, and a query that is repeated
+meets each of its candidates as often (query_id has k rows at most all the same); rows of the query's own vec_id are
+never its candidates; ties go to the smaller vec_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,11 +84,11 @@ class MTree:
         return len(self.pages) - 1, float(far.max())
 
     def search(self, q: np.ndarray, own: int, k: int, ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those of id own; ints: the vectors in a type of exact products."""
+        """(rows, scores) of the k best rows but those of id own; ints: the vectors in a type of exact products."""
         q2 = float((q * q).sum())
         point = np.append(q, 0.0)
         slack = 1e-9 * (q2 + self.m2 + 1)
-        best_id, best = np.zeros(0, np.int64), np.zeros(0, ints.dtype)
+        best_row, best = np.zeros(0, np.int64), np.zeros(0, ints.dtype)
         reach = math.inf  # distance of the k-th best, with slack
         whole = q.astype(ints.dtype) if ints.dtype != object else np.array([int(v) for v in q], object)
         first = point - self.pivot
@@ -102,10 +105,10 @@ class MTree:
                 if not len(at):
                     continue
                 score = ints[at] @ whole
-                ids = np.concatenate([best_id, self.ids[at]])
-                score = np.concatenate([best, score])
+                rows = np.concatenate([best_row, at])
+                ids, score = self.ids[rows], np.concatenate([best, score])
                 order = np.lexsort((ids, -score))[:k] if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k])
-                best_id, best = ids[order], score[order]
+                best_row, best = rows[order], score[order]
                 if len(best) == k:
                     reach = math.sqrt(max(0.0, q2 + self.m2 - 2 * float(best[-1])) + slack) + 1e-12
             else:
@@ -115,7 +118,7 @@ class MTree:
                 for lo, e, to in zip(np.maximum(d - radius[ok], 0).tolist(), entries[ok].tolist(), d.tolist()):
                     if lo <= reach:
                         heapq.heappush(heap, (lo, e, to))
-        return best_id, best
+        return best_row, best
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -130,11 +133,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score); is_query is a boolean column."""
     spark: SparkSession = vectors.sparkSession
     store.prepare(spark)
+    store.shared_base(spark)  # where checkpoint() writes
     sound = F.expr("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
-    vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound).dropDuplicates(["vec_id", "embedding"])
+    vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound)
+    vectors = vectors.groupBy("vec_id", "embedding").agg(F.max("q").alias("q"), F.count("*").alias("n")).checkpoint()
     folder = store.new_folder(spark, "topk")
     rows, dim = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    out = "query_id bigint, vec_id bigint, score bigint"
+    out = "query_id bigint, vec_id bigint, score bigint, copies bigint"
     if not rows:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
 
@@ -144,33 +149,36 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             for i in range(0, b.num_rows, BLOCK):
                 c = b.slice(i, BLOCK)
                 store.save(folder, f"id-{part}-{n}", vec.longs(c.column(0)))
+                store.save(folder, f"copies-{part}-{n}", vec.longs(c.column(2)))
                 store.save(folder, f"query-{part}-{n}", _matrix(c.column(1), dim))
                 n += 1
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int32())})
 
-    blocks = [(r.part, i) for r in vectors.where("q").select("vec_id", "embedding").mapInArrow(write_queries, "part int, n int").collect() for i in range(r.n)]
+    blocks = [(r.part, i) for r in vectors.where("q").select("vec_id", "embedding", "n").mapInArrow(write_queries, "part int, n int").collect() for i in range(r.n)]
     n = max(-(-rows // TREE_ROWS), min(store.partitions(spark), -(-rows // 2048)))
 
     def search(batches):
-        ids, x = [], []
+        ids, x, copies = [], [], []
         for b in batches:
-            ids.append(vec.longs(b.column(0))), x.append(_matrix(b.column(1), dim))
+            ids.append(vec.longs(b.column(0))), x.append(_matrix(b.column(1), dim)), copies.append(vec.longs(b.column(2)))
         if not ids:
             return
-        tree = MTree(np.concatenate(x), np.concatenate(ids))
+        tree, times = MTree(np.concatenate(x), np.concatenate(ids)), np.concatenate(copies)
         for part, i in blocks:
-            own, q = store.load(folder, f"id-{part}-{i}"), store.load(folder, f"query-{part}-{i}")
+            own, q, repeated = (store.load(folder, f"{name}-{part}-{i}") for name in ("id", "query", "copies"))
             kind = exact(tree.x, q)
             ints = tree.x if kind is np.float64 else tree.x.astype(np.int64) if kind is np.int64 else np.array([[int(v) for v in r] for r in tree.x], object)
             got = [tree.search(np.asarray(v, float), int(o), k, ints) for o, v in zip(own.tolist(), q)]
             size = [len(g[0]) for g in got]
             if sum(size):
+                at = np.concatenate([g[0] for g in got])
+                n = np.minimum(np.minimum(times[at], k) * np.minimum(np.repeat(np.asarray(repeated), size), k), k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.asarray(own), size)), pa.array(np.concatenate([g[0] for g in got])), pa.array([int(s) for g in got for s in g[1]], pa.int64())], names=["query_id", "vec_id", "score"]
+                    [pa.array(np.repeat(np.asarray(own), size)), pa.array(tree.ids[at]), pa.array([int(s) for g in got for s in g[1]], pa.int64()), pa.array(n)], names=["query_id", "vec_id", "score", "copies"]
                 )
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = vectors.select("vec_id", "embedding").repartition(n, F.xxhash64("vec_id", "embedding")).mapInArrow(search, out)
+    found = vectors.select("vec_id", "embedding", "n").repartition(n, F.xxhash64("vec_id", "embedding")).mapInArrow(search, out).select("query_id", "vec_id", "score", F.explode(F.expr("sequence(1L, copies)")))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,12 +2,17 @@
 
 1. toxicity: documents that the classifier rejects go; it learns from the labels that operator 6 may learn from.
 2. near_duplicates: one document of each class stays, that of the least doc_id.
-3. decontamination: documents that hold windows of two benchmark items or more go.
+3. decontamination: documents that hold a window of any benchmark item go.
 4. secrets: spans of credentials are masked in the text, and n_chars follows; no document goes.
 5. bpe: the documents' token ids, with digests of the ids and of the text they decode to.
 
-Toxic texts go first so that a class of near duplicates is represented by an accepted text. Null and empty texts are
-clean and stay, once for each class of equal texts.
+Toxic texts go first so that a class of near duplicates is represented by an accepted text.
+
+Defined cases: null and empty texts are accepted, clean and without secrets or tokens, and one row of them all stays, as
+they are equal texts; null doc_ids are ids like others and come last where the least one stays; of repeated rows one
+stays; ties within a class go to the least doc_id, then the least text hash; an empty table gives an empty result with
+the same columns; extra columns, also of names that operators use inside, pass through all stages but the last, which
+returns its own columns. Stages decide by row, so texts that share a doc_id are decided each by itself.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe, chat, decontaminate, lang_id, lm_score, near_dup, secret_scan, suffix_dedup, topk, toxicity, vec
 
@@ -90,6 +91,12 @@ def test_decontamination_decides_by_row(spark, monkeypatch, broadcast):
     items = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "item_id int, text string")
     kept = decontaminate.clean(docs, items, 4)
     assert Counter(map(tuple, kept.collect())) == Counter(rows) and kept.columns == docs.columns
+    # columns of the names used inside, on both sides
+    names = ["bad", "bad_text", "text_hash", "row", "w", "word", "win", "items", "place", "at", "hit", "n_words", "clean_docs", "clean_bad", "contaminated"]
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    kept = decontaminate.clean(wide, items.select("*", *(F.lit(n).alias(n) for n in names)), 4)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows) and kept.columns == wide.columns
+    assert {tuple(r)[:2] for r in decontaminate.clean(wide, items, 4, least_items=1).collect()} == set(rows) - {(8, "a b c d")}
 
 
 def test_decontamination_of_nothing(spark):
@@ -130,40 +137,59 @@ def test_suffix_dedup(spark, monkeypatch, length):
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
+def kneser_ney(seqs):
+    """p(w | u, v) of the interpolated modified model of order 3, counted plainly."""
+    tri, uni = Counter(), Counter()
+    for w in seqs:
+        uni.update(w)
+        tri.update(zip(["<>", "<>", *w], ["<>", *w], w))
+    pairs, raw = Counter(), Counter()
+    for (_, v, w), c in tri.items():
+        pairs[v, w] += 1
+        raw[v, w] += c
+    pairs = {k: raw[k] if k[0] == "<>" else n for k, n in pairs.items()}
+    cont = Counter(w for _, w in pairs)
+
+    def totals(counts):
+        total, kinds = Counter(), defaultdict(lambda: [0] * 4)
+        for k, c in counts.items():
+            total[k[:-1]] += c
+            kinds[k[:-1]][min(c, 3)] += 1
+        return total, kinds
+
+    of = lambda counts: lm_score.discounts([Counter(counts.values())[i] for i in (1, 2, 3, 4)])
+    d1, levels = of(cont), [(c, of(c), *totals(c)) for c in (pairs, tri)]
+    rest, total, v = sum(d1[min(c, 3)] for c in cont.values()), sum(cont.values()), len(uni)
+
+    def p(w, *h):
+        if not h:
+            return (cont[w] - d1[min(cont[w], 3)] + rest / (v + 1)) / total
+        counts, d, n, kinds = levels[len(h) - 1]
+        lower = p(w, *h[1:])
+        if not n[h]:
+            return lower
+        c = counts.get((*h, w), 0)
+        return (max(c - d[min(c, 3)], 0) + sum(d[i] * kinds[h][i] for i in (1, 2, 3)) * lower) / n[h]
+
+    return p, uni
+
+
 def test_lm_score(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HELD", 300)
-    texts = drawn(3, 80, 15)
+    texts = [*drawn(3, 80, 15), "a b " * 400, "a b c"]
     docs = docs_of(spark, texts)
     out = lm_score.fold(7) == 2
     got = {r.doc_id: r for r in lm_score.score(docs, lm_score.fit(docs.where(~out)), out).collect()}
     seqs = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD)) + ["</>"] for d, t in enumerate(texts)}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in seqs}
-    uni, big = Counter(), Counter()
-    for d, w in seqs.items():
-        if not held[d]:
-            uni.update(w)
-            big.update(zip(["<>", *w], w))
-    cont, ctx, kinds = Counter(), Counter(), defaultdict(lambda: [0] * 4)
-    for (h, w), c in big.items():
-        cont[w] += 1
-        ctx[h] += c
-        kinds[h][min(c, 3)] += 1
-    of = lambda counts: lm_score.discounts([Counter(counts.values())[i] for i in (1, 2, 3, 4)])
-    d1, d2, total, v, n = of(cont), of(big), sum(cont.values()), len(uni), sum(uni.values())
-    rest = sum(d1[min(c, 3)] for c in cont.values())
-    p1 = lambda w: (cont[w] - d1[min(cont[w], 3)] + rest / (v + 1)) / total
-
-    def p2(h, w):
-        if not ctx[h]:
-            return p1(w)
-        c = big.get((h, w), 0)
-        return (max(c - d2[min(c, 3)], 0) + sum(d2[i] * kinds[h][i] for i in (1, 2, 3)) * p1(w)) / ctx[h]
-
-    assert sum(p2("</>" if "</>" in ctx else next(iter(ctx)), w) for w in [*uni, "?unknown"]) == pytest.approx(1)
+    p, uni = kneser_ney([w for d, w in seqs.items() if not held[d]])
+    n, v = sum(uni.values()), len(uni)
+    for h in [("<>", "<>"), ("a", "b"), ("<>", "a"), ("?", "b"), ("?", "?")]:
+        assert sum(p(w, *h) for w in [*uni, "?unknown"]) == pytest.approx(1)
     for d, w in seqs.items():
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(uni[x] > 0 for x in w), n)
-        assert r.score == pytest.approx(sum(math.log10(p2(h, x)) for h, x in zip(["<>", *w], w)))
+        assert r.score == pytest.approx(sum(math.log10(p(x, *h)) for *h, x in zip(["<>", "<>", *w], ["<>", *w], w)))
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w))
 
 
@@ -202,7 +228,7 @@ def classes(texts):
     n, df, union = len(texts), Counter(), near_dup.Union()
     for s in sets.values():
         df.update(s.keys())
-    w = {d: {s: c * (1 + near_dup.IDF * math.log(n / df[s]) / math.log(n)) for s, c in x.items()} for d, x in sets.items()}
+    w = {d: {s: round(1024 * c * (1 + near_dup.IDF * math.log(n / df[s]) / math.log(n))) / 1024 for s, c in x.items()} for d, x in sets.items()}
     for a in w:
         for b in range(a):
             if (texts[a] or "") == (texts[b] or ""):
@@ -239,7 +265,7 @@ def test_each_class_keeps_one_row(spark, repeated):
     near = lambda t: t.rsplit(" ", 1)[0] + " changed"
     rows = [(None, a), (None, b), (None, near(b)), (1, c), (1, d), (1, near(d)), (2, near(c)), (None, near(a)), (4, None)]
     rows += [(3, e), (3, e), (4, "")] if repeated else [(3, e)]
-    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int").repartition(3)
+    docs = spark.createDataFrame([(i, t, n, n, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int, text_hash_ int, class_id int").repartition(3)
     kept = near_dup.near_duplicates(docs, keep=True)
     got = [(r.doc_id, r.text or "") for r in kept.collect()]
     assert kept.columns == docs.columns and len(got) == len(set(got)) == 6
@@ -253,7 +279,7 @@ def test_group_clustering_compares_all_at_once():
         h = np.sort(g.choice(120, 100, replace=False)).astype(np.uint64)
         vectors[i] = (h, np.ones(100, np.float32), 100.0)
     nodes, union, want = np.arange(60, dtype=np.uint64), near_dup.Union(), near_dup.Union()
-    near_dup.cluster(nodes, np.zeros((60, 30), np.uint8), 0, vectors.__getitem__, lambda n: 100, union)
+    near_dup.cluster(nodes, np.zeros((60, 30), np.uint8), vectors.__getitem__, lambda n: 100, union)
     for a in range(60):
         for b in range(a):
             if near_dup.similarity(vectors[a], vectors[b]) >= 0.8:
@@ -261,11 +287,33 @@ def test_group_clustering_compares_all_at_once():
     assert [union.find(i) for i in range(60)] == [want.find(i) for i in range(60)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_of_several_components(seed):
+    """Texts drawn round a few centres, some linked beforehand: the same components as from all pairs."""
+    g = np.random.default_rng(seed)
+    centres = [g.choice(4000, 100, replace=False) for _ in range(4)]
+    vectors = {}
+    for i in range(150):
+        c = centres[int(g.choice(4, p=[0.55, 0.25, 0.15, 0.05]))].copy()
+        c[g.choice(100, int(g.integers(0, 25)), replace=False)] = g.integers(4000, 10**9)
+        h = np.unique(c).astype(np.uint64)
+        vectors[i] = (h, np.ones(len(h), np.float32), float(len(h)))
+    union, want = near_dup.Union(), near_dup.Union()
+    for a, b in g.integers(0, 150, (6, 2)).tolist():
+        union.join(a, b), want.join(a, b)
+    near_dup.cluster(g.permutation(150).astype(np.uint64), np.zeros((150, 30), np.uint8), vectors.__getitem__, lambda n: 100, union)
+    for a in range(150):
+        for b in range(a):
+            if near_dup.similarity(vectors[a], vectors[b]) >= 0.8:
+                want.join(a, b)
+    assert [union.find(i) for i in range(150)] == [want.find(i) for i in range(150)]
+
+
 def test_equal_bytes_are_no_shared_band():
     """All samples of bands 0 and 1 agree in their bytes, as where one of band 0's only collides: band 1's group must still link the pair."""
     v = (np.arange(100, dtype=np.uint64), np.ones(100, np.float32), 100.0)
     union = near_dup.Union()
-    near_dup.cluster(np.array([3, 8], np.uint64), np.zeros((2, 30), np.uint8), 1, {3: v, 8: v}.__getitem__, lambda n: 100, union)
+    near_dup.cluster(np.array([3, 8], np.uint64), np.zeros((2, 30), np.uint8), {3: v, 8: v}.__getitem__, lambda n: 100, union)
     assert union.find(8) == 3
 
 
@@ -366,23 +414,40 @@ def test_inferred_automaton_repeats_a_loop():
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
+def best_of(rows, k=10):
+    """Brute force over rows, repeated ones each, as (query_id, rank, vec_id, score)."""
+    dim = max((len(v) for i, v in rows if v), default=0)
+    ok = [(i, np.floor(1024 * np.array(np.float32(v + [0.0] * (dim - len(v))), float)).astype(int).tolist()) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    found = defaultdict(list)
+    for i, q in ok:
+        if i % 100 == 0:
+            found[i] += [(-sum(a * b for a, b in zip(q, c)), j) for j, c in ok if j != i]
+    return [(i, r + 1, j, -s) for i, x in found.items() for r, (s, j) in enumerate(sorted(x)[:k])]
+
+
 def test_topk(spark):
     g = np.random.default_rng(8)
     rows = [(i, [float(x) for x in g.normal(size=6).round(1)]) for i in range(400)]
     rows += [(i, [0.5] * 6) for i in range(400, 700)]  # a very common vector
-    rows += [(700, None), (800, [float("nan")] * 6), (900, [1.0, None]), (1000, [float("inf")] * 6), (1100, [2.0]), (None, [9.0] * 6), (100, rows[100][1])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
-    ok = {(i, tuple(np.floor(1024 * np.array(np.float32(v + [0.0] * (6 - len(v))), float)).astype(int).tolist())) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))}
-    want = []
-    for i, q in ok:
-        if i % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ok if j != i)[:10]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    rows += [(700, None), (800, [float("nan")] * 6), (900, [1.0, None]), (1000, [float("inf")] * 6), (1100, [2.0]), (None, [9.0] * 6), (100, rows[100][1]), (200, [0.1] * 6)]
+    rows += [rows[250]] * 7 + [rows[251]] * 25  # repeated rows are candidates each
+    df = spark.createDataFrame([(*r, "x", 1.0, 2) for r in rows], "vec_id bigint, embedding array<float>, q string, score double, n int").repartition(5)
     got = [tuple(r) for r in topk.top_k(df, df.vec_id % 100 == 0).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == sorted(best_of(rows))
     assert topk.top_k(df.limit(0), df.vec_id % 100 == 0).count() == 0
 
 
+def test_topk_of_repeated_queries_is_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.vec_id % 100 == 0).collect())
+    want = duckdb.sql(topk.OP8_SQL.replace("FROM embeddings", f"FROM '{tmp_path}/e/*.parquet'")).fetchall()
+    assert len(got) == 6 and [x[1:] for x in got] == [x[1:] for x in sorted(want)] and sorted(got) == sorted(best_of(rows))
+
+
 def test_mtree_prunes():
     g = np.random.default_rng(1)
     x = np.floor(np.concatenate([g.normal(c, 1, (500, 8)) for c in range(0, 900, 30)]) * 10)
@@ -397,26 +462,51 @@ def test_mtree_prunes():
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_chat(spark):
+def windows_of(rows, section, budget=512, history=2, history_tokens=128):
+    """(n_repeated, n_new, n_tokens) of each window of a conversation's (role, text) turns, turn by turn."""
+    size = lambda t: len(re.findall(r"\w+|[^\w\s]", t)) + 4
+    system = size(rows[0][1]) if rows[0][0] == "system" else 0
+    n, out = [size(t) for _, t in rows], []
+    first, i, new = bool(system), int(bool(system)), True
+    while i < len(rows) or new:
+        edge = min(len(rows), (i // section + 1) * section)
+        back = max(j for j in range(history + 1) if i - j >= first and sum(n[i - j : i]) <= history_tokens)
+        total, j = system + sum(n[i - back : i]), i
+        while j < edge and (j == i or total + n[j] <= budget):
+            total += n[j]
+            j += 1
+        out.append((back + (bool(system) and not new), j - i + (bool(system) and new), total))
+        i, new = j, False
+    return out
+
+
+@pytest.mark.parametrize("section", [4096, 10, 64])
+def test_chat(spark, section):
     odd = [(1, 0, "system", "sys <<s>> <<SYS>>&amp;"), (1, 1, "user", None), (1, 2, "assistant", "&lt;s> <<</SYS>> &amp;lb; [[INST]]\n</s"), (1, 3, None, "<"), (1, 4, "a\nb&nl;&", "x\n\ny"), (None, 0, "user", "n"), (None, None, "assistant", "é🙂" * 50)]
     odd += [(2, 0, "assistant", "a " * 2000), (2, 1, "user", "b"), (2, 2, "assistant", "c"), (2, 2, "assistant", "c"), (3, 0, "system", "only"), (4, 0, "user", "</s>[INST] ok [/INST]")]
-    odd += [(5, i, "system" if not i else ["user", "assistant"][i % 2], f"word {i} " * (i % 40)) for i in range(4200)]
-    df = spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string").repartition(3)
-    out = chat.format_chats(df)
+    odd += [(5, i, "system" if not i else ["user", "assistant"][i % 2], f"word {i} " * (i % 40)) for i in range(4200 if section > 4000 else 500)]
+    odd += [(6, 5000 + 1000 * i, "system" if not i else ["user", "assistant"][i % 2], f"time {i} " * (i % 30)) for i in range(100)]  # sparse numbers, from 5000 on
+    odd += [(7, i // 40 - 1, "user", f"{i % 40:02} " + "y " * (i % 25)) for i in range(90)]  # many rows of one number, one of them negative
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in odd], "conv_id bigint, turn bigint, role string, text string, section string, place int, n int").repartition(3)
+    out = chat.format_chats(df, section=section)
     by = defaultdict(list)
     for r in odd:
         by[r[0]].append(r)
     got = {r.conv_id: r for r in chat.read_back(out).collect()}
     assert set(got) == set(by)
+    windows = defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.section, r.window)):
+        windows[r.conv_id].append(r)
     for c, rows in by.items():
         rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         assert [(t.role, t.text) for t in got[c].turns] == [(r[2] or "", r[3] or "") for r in rows]
         assert list(got[c].loss) == [r[3] or "" for r in rows if r[2] == "assistant"]
-    w = out.where("conv_id = 5").collect()
-    assert all(r.n_tokens <= chat.BUDGET for r in w) and all(r.formatted.startswith("<s>system\n") for r in w) and max(r.n_repeated for r in w) == 3
-    assert [r.over_budget for r in out.where("conv_id = 2").orderBy("window").collect()][0]
-    for r in out.where("conv_id < 5").collect():  # no control string but those of the frame
-        assert r.formatted.count("<s>") == r.formatted.count("</s>") == r.n_repeated + r.n_new and "[INST]" not in r.formatted and "<<SYS>>" not in r.formatted
+        assert [(r.n_repeated, r.n_new, r.n_tokens) for r in windows[c]] == windows_of([(r[2] or "", r[3] or "") for r in rows], section)
+    assert all(r.n_tokens <= chat.BUDGET and r.formatted.startswith("<s>system\n") for r in windows[5] + windows[6]) and max(r.n_repeated for r in windows[5]) == 3
+    assert windows[2][0].over_budget
+    for c in (1, 2, 3, 4, None):  # no control string but those of the frame
+        for r in windows[c]:
+            assert r.formatted.count("<s>") == r.formatted.count("</s>") == r.n_repeated + r.n_new and "[INST]" not in r.formatted and "<<SYS>>" not in r.formatted
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 

@@ -26,7 +26,7 @@ from . import store
 WINDOW = 8
 BROADCAST_BYTES = 32 << 20
 #: Never null, so rows of null text are known by it too.
-TEXT_HASH = "xxhash64(CAST(text AS string))"
+TEXT_HASH = "xxhash64(CAST({} AS string))"
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -54,15 +54,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_i
     vocabulary = hint(items.select(F.explode("w").alias("word")).distinct())
     counts = docs.select(F.explode(words()).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
     win = windows(items.select("item_id", "w"), counts, size)
-    both = docs.select("doc_id", F.expr(TEXT_HASH).alias("text_hash"), words().alias("w")).withColumn("row", F.monotonically_increasing_id())
+    both = docs.select("doc_id", F.expr(TEXT_HASH.format("text")).alias("text_hash"), words().alias("w")).withColumn("row", F.monotonically_increasing_id())
     fits = "place - at >= 0 AND place - at + size(win) <= size(w) AND slice(w, place - at + 1, size(win)) = win"
     if small:
         # the empty word, which no text has, ends each document's words and meets one row without a window
         mark = win.sparkSession.sql("SELECT '' AS word, 0 AS at").select("word", "at", F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast(win.schema["items"].dataType).alias("items"))
         hits = both.select("row", "doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("place", "word")).join(hint(win.unionByName(mark)), "word").where(f"win IS NULL OR {fits}")
     else:
-        found = both.select("row", "doc_id", F.posexplode("w").alias("place", "word")).join(win, "word").select("doc_id", "place", "at", "win", "items")
-        hits = both.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id")).select("row", "d.doc_id", "text_hash", "w", "place", "at", "win", "items").where(fits)
+        # candidates go back to their text by doc_id and text hash, each once however often the row is repeated
+        found = both.select("doc_id", "text_hash", F.posexplode("w").alias("place", "word")).join(win.withColumn("win_id", F.xxhash64("win")), "word").select("doc_id", "text_hash", "place", "at", "win_id", "win", "items").dropDuplicates(["doc_id", "text_hash", "place", "at", "win_id"])
+        hits = both.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash")).select("row", "d.doc_id", "d.text_hash", "w", "place", "at", "win", "items").where(fits)
         hits = hits.unionByName(both.selectExpr("row", "doc_id", "text_hash", "w", "size(w) AS place", "0 AS at", "CAST(NULL AS array<string>) AS win"), allowMissingColumns=True)
     # one row of a document has its number of words, the others a start and its window's length
     hits = hits.selectExpr("row", "doc_id", "text_hash", "CASE WHEN win IS NULL THEN place END AS n_words", "CASE WHEN win IS NOT NULL THEN sequence(place - at, place - at + size(win) - 1) END AS hit", "items")
@@ -73,9 +74,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_i
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
     """The rows of docs that are not contaminated: a row is known by doc_id and its text's hash, as equal texts are decided alike."""
     store.shared_base(docs.sparkSession)  # where checkpoint() writes
-    bad = decontaminate(docs, items, size, least_items).where("contaminated").select(F.col("doc_id").alias("bad"), F.col("text_hash").alias("bad_text")).distinct().coalesce(1 + store.partitions(docs.sparkSession) // 8).checkpoint()
+    bad = decontaminate(docs, items, size, least_items).where("contaminated").select("doc_id", "text_hash").distinct().coalesce(1 + store.partitions(docs.sparkSession) // 8).checkpoint()
     side = F.broadcast(bad) if bad.count() * 24 <= BROADCAST_BYTES else bad
-    return docs.join(side, F.expr(f"doc_id <=> bad AND {TEXT_HASH} = bad_text"), "left_anti")
+    # names are qualified, so docs may have any other columns
+    return docs.alias("clean_docs").join(side.alias("clean_bad"), F.expr(f"clean_docs.doc_id <=> clean_bad.doc_id AND {TEXT_HASH.format('clean_docs.text')} = clean_bad.text_hash"), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

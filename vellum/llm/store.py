@@ -2,7 +2,11 @@
 
 Workers write whole files under a temporary name and rename them, so a repeated task leaves the same file.
 Workers map the files into memory; where the shared folder is no file system of the operating system, they
-are first fetched into an unnamed local file. The folder is the session's spark.checkpoint.dir.
+are first fetched into an unnamed local file, a cache that any worker can make again. The folder is the session's
+spark.checkpoint.dir; where that is unset, one is made in local mode only, as other machines couldn't read it.
+
+A step that writes shards returns their numbers and the driver writes a manifest of them, so that a shard without rows
+is told from a file that is missing, which is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ BLOB = "kind int, shard int, blob binary"
 
 
 def prepare(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch limits, which Spark reads when a plan runs, thus after an operator has returned."""
     for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(k, str(v))
 
@@ -36,6 +41,8 @@ def prepare(spark: SparkSession) -> None:
 def shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vellum-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -83,11 +90,48 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 @functools.lru_cache(4096)
 def load(folder: str, name: str) -> np.ndarray | None:
-    """The array, mapped into memory; None if there is none."""
+    """The array, mapped into memory; None for a shard that its step wrote no rows of. Raises for any other missing file."""
+    got = _open(folder, name)
+    if got is not None:
+        return got
+    kind, _, shard = name.partition(".")[0].rpartition("-")
+    if not name.startswith(_MANIFEST):
+        have = load(folder, f"{_MANIFEST}{kind}")
+        if int(shard) not in have:
+            return None
+    raise FileNotFoundError(f"{folder}/{name}.npy is missing")
+
+
+def manifest(folder: str, shards: dict[str, list[int]]) -> None:
+    """Written by the driver after a step: the shards that there are of each kind of file."""
+    for kind, have in shards.items():
+        save(folder, f"{_MANIFEST}{kind}", np.array(sorted(have), np.int64))
+
+
+def run_step(step: DataFrame, folder: str, kinds: dict[int, tuple[str, ...]]) -> list[int]:
+    """Runs a step whose rows are (kind, shard, values...), one a shard that it wrote, writes the manifest of each kind's files and returns the values' sums."""
+    got, sums = {k: [] for k in kinds}, [0] * (len(step.columns) - 2)
+    for kind, shard, *values in step.collect():
+        got[kind].append(shard)
+        sums = [a + b for a, b in zip(sums, values)]
+    manifest(folder, {name: got[k] for k, names in kinds.items() for name in names})
+    return sums
+
+
+def rows(columns: str, values: list[tuple]) -> pa.RecordBatch:
+    """A record batch of integers: rows (kind, shard, values...)."""
+    names = columns.replace(",", "").split()[::2]
+    types = [pa.int32() if n in ("kind", "shard") else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], t) for i, t in enumerate(types)], names=names)
+
+
+_MANIFEST = "shards of "
+
+
+def _open(folder: str, name: str) -> np.ndarray | None:
     if path := _local(folder):
-        path = f"{path}/{name}.npy"
         try:
-            with open(path, "rb") as f:
+            with open(f"{path}/{name}.npy", "rb") as f:
                 return _mapped(f)
         except FileNotFoundError:
             return None
@@ -181,8 +225,9 @@ def gather(batches) -> dict[tuple[int, int], list[bytes]]:
 
 
 def save_sorted(folder: str, name: str, key40: np.ndarray, values: np.ndarray) -> None:
-    """A sorted hash array: 40-bit keys as 256 offsets and 32-bit rests, and a row of values for each."""
-    save(folder, f"{name}.off", np.searchsorted(key40, np.arange(257, dtype=np.uint64) << np.uint64(32)).astype(np.uint32))
+    """A sorted hash array: 40-bit keys as offsets by their leading bits (so that some 16 keys share one) and 32-bit rests, and a row of values for each."""
+    b = min(16, max(8, len(key40).bit_length() - 4))
+    save(folder, f"{name}.off", np.searchsorted(key40, np.arange((1 << b) + 1, dtype=np.uint64) << np.uint64(40 - b)).astype(np.uint32))
     save(folder, f"{name}.key", (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32))
     save(folder, f"{name}.val", values)
 
@@ -193,11 +238,10 @@ def find_sorted(folder: str, name: str, key40: np.ndarray) -> tuple[np.ndarray,
     key = load(folder, f"{name}.key")
     if off is None or not len(key):
         return np.zeros(len(key40), bool), np.zeros(len(key40), np.int64)
-    off = off.astype(np.int64)
-    sub, rest = (key40 >> np.uint64(32)).astype(np.int64), (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    lo, hi = off[sub], off[sub + 1]
-    end = hi.copy()
-    for _ in range(int((hi - lo).max()).bit_length()):
+    sub, rest = (key40 >> np.uint64(41 - len(off).bit_length())).astype(np.int64), (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    lo, end = off[sub].astype(np.int64), off[sub + 1].astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
         mid = (lo + hi) >> 1
         less = (key[np.minimum(mid, len(key) - 1)] < rest) & (lo < hi)
         lo = np.where(less, mid + 1, lo)
@@ -206,10 +250,10 @@ def find_sorted(folder: str, name: str, key40: np.ndarray) -> tuple[np.ndarray,
     return (lo < end) & (key[row] == rest), row
 
 
-def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=np.int64) -> np.ndarray:
-    """The values of 64-bit hashes in sharded sorted hash arrays; zeros where there are none."""
+def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=np.int64, by: np.ndarray | None = None) -> np.ndarray:
+    """The values of 64-bit hashes in sharded sorted hash arrays; zeros where there are none. The shard is that of by, or of the hash itself."""
     out = np.zeros((len(h), columns), dtype)
-    shard = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+    shard = ((h if by is None else by) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
     low = ((h << np.uint64(bits)) >> np.uint64(24))[order]
@@ -219,3 +263,32 @@ def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=n
         if hit.any():
             out[order[a:b][hit]] = load(folder, f"{name}-{s}.val")[row[hit]]
     return out
+
+
+#: Counts from which a byte does not do; save_counts keeps rows with such a one apart in full.
+LARGE = 255
+
+
+def save_counts(folder: str, name: str, shard: int, key40: np.ndarray, values: np.ndarray) -> None:
+    """A sorted hash array of rows of counts: a byte each; rows with a count from LARGE on also as 64-bit integers, marked by their first byte."""
+    small, large = np.minimum(values, LARGE).astype(np.uint8), values.max(1) >= LARGE
+    small[large, 0] = LARGE
+    save_sorted(folder, f"{name}-{shard}", key40, small)
+    save_sorted(folder, f"{name}_large-{shard}", key40[large], values[large].astype(np.uint64))
+
+
+def find_counts(folder: str, name: str, bits: int, h: np.ndarray, columns: int, by: np.ndarray | None = None) -> np.ndarray:
+    out = find(folder, name, bits, h, columns, by=by)
+    many = np.flatnonzero(out[:, 0] == LARGE)
+    if len(many):
+        out[many] = find(folder, f"{name}_large", bits, h[many], columns, by=None if by is None else by[many])
+    return out
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """64-bit integers as eight planes of bytes, of which small numbers leave seven empty: as good as nothing once compressed."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)

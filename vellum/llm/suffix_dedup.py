@@ -16,7 +16,8 @@ from their starts. An index-based difference cover has the same property but nee
 
 Each step is a shuffle of packed arrays, reduced in each task first, so a class of a third of all documents
 arrives as one entry a task; a class with very many occurrences is dealt by run, not by class. Results of a
-step are sorted files in the shared folder. Equality is that of 64-bit hashes (128 bits in step 2).
+step are sorted files in the shared folder. Equality is that of 128 bits of hashes: in step 2 of the sampled k-gram and
+the run, in step 3 of the string and of its halves. Texts that share a doc_id are told apart by a 64-bit hash.
 
 Defined cases: null text is empty; null doc_id comes first; rows equal in doc_id and text count as one document
 (each gets that document's result), rows equal in doc_id only are ordered by a hash of the text; an empty table
@@ -40,10 +41,11 @@ HOT = 20_000
 #: Sampled positions a task holds before it hands them on.
 HELD = 3_000_000
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-_RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("at", "<u4"), ("n", "<u2"), ("hot", "u1")])
-_POS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("at", "<u4")])
-_IVL = np.dtype([("doc", "<i8"), ("th", "<u4"), ("at", "<u4"), ("end", "<u4")])
+_RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<u8"), ("at", "<u4"), ("n", "<u2"), ("hot", "u1")])
+_POS = np.dtype([("key", "<u8"), ("key2", "<u8"), ("doc", "<i8"), ("th", "<u8"), ("at", "<u4")])
+_IVL = np.dtype([("doc", "<i8"), ("th", "<u8"), ("at", "<u4"), ("end", "<u4")])
 RUN, POS, IVL = 0, 1, 2
+_DONE = "kind int, shard int, n bigint"
 
 
 def sampled(data: np.ndarray, off: np.ndarray, length: int):
@@ -77,7 +79,7 @@ def sampled(data: np.ndarray, off: np.ndarray, length: int):
 
 
 def _documents(batch, lo: int, hi: int, c: np.ndarray, off: np.ndarray):
-    return vec.longs(batch.column("doc_id"))[lo:hi], (vec.span(c, off[:-1], off[1:]) >> U(32)).astype(np.uint32)
+    return vec.longs(batch.column("doc_id"))[lo:hi], vec.span(c, off[:-1], off[1:]) ^ vec.mix(np.diff(off).astype(U))
 
 
 def _doc_shard(doc: np.ndarray, bits: int) -> np.ndarray:
@@ -149,7 +151,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from flush_keys(held)
 
     def reduce_keys(batches):
-        out = []
+        out: list = []
         for (_, shard), got in store.gather(batches).items():
             rec = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in got])
             k, n = vec.unpack(np.ascontiguousarray(rec[:, :5]), 5), rec[:, 5].astype(np.int64)
@@ -160,10 +162,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             again = total > 1
             store.save(folder, f"rank-{shard}", k[at][again])
             store.save(folder, f"hot-{shard}", k[at][total >= HOT])
-            out.append((shard, int(again.sum())))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([x[0] for x in out], pa.int32()), "n": pa.array([x[1] for x in out], pa.int64())})
+            out.append((0, shard, int(again.sum())))
+        yield store.rows(_DONE, out)
 
-    found = store.deal(docs.select("text").mapInArrow(map_keys, store.BLOB), parts).mapInArrow(reduce_keys, "shard int, n bigint").selectExpr("sum(n)").first()[0]
+    step = store.deal(docs.select("text").mapInArrow(map_keys, store.BLOB), parts).mapInArrow(reduce_keys, _DONE)
+    found = store.run_step(step, folder, {0: ("rank", "hot")})[0]
     doc_bits = bits
 
     def known(key: np.ndarray, name: str) -> np.ndarray:
@@ -225,7 +228,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from _send(RUN, x, _doc_shard(x["doc"], doc_bits))
 
     def write_runs(batches):
-        out = []
+        out: list = []
         for (kind, shard), got in store.gather(batches).items():
             if kind == IVL:
                 x = _merge(np.concatenate([np.frombuffer(g, _IVL) for g in got]))
@@ -235,18 +238,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 x = x[np.lexsort((x["at"], x["th"], x["doc"]))]
                 store.save(folder, f"open-doc-{shard}", np.ascontiguousarray(x["doc"]))
                 store.save(folder, f"open-{shard}", x.astype(_OPEN))
-            out.append((kind, len(x)))
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([x[0] for x in out], pa.int32()), "n": pa.array([x[1] for x in out], pa.int64())})
+            out.append((kind, shard, len(x)))
+        yield store.rows(_DONE, out)
 
     if found:
         runs = store.deal(docs.mapInArrow(map_runs, store.BLOB), parts).mapInArrow(reduce_runs, store.BLOB)
-        store.deal(runs, parts).mapInArrow(write_runs, "kind int, n bigint").selectExpr("sum(n)").first()
+        store.run_step(store.deal(runs, parts).mapInArrow(write_runs, _DONE), folder, {IVL: ("tie",), RUN: ("open", "open-doc")})
+    else:
+        store.manifest(folder, dict.fromkeys(("tie", "last"), []))
 
     def flush_positions(held: list):
-        x, _, later = _later(np.concatenate(held), "key")
+        x, _, later = _later(np.concatenate(held), "key", "key2")
         gone = x[later]
         yield from _send(IVL, ivl := _intervals(gone, np.ones(len(gone), np.uint32), length), _doc_shard(ivl["doc"], doc_bits))
-        x = x[~later & vec.firsts(x["key"], x["doc"], x["th"], x["at"])]
+        x = x[~later & vec.firsts(x["key"], x["key2"], x["doc"], x["th"], x["at"])]
         yield from _send(POS, x, (x["key"] >> U(64 - bits)).astype(np.int64))
 
     def map_positions(batches):
@@ -267,7 +272,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 d = np.repeat(d, count)
                 s = off[d] + at
                 x = np.zeros(len(s), _POS)
-                x["key"], x["doc"], x["th"], x["at"] = vec.span(c, s, s + length), doc[d], th[d], at
+                half = s + length // 2
+                x["key"], x["key2"] = vec.span(c, s, s + length), vec.mix(vec.span(c, s, half) * U(vec.BASE) ^ vec.span(c, half, s + length))
+                x["doc"], x["th"], x["at"] = doc[d], th[d], at
                 held.append(x)
                 n += len(x)
             if n > HELD // 2:
@@ -282,21 +289,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 x = _merge(np.concatenate([np.frombuffer(g, _IVL) for g in got]))
                 yield from store.blobs(IVL, np.full(len(x), shard), store.as_bytes(x))
                 continue
-            x, _, later = _later(np.concatenate([np.frombuffer(g, _POS) for g in got]), "key")
+            x, _, later = _later(np.concatenate([np.frombuffer(g, _POS) for g in got]), "key", "key2")
             gone = x[later]
             yield from _send(IVL, ivl := _intervals(gone, np.ones(len(gone), np.uint32), length), _doc_shard(ivl["doc"], doc_bits))
 
     def write_spans(batches):
-        n = 0
+        out: list = []
         for (_, shard), got in store.gather(batches).items():
             x = _merge(np.concatenate([np.frombuffer(g, _IVL) for g in got]))
             store.save(folder, f"last-{shard}", x)
-            n += len(x)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            out.append((IVL, shard, len(x)))
+        yield store.rows(_DONE, out)
 
     if found:
         positions = store.deal(docs.mapInArrow(map_positions, store.BLOB), parts).mapInArrow(reduce_positions, store.BLOB)
-        store.deal(positions, parts).mapInArrow(write_spans, "n bigint").selectExpr("sum(n)").first()
+        store.run_step(store.deal(positions, parts).mapInArrow(write_spans, _DONE), folder, {IVL: ("last",)})
 
     def cut(batches):
         for b in batches:
@@ -333,7 +340,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.mapInArrow(cut, OUT)
 
 
-_OPEN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("at", "<u4"), ("n", "<u2")])
+_OPEN = np.dtype([("doc", "<i8"), ("th", "<u8"), ("at", "<u4"), ("n", "<u2")])
 
 
 def _of_documents(folder: str, name: str, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -346,8 +353,7 @@ def _of_documents(folder: str, name: str, doc: np.ndarray, bits: int) -> tuple[n
         rec = store.load(folder, f"{name}-{s}")
         if rec is None or not len(rec):
             continue
-        key = store.load(folder, f"{name}-doc-{s}")
-        key = _doc_column(folder, f"{name}-{s}") if key is None else key
+        key = store.load(folder, f"open-doc-{s}") if name == "open" else _doc_column(folder, f"{name}-{s}")
         at = order[ends[s] : ends[s + 1]]
         lo, hi = np.searchsorted(key, doc[at]), np.searchsorted(key, doc[at], "right")
         n = hi - lo

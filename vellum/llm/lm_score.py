@@ -1,21 +1,28 @@
-"""Scoring by an interpolated modified Kneser-Ney bigram model (operator 3).
+"""Scoring by an interpolated modified Kneser-Ney model of order 3 (operator 3).
 
 The model is counted in Spark and stored as sorted hash arrays in the shared folder, which workers map into memory.
-
-1. Bigrams: each task counts its hashes, blobs of (40-bit rest, count) go to the shard of their leading bits,
-   each shard becomes a sorted hash array. Nothing is pruned.
-2. Words: a second scan looks up the count c of each bigram occurrence. An occurrence adds 1/c to its word's
-   continuation count and to its context's number of words seen once, twice and more, so those distinct counts
-   become sums that each task reduces first; no shard ever holds the bigrams of one word together.
-3. Scores: a third scan looks up bigrams, words and contexts.
-
-Order 2 is the order that fits the disk budget of 4 times the input: trigrams would add as much again as bigrams.
-A bigram is known by its shard and 40 more bits of its hash.
-
-p(w) = (max(N1+(.w) - D, 0) + (share of discounts) / (V+1)) / N1+(..), V+1 counting the unknown word;
-p(w|h) = (max(c(hw) - D(c), 0) + gamma(h) p(w)) / c(h), or p(w) for an unseen h. D1, D2, D3+ are estimated from
-the counts of counts at either level. A text's words follow a begin mark, which is not scored, and lead to one
-end, which is.
+Nothing is pruned and all counts are 64-bit integers.
+
+1. Words: each task counts its words' hashes; a shard of them numbers its words by falling count, number times
+   shards plus shard being a word's id, so frequent words have small ids without any global order.
+2. Trigrams (u, v, w): a second scan counts them by ids and deals them to shards by the hash of (v, w). They are sent
+   sorted, as planes of bytes, of which the compression of the shuffle leaves about a third.
+3. A shard holds every trigram of a pair (v, w), so its reduction gives the trigrams' counts, written as a sorted hash
+   array, and the pairs' continuation counts N1+(.vw), and sums up what contexts (u, v) and words need: how
+   often a context occurs and how many trigrams of it are seen once, twice and more; a word's continuation count, and the
+   like sums over the pairs that it begins.
+4. Those meet in another shuffle, by pair and by word, and are written: a pair's row holds what it needs as an end and
+   as a context, so a text's pairs are looked up once each.
+5. Scores: a last scan of the texts looks up words, pairs and trigrams.
+
+p1(w)     = (max(N1+(.w) - D, 0) + (share of discounts) / (V+1)) / N1+(..), V+1 counting the unknown word;
+p2(w|v)   = (max(a - D(a), 0) + gamma(v) p1(w)) / a(v.), a = N1+(.vw), but the raw count where v is the begin mark;
+p3(w|u,v) = (max(c - D(c), 0) + gamma(u, v) p2(w|v)) / c(uv.), or p2 for an unseen context, as p2 is p1 for an unseen v.
+D1, D2, D3+ are estimated at each level from the counts of counts. A text's words follow two begin marks, which are not
+scored, and lead to one end, which is.
+
+A pair's trigrams are in one shard, reduced in each task first: a pair that very many texts hold is as many entries as
+it has different words before it.
 
 Defined cases: null or empty text is its end alone; null doc_id is hashed as an empty text and returned as null;
 repeated rows count each time; with nothing to learn from, V = N = 0 and every token has probability 1; extra
@@ -36,9 +43,14 @@ from .vec import U
 
 SPACE = vec.byte_class([0x20, *range(0x09, 0x0E)])
 END, BEGIN = vec.mix(np.array([0xE4D, 0xB16], U))
+#: The id of a word that was not learned.
+UNKNOWN = U(1 << 63)
 SLICE = 6 << 20
-HELD = 4_000_000
+HELD = 3_000_000
+#: Kinds of blobs: pairs as ends of one trigram, as ends of several, contexts of one trigram, of several, words, counts of counts.
+END_ONCE, END_MORE, ONCE, MORE, WORD, STAT = range(6)
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_DONE = "kind int, shard int, " + ", ".join(f"x{i} bigint" for i in range(10))
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,23 +67,32 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tok, at
 
 
-def pairs(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    ctx = np.empty_like(tok)
-    ctx[1:] = tok[:-1]
-    ctx[at[:-1]] = BEGIN
-    return vec.mix(ctx * U(0xD6E8FEB86659FD93) + tok)
+def before(tok: np.ndarray, at: np.ndarray, begin) -> tuple[np.ndarray, np.ndarray]:
+    """The two ids before each token (u, v); begin before a text's first."""
+    u, v = np.empty_like(tok), np.empty_like(tok)
+    v[1:], u[2:] = tok[:-1], tok[:-2]
+    v[at[:-1]] = u[at[:-1]] = begin
+    u[at[:-1][np.diff(at) > 1] + 1] = begin
+    return u, v
+
+
+def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return vec.mix(vec.mix(v) * U(0xD6E8FEB86659FD93) + w)
+
+
+def triple(uv: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return vec.mix(uv * U(0x9FB21C651E98DF25) + w)
 
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need to score: where the arrays are, N, V and the discounts of both levels."""
+    """What workers need to score: where the arrays are, N, V and the discounts of the three levels."""
 
     folder: str
     bits: int
     tokens: int
     words: int
-    pair_discount: tuple[float, ...]
-    word_discount: tuple[float, ...]
+    discount: tuple[tuple[float, ...], ...]
     continuations: int
     rest: float
 
@@ -85,8 +106,24 @@ def discounts(n: list[int]) -> tuple[float, ...]:
     return (0.0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)))
 
 
-def _rest(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h << U(bits)) >> U(24)
+def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(store.firsts_of(keys))
+    return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values[:0]
+
+
+def _kinds(n: np.ndarray) -> np.ndarray:
+    """Columns: whether a count is one, two, or more."""
+    return np.stack([n == 1, n == 2, n > 2], 1).astype(np.int64)
+
+
+def word_rows(folder: str, bits: int, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes' ids, their counts, place of each token and last of the begin mark among them)."""
+    distinct, inv = np.unique(np.append(tok, BEGIN), return_inverse=True)
+    row = store.find(folder, "word", bits, distinct, 3)  # present, id, count
+    return np.where(row[:, 0] > 0, row[:, 1].astype(U), UNKNOWN), row[:, 2], inv
 
 
 def fit(docs: DataFrame) -> Model:
@@ -95,123 +132,198 @@ def fit(docs: DataFrame) -> Model:
     store.prepare(spark)
     docs = docs.select(F.col("text").cast("string").alias("text"))
     folder, bits, parts = store.new_folder(spark, "lm"), store.shard_bits(spark), store.partitions(spark)
-
-    def flush_pairs(held):
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        yield from store.blobs(0, (k >> U(64 - bits)).astype(np.int64), [vec.pack(_rest(k, bits), 5), n.astype("<u4")])
-
-    def map_pairs(batches):
-        held, n = [], 0
-        for b in batches:
-            for _, _, data, off in vec.texts(b, SLICE):
-                held.append(pairs(*tokens(data, off)))
-                n += len(held[-1])
-            if n > HELD:
-                yield from flush_pairs(held)
-                held, n = [], 0
-        if held:
-            yield from flush_pairs(held)
-
-    def reduce_pairs(batches):
-        seen = np.zeros(5, np.int64)
-        for (_, shard), got in store.gather(batches).items():
-            got = [store.split(x, 5, 4) for x in got]
-            k = np.concatenate([vec.unpack(x[0], 5) for x in got])
-            n = np.concatenate([np.frombuffer(x[1], "<u4") for x in got]).astype(np.int64)
-            order = np.argsort(k)
-            k, n = k[order], n[order]
-            at = np.flatnonzero(store.firsts_of(k))
-            n = np.add.reduceat(n, at)
-            seen += np.bincount(np.minimum(n, 5), minlength=6)[1:]
-            store.save_sorted(folder, f"pair-{shard}", k[at], np.minimum(n, 255).astype(np.uint8)[:, None])
-            large = n >= 255
-            store.save_sorted(folder, f"large-{shard}", k[at][large], n[large].astype(np.uint32)[:, None])
-        yield pa.RecordBatch.from_pydict({f"n{i + 1}": pa.array([int(x)], pa.int64()) for i, x in enumerate(seen)})
-
-    count = ["n1", "n2", "n3", "n4", "n5"]
-    schema = ", ".join(f"{c} bigint" for c in count)
-    got = store.deal(docs.mapInArrow(map_pairs, store.BLOB), parts).mapInArrow(reduce_pairs, schema).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in count)).first()
-    pair_discount = discounts(list(got)[:4])
+    shard_of = lambda h: (h >> U(64 - bits)).astype(np.int64)
+    rest = lambda h: (h << U(bits)) >> U(24)
 
     def flush_words(held):
-        k = np.concatenate([x[0] for x in held])
-        v = np.concatenate([x[1] for x in held])
-        order = np.argsort(k)
-        k, v = k[order], v[order]
-        at = np.flatnonzero(store.firsts_of(k))
-        v, k = np.add.reduceat(v, at, axis=0), k[at]
-        yield from store.blobs(0, (k >> U(64 - bits)).astype(np.int64), [vec.pack(_rest(k, bits), 5), *(v[:, i].astype("<f4" if i in (1, 4, 5) else "<u4") for i in range(6))])
+        key, n = _totals(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        yield from _blobs(0, shard_of(key), [vec.pack(rest(key), 5)], n[:, None])
 
+    @store.frugal
     def map_words(batches):
         held, n = [], 0
         for b in batches:
             for _, _, data, off in vec.texts(b, SLICE):
-                tok, at = tokens(data, off)
-                if not len(tok):
-                    continue
-                c = pair_counts(folder, bits, pairs(tok, at)).astype(float)
-                u, inv = np.unique(np.append(tok, BEGIN), return_inverse=True)
-                begin, inv = inv[-1], inv[:-1]
-                ctx = np.empty_like(inv)
-                ctx[1:] = inv[:-1]
-                ctx[at[:-1]] = begin
-                of = lambda i, w=None: np.bincount(i, w, len(u))
-                held.append((u, np.stack([of(inv), of(inv, 1 / c), of(ctx), of(ctx, c == 1), of(ctx, (c == 2) / 2), of(ctx, (c > 2) / c)], 1)))
-                n += len(u)
-            if n > HELD // 4:
-                yield from flush_words(held)
-                held, n = [], 0
-        if held:
+                held.append(np.unique(np.append(tokens(data, off)[0], BEGIN), return_counts=True))
+                held[-1][1][held[-1][0] == BEGIN] = 0  # is no token, but has an id
+                n += len(held[-1][0])
+                if n > HELD:
+                    yield from flush_words(held)
+                    held, n = [], 0
+        if n:
             yield from flush_words(held)
 
+    @store.frugal
     def reduce_words(batches):
-        seen, total, words, cont = np.zeros(5, np.int64), 0, 0, 0
+        out: list = []
+        for (_, shard), got in store.gather(batches).items():
+            (key,), n = _unblob(got, [5], 1)
+            key, n = _totals(key, n[:, 0])
+            ids = np.empty(len(n), np.int64)
+            ids[np.argsort(-n, kind="stable")] = (np.arange(len(n)) << bits) + shard
+            store.save_sorted(folder, f"word-{shard}", key, np.stack([np.ones(len(n), np.int64), ids, n], 1).astype(np.uint64))
+            out.append((0, shard, int(n.sum()), int((n > 0).sum())))
+        yield store.rows("kind int, shard int, tokens bigint, words bigint", out)
+
+    step = store.deal(docs.mapInArrow(map_words, store.BLOB), parts).mapInArrow(reduce_words, "kind int, shard int, tokens bigint, words bigint")
+    total, words = store.run_step(step, folder, {0: ("word",)})
+
+    def flush_trigrams(held):
+        u, v, w = (np.concatenate(x) for x in zip(*held))
+        shard = shard_of(pair(v, w))
+        # the order of (shard, v, w, u) but for the low bits of very many ids: what does not lie side by side then is summed up later
+        third = (64 - bits) // 3
+        cut = U(max(0, int(max(u.max(), v.max(), w.max())).bit_length() - third))
+        key = (shard.astype(U) << U(64 - bits)) | (v >> cut << U(2 * third)) | (w >> cut << U(third)) | (u >> cut)
+        order = np.argsort(key)
+        u, v, w, shard = u[order], v[order], w[order], shard[order]
+        at = np.flatnonzero(vec.firsts(v, w, u))
+        n = np.diff(np.append(at, len(u)))
+        yield from _blobs(0, shard[at], [], np.stack([*(x[at].astype(np.int64) for x in (v, w, u)), n], 1))
+
+    @store.frugal
+    def map_trigrams(batches):
+        held, n = [], 0
+        for b in batches:
+            for _, _, data, off in vec.texts(b, SLICE):
+                tok, at = tokens(data, off)
+                ids, _, inv = word_rows(folder, bits, tok)
+                tok = ids[inv]
+                held.append((*before(tok[:-1], at, tok[-1]), tok[:-1]))
+                n += len(tok)
+                if n > HELD:
+                    yield from flush_trigrams(held)
+                    held, n = [], 0
+        if n:
+            yield from flush_trigrams(held)
+
+    @store.frugal
+    def reduce_trigrams(batches):
+        begin = word_rows(folder, bits, np.zeros(0, U))[0][0]
         for (_, shard), got in store.gather(batches).items():
-            got = [store.split(x, 5, *[4] * 6) for x in got]
-            k = np.concatenate([vec.unpack(x[0], 5) for x in got])
-            v = np.stack([np.concatenate([np.frombuffer(x[i + 1], "<f4" if i in (1, 4, 5) else "<u4") for x in got]).astype(float) for i in range(6)], 1)
-            order = np.argsort(k)
-            k, v = k[order], v[order]
-            at = np.flatnonzero(store.firsts_of(k))
-            v = np.rint(np.add.reduceat(v, at, axis=0)).astype(np.int64)
-            store.save_sorted(folder, f"word-{shard}", k[at], v.astype(np.uint32))
-            total, words, cont = total + v[:, 0].sum(), words + (v[:, 0] > 0).sum(), cont + v[:, 1].sum()
-            seen += np.bincount(np.minimum(v[:, 1], 5), minlength=6)[1:]
-        row = [*seen, total, words, cont]
-        yield pa.RecordBatch.from_pydict({c: pa.array([int(x)], pa.int64()) for c, x in zip([*count, "tokens", "words", "cont"], row)})
-
-    got = store.deal(docs.mapInArrow(map_words, store.BLOB), parts).mapInArrow(reduce_words, f"{schema}, tokens bigint, words bigint, cont bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in [*count, "tokens", "words", "cont"])).first()
-    n1, n2, n3, n4, n5, total, words, cont = got
+            _, x = _unblob(got, [], 4)
+            v, w, u, n = (x[:, i].astype(U) if i < 3 else x[:, i] for i in range(4))
+            p = pair(v, w)
+            order = np.lexsort((u, p))
+            u, v, w, p, n = (x[order] for x in (u, v, w, p, n))
+            at = np.flatnonzero(vec.firsts(p, u))
+            u, v, w, p, n = u[at], v[at], w[at], p[at], np.add.reduceat(n, at)
+            uv = pair(u, v)
+            t = rest(triple(uv, w))
+            order = np.argsort(t)
+            store.save_counts(folder, "triple", shard, t[order], n[order, None])
+            at = np.flatnonzero(store.firsts_of(p))
+            a = np.where(v[at] == begin, np.add.reduceat(n, at), np.diff(np.append(at, len(p))))
+            stat = np.stack([np.bincount(np.minimum(x, 5), minlength=6)[1:] for x in (n, a)]).ravel()
+            yield from _blobs(STAT, np.array([shard]), [], stat[None])
+            yield from _blobs(END_ONCE, np.full((a == 1).sum(), shard), [vec.pack(rest(p[at][a == 1]), 5)], a[:0, None])
+            yield from _blobs(END_MORE, np.full((a > 1).sum(), shard), [vec.pack(rest(p[at][a > 1]), 5)], a[a > 1, None])
+            key, value = _totals(uv, np.concatenate([n[:, None], _kinds(n)], 1))
+            once = value[:, 0] == 1
+            yield from _blobs(ONCE, shard_of(key[once]), [vec.pack(rest(key[once]), 5)], value[:0, :0])
+            yield from _blobs(MORE, shard_of(key[~once]), [vec.pack(rest(key[~once]), 5)], value[~once])
+            none = np.zeros((len(at), 4), np.int64)
+            ends, begins = np.concatenate([none[:, :1] + 1, none], 1), np.concatenate([none[:, :1], a[:, None], _kinds(a)], 1)
+            key, value = _totals(np.concatenate([w[at], v[at]]).astype(np.int64), np.concatenate([ends, begins]))
+            of = key & ((1 << bits) - 1)
+            order = np.argsort(of, kind="stable")
+            yield from _blobs(WORD, of[order], [], np.concatenate([key[order, None], value[order]], 1))
+
+    @store.frugal
+    def reduce_sums(batches):
+        got, out = store.gather(batches), []
+        for shard in {s for k, s in got if k in (END_ONCE, END_MORE, ONCE, MORE)}:
+            part = []
+            for kind, columns, row in ((END_ONCE, 0, [1, 0, 0, 0, 0]), (END_MORE, 1, None), (ONCE, 0, [0, 1, 1, 0, 0]), (MORE, 4, None)):
+                (key,), value = _unblob(got.get((kind, shard), []), [5], columns)
+                wide = np.tile(np.array(row or [0] * 5, np.int64), (len(key), 1))
+                if columns:
+                    wide[:, slice(0, 1) if columns == 1 else slice(1, 5)] = value
+                part.append((key, wide))
+            store.save_counts(folder, "pair", shard, *_totals(*(np.concatenate(x) for x in zip(*part))))
+            out.append((MORE, shard, *[0] * 10))
+        for (kind, shard), blobs in got.items():
+            if kind == WORD:
+                _, value = _unblob(blobs, [], 6)
+                key, value = _totals(value[:, 0], value[:, 1:])
+                dense = np.zeros((int(key[-1] >> bits) + 1, 5), np.uint64)
+                dense[key >> bits] = value
+                store.save(folder, f"sums-{shard}", dense)
+                kinds = np.bincount(np.minimum(value[:, 0], 5), minlength=6)[1:]
+                out.append((WORD, shard, *kinds.tolist(), int(value[:, 0].sum()), *[0] * 4))
+            elif kind == STAT:
+                out.append((STAT, shard, *_unblob(blobs, [], 10)[1].sum(0).tolist()))
+        yield store.rows(_DONE, out)
+
+    if total:
+        sums = store.deal(docs.mapInArrow(map_trigrams, store.BLOB), parts).mapInArrow(reduce_trigrams, store.BLOB)
+        done = store.deal(sums, parts).mapInArrow(reduce_sums, _DONE).collect()
+    else:
+        done = []
+    shards = {k: sorted(r.shard for r in done if r.kind == k) for k in (MORE, WORD, STAT)}
+    store.manifest(folder, {n: shards[k] for k, names in ((MORE, ("pair", "pair_large")), (WORD, ("sums",)), (STAT, ("triple", "triple_large"))) for n in names})
+    of = lambda kind: [sum(r[2 + i] for r in done if r.kind == kind) for i in range(10)]
+    n1, n2, n3, n4, n5, cont, *_ = of(WORD)
+    stat = of(STAT)
     d = discounts([n1, n2, n3, n4])
-    rest = d[1] * n1 + d[2] * n2 + d[3] * (n3 + n4 + n5)
-    return Model(folder, bits, total, words, pair_discount, d, cont, rest)
+    left = d[1] * n1 + d[2] * n2 + d[3] * (n3 + n4 + n5)
+    return Model(folder, bits, total, words, (d, discounts(stat[5:9]), discounts(stat[:4])), cont, left)
+
+
+def _blobs(kind: int, shard: np.ndarray, keys: list[np.ndarray], counts: np.ndarray):
+    """A batch of blobs: packed keys, then the columns of counts as planes of bytes. shard must be sorted."""
+    if not len(shard):
+        return
+    at = np.flatnonzero(store.firsts_of(shard))
+    blob = [b"".join([*(k[a:b].tobytes() for k in keys), *(store.planes(counts[a:b, i]).tobytes() for i in range(counts.shape[1]) if len(counts))]) for a, b in zip(at, np.append(at[1:], len(shard)))]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(shard[at].astype(np.int32)), pa.array(blob, pa.binary())], names=["kind", "shard", "blob"])
+
 
+def _unblob(got: list[bytes], widths: list[int], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys and the counts (a row each) of blobs."""
+    parts = [store.split(x, *widths, *[8] * columns) for x in got]
+    keys = [np.concatenate([np.zeros(0, U), *(vec.unpack(p[i], w) for p in parts)]) for i, w in enumerate(widths)]
+    each = [np.concatenate([np.zeros(0, np.int64), *(store.unplanes(p[len(widths) + i]) for p in parts)]) for i in range(columns)]
+    return keys, np.stack(each, 1) if columns else np.zeros((len(keys[0]), 0), np.int64)
 
-def pair_counts(folder: str, bits: int, pair: np.ndarray) -> np.ndarray:
-    n = store.find(folder, "pair", bits, pair, 1)[:, 0]
-    many = np.flatnonzero(n == 255)
-    if len(many):
-        n[many] = store.find(folder, "large", bits, pair[many], 1)[:, 0]
-    return n
+
+def _sums(m: Model, ids: np.ndarray) -> np.ndarray:
+    """Continuation count, sum over the pairs it begins, and their kinds, of each word id."""
+    out = np.zeros((len(ids), 5))
+    shard = np.where(ids == UNKNOWN, -1, (ids & U((1 << m.bits) - 1)).astype(np.int64))
+    for s in np.unique(shard[shard >= 0]).tolist():
+        have = store.load(m.folder, f"sums-{s}")
+        if have is not None:
+            at = np.flatnonzero(shard == s)
+            row = (ids[at] >> U(m.bits)).astype(np.int64)
+            out[at[row < len(have)]] = have[row[row < len(have)]]
+    return out
 
 
 def log10_probabilities(m: Model, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 p of each token, its training count)."""
-    u, inv = np.unique(np.append(tok, BEGIN), return_inverse=True)
-    v = store.find(m.folder, "word", m.bits, u, 6).astype(float)
-    begin, inv = inv[-1], inv[:-1]
-    ctx = np.empty_like(inv)
-    ctx[1:] = inv[:-1]
-    ctx[at[:-1]] = begin
-    d1, d2 = np.array(m.word_discount), np.array(m.pair_discount)
-    cont = v[:, 1]
+    d1, d2, d3 = map(np.array, m.discount)
+    ids, count, inv = word_rows(m.folder, m.bits, tok)
+    word, tok = _sums(m, ids), ids[inv[:-1]]
+    u, v = before(tok, at, ids[inv[-1]])
+    _, ctx = before(inv[:-1], at, inv[-1])
+    inv = inv[:-1]
     uniform = 1 / (m.words + 1)
-    p1 = (cont - d1[np.minimum(cont, 3).astype(int)] + m.rest * uniform) / m.continuations if m.continuations else np.full(len(u), uniform)
-    gamma = v[:, 3:6] @ d2[1:]
-    c = pair_counts(m.folder, m.bits, pairs(tok, at)).astype(float)
-    seen = v[ctx, 2]
-    p = np.where(seen > 0, (np.maximum(c - d2[np.minimum(c, 3).astype(int)], 0) + gamma[ctx] * p1[inv]) / np.maximum(seen, 1), p1[inv])
-    return np.log10(p), v[inv, 0]
+    p1 = (word[:, 0] - d1[np.minimum(word[:, 0], 3).astype(int)] + m.rest * uniform) / m.continuations if m.continuations else np.full(len(ids), uniform)
+
+    def level(c, d, total, kinds, lower):
+        more = (np.maximum(c - d[np.minimum(c, 3)], 0) + kinds @ d[1:] * lower) / np.maximum(total, 1)
+        return np.where(total > 0, more, lower)
+
+    uv, vw = pair(u, v), pair(v, tok)
+    # the pair before a token is the one that ends in the token before it; only a text's first token has none
+    ends = store.find_counts(m.folder, "pair", m.bits, np.append(vw, uv[:1]), 5)
+    context = np.empty((len(tok), 4), np.int64)
+    context[1:] = ends[:-2, 1:]
+    context[at[:-1]] = ends[-1, 1:]
+    p = level(ends[:-1, 0], d2, word[ctx, 1], word[ctx, 2:], p1[inv])
+    c = store.find_counts(m.folder, "triple", m.bits, triple(uv, tok), 1, by=vw)[:, 0]
+    return np.log10(level(c, d3, context[:, 0], context[:, 1:], p)), count[inv]
 
 
 def score(docs: DataFrame, m: Model, held_out) -> DataFrame:
@@ -219,6 +331,7 @@ def score(docs: DataFrame, m: Model, held_out) -> DataFrame:
     store.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
+    @store.frugal
     def run(batches):
         for b in batches:
             rows = [[] for _ in range(4)]

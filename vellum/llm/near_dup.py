@@ -13,7 +13,7 @@ common for that reason alone, still counts as equal to its copies.
    two buckets so that any two of a ratio over 0.8 meet, and only those can be similar enough.
 3. Shingle vectors of texts that share a band are written once to the shared folder.
 4. In each group of a band a text is verified only against texts of other components whose samples agree often
-   enough, best first, so a group whose texts are all alike costs one verification a text, not one a pair. A pair
+   enough, best first, so a group whose texts are all alike costs a few verifications a text, not one a pair. A pair
    that shares several bands is verified in each until it is of one component. Vectors are read in place.
 5. Components by least labels with pointer jumping, cut by checkpoint().
 
@@ -45,7 +45,7 @@ BANDS, ROWS = 10, 3
 #: 30,000 times.
 AGREE = 14
 #: Failures after which a text is compared with its whole group, if that has up to so many shingles.
-TRIES, GROUP_ITEMS = 6, 4_000_000
+TRIES, GROUP_ITEMS, PROBES = 6, 4_000_000, 3
 HELD = 1_500_000
 BROADCAST_ROWS = 500_000
 _MAX = (1 << 63) - 1
@@ -112,8 +112,9 @@ def samples(h: np.ndarray, start: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def weights(folder: str, bits: int, h: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+    """Multiples of 1/1024, so that sums of them are exact in any order and a pair is decided alike wherever it is verified."""
     df = np.maximum(store.find(folder, "df", bits, h, 1)[:, 0], 1)
-    return tf * (1 + IDF * np.log(n / df) / np.log(n)) if n > 1 else tf.astype(float)
+    return np.rint(1024 * tf * (1 + IDF * np.log(n / df) / np.log(n))) / 1024 if n > 1 else tf.astype(float)
 
 
 def similarity(a, b) -> float:
@@ -123,7 +124,7 @@ def similarity(a, b) -> float:
     if len(a[0]) > len(b[0]):
         a, b = b, a
     i = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    m = float(np.minimum(a[1], b[1][i])[b[0][i] == a[0]].sum())
+    m = float(np.minimum(a[1], b[1][i])[b[0][i] == a[0]].sum(dtype=float))
     return m / (a[2] + b[2] - m)
 
 
@@ -165,25 +166,48 @@ class Group:
         return m / (self.total + self.total[x] - m)
 
 
-def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union: Union) -> None:
+def cluster(nodes: np.ndarray, sig: np.ndarray, vector, size, union: Union) -> None:
     """Links the near duplicates of one group; union knows what is linked already.
 
-    Each text is verified against earlier ones whose samples agree often enough, best first, until all of them are
-    in its component or verified; a text that fails TRIES times is compared with all at once. No pair is left to the
-    group of an earlier band: samples are known by a byte here, which does not tell whether it was in that group.
+    A text is first tried against PROBES members of the largest component; once it is of that, its other members are out of
+    the question, so a group whose texts are nearly all alike costs a few verifications a text. Then it is verified
+    against the earlier texts of other components whose samples agree often enough, best first; one that fails TRIES times
+    is compared with all at once. No pair is left to the group of an earlier band: samples are known by a byte here,
+    which does not tell whether it was in that group.
     """
-    part = np.zeros(len(nodes), U)  # component of each earlier text
-    whole = None
+    part = np.zeros(len(nodes), np.int64)  # component of each earlier text
+    members: list[list[int]] = []
+    of_root: dict[int, int] = {}
+    most, others, whole = 0, [], None  # the largest component, and the texts outside it
+
+    def alike(x: int, y: int) -> bool:
+        return similarity(vector(int(nodes[x])), vector(int(nodes[y]))) >= SIMILARITY
+
+    def join(x: int, y: int) -> None:
+        a, b = int(part[x]), int(part[y])
+        union.join(int(nodes[x]), int(nodes[y]))
+        if len(members[a]) < len(members[b]):
+            a, b = b, a
+        part[members[b]] = a
+        members[a] += members[b]
+        members[b] = []
+        of_root[union.find(int(nodes[x]))] = a
+
     for x in range(len(nodes)):
-        own = int(nodes[x])
-        part[x] = union.find(own)
-        if not x:
-            continue
-        same = sig[:x] == sig[x]
-        todo = np.flatnonzero((same.sum(1) >= AGREE) & (part[:x] != part[x]))
-        if not len(todo):
-            continue
-        todo = todo[np.argsort(-same[todo].sum(1), kind="stable")]
+        c = of_root.setdefault(union.find(int(nodes[x])), len(members))
+        if c == len(members):
+            members.append([])
+        part[x] = c
+        members[c].append(x)
+        if x and c != most:
+            for y in members[most][:PROBES]:
+                if (sig[x] == sig[y]).sum() >= AGREE and alike(x, y):
+                    join(x, y)
+                    break
+        seen = np.array([y for y in others if part[y] != part[x]], np.int64) if part[x] == most else np.flatnonzero(part[:x] != part[x])
+        same = (sig[seen] == sig[x]).sum(1)
+        todo, same = seen[same >= AGREE], same[same >= AGREE]
+        todo = todo[np.argsort(-same, kind="stable")]
         failed = 0
         while len(todo):
             y = int(todo[0])
@@ -191,19 +215,25 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, band: int, vector, size, union:
             if failed >= TRIES and len(todo) > TRIES and whole is None:
                 whole = sum(size(int(n)) for n in nodes) <= GROUP_ITEMS and Group([vector(int(n)) for n in nodes])
             if failed >= TRIES and whole:
-                near = np.append(y, todo)[whole.similarities(x)[np.append(y, todo)] >= SIMILARITY].tolist()
+                every = np.append(y, todo)
+                near = every[whole.similarities(x)[every] >= SIMILARITY].tolist()
                 todo = todo[:0]
             else:
-                near = [y] if similarity(vector(own), vector(int(nodes[y]))) >= SIMILARITY else []
+                near = [y] if alike(x, y) else []
                 failed += not near
             for y in near:
-                other = int(nodes[y])
-                if union.find(own) != union.find(other):
-                    old = (U(union.find(own)), U(union.find(other)))
-                    union.join(own, other)
-                    part[: x + 1][(part[: x + 1] == old[0]) | (part[: x + 1] == old[1])] = union.find(own)
+                if part[x] != part[y]:
+                    join(x, y)
             if near and len(todo):
                 todo = todo[part[todo] != part[x]]
+        largest = int(part[x])
+        if largest != most and len(members[largest]) > 2 * len(members[most]):
+            most = largest
+            others = np.flatnonzero(part[: x + 1] != most).tolist()
+        elif part[x] != most:
+            others.append(x)
+        if len(members[most]) + len(others) != x + 1:  # components went into the largest
+            others = [y for y in others if part[y] != most]
 
 
 def components(edges: DataFrame, parts: int) -> DataFrame:
@@ -262,7 +292,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     @store.frugal
     def reduce_df(batches):
-        rows = again = 0
+        out: list = []
         for (kind, shard), got in store.gather(batches).items():
             if kind == 0:
                 got = [store.split(x, 5, 4) for x in got]
@@ -271,18 +301,19 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                 k, n = k[o], n[o]
                 at = np.flatnonzero(store.firsts_of(k))
                 n = np.add.reduceat(n, at) if len(at) else n
-                store.save_sorted(folder, f"df-{shard}", k[at][n > 1], n[n > 1].astype(np.uint32)[:, None])
+                store.save_sorted(folder, f"df-{shard}", k[at][n > 1], n[n > 1].astype(np.uint64)[:, None])
+                out.append((kind, shard, 0, 0))
             else:
                 x = np.concatenate([np.frombuffer(g, _NODE) for g in got])
                 x = x[np.lexsort((x["doc"], x["th"]))]
-                rows += len(x)
-                again += len(x) - int(vec.firsts(x["th"], x["doc"]).sum())
+                out.append((kind, shard, len(x), len(x) - int(vec.firsts(x["th"], x["doc"]).sum())))
                 at = np.flatnonzero(vec.firsts(x["th"]))
                 store.save(folder, f"text-{shard}", np.ascontiguousarray(x["th"][at]))
                 store.save(folder, f"doc-{shard}", np.ascontiguousarray(x["doc"][at]))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([rows], pa.int64()), "again": pa.array([again], pa.int64())})
+        yield store.rows(f"{_DONE}, again bigint", out)
 
-    total, again = store.deal(docs.mapInArrow(map_df, store.BLOB), parts).mapInArrow(reduce_df, "n bigint, again bigint").selectExpr("coalesce(sum(n), 0)", "coalesce(sum(again), 0)").first()
+    step = store.deal(docs.mapInArrow(map_df, store.BLOB), parts).mapInArrow(reduce_df, f"{_DONE}, again bigint")
+    total, again = store.run_step(step, folder, {0: ("df",), 1: ("text", "doc")})
 
     def lookup(th: np.ndarray, keys: str, values: str, missing: int | np.ndarray) -> np.ndarray:
         """Values by text hash from sorted files of shards."""
@@ -332,7 +363,6 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     @store.frugal
     def reduce_bands(batches):
-        n = 0
         for (_, shard), got in store.gather(batches).items():
             x = np.concatenate([np.frombuffer(g, _BAND) for g in got])
             x = x[np.lexsort((x["node"], x["key"]))]
@@ -343,15 +373,18 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
             store.save(folder, f"group-{shard}", x)
             nodes = np.unique(x["node"])
             yield from store.blobs(0, shard_of(nodes), store.as_bytes(nodes))
-            n += len(x)
+            yield from store.blobs(1, np.array([shard]), np.zeros((1, 1), np.uint8))  # for the manifest
 
     def write_wanted(batches):
-        for (_, shard), got in store.gather(batches).items():
-            store.save(folder, f"wanted-{shard}", np.unique(np.concatenate([np.frombuffer(g, "<u8") for g in got])))
-            yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+        out: list = []
+        for (kind, shard), got in store.gather(batches).items():
+            if kind == 0:
+                store.save(folder, f"wanted-{shard}", np.unique(np.concatenate([np.frombuffer(g, "<u8") for g in got])))
+            out.append((kind, shard, 1 - kind))
+        yield store.rows(_DONE, out)
 
     bands = store.deal(docs.mapInArrow(map_bands, store.BLOB), parts).mapInArrow(reduce_bands, store.BLOB)
-    any_group = store.deal(bands, parts).mapInArrow(write_wanted, "n bigint").count()
+    any_group = store.run_step(store.deal(bands, parts).mapInArrow(write_wanted, _DONE), folder, {0: ("wanted",), 1: ("group",)})[0]
 
     @store.frugal
     def write_vectors(batches):
@@ -384,12 +417,14 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
             yield from store.blobs(0, shard_of(x["th"]), store.as_bytes(x))
 
     def write_places(batches):
+        out: list = []
         for (_, shard), got in store.gather(batches).items():
             x = np.concatenate([np.frombuffer(g, _PLACE) for g in got])
             x = x[np.argsort(x["th"], kind="stable")]
             store.save(folder, f"place-{shard}", x)
             store.save(folder, f"place-th-{shard}", np.ascontiguousarray(x["th"]))
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64())})
+            out.append((0, shard, len(x)))
+        yield store.rows(_DONE, out)
 
     def place(th: int):
         s = th >> (64 - bits)
@@ -420,7 +455,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                 union = Union()
                 at = np.flatnonzero(vec.firsts(x["key"]))
                 for i, j in zip(at.tolist(), np.append(at[1:], len(x)).tolist()):
-                    cluster(x["node"][i:j], x["sig"][i:j], int(x["band"][i]), vector, size, union)
+                    cluster(x["node"][i:j], x["sig"][i:j], vector, size, union)
                 rows = [(n, r) for n in list(union.up) if (r := union.find(n)) != n]
                 a = np.array([r[0] for r in rows], U).view(np.int64)
                 c = np.array([r[1] for r in rows], U).view(np.int64)
@@ -428,7 +463,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     classes = 0
     if any_group:
-        store.deal(docs.mapInArrow(write_vectors, store.BLOB), parts).mapInArrow(write_places, "n bigint").count()
+        store.run_step(store.deal(docs.mapInArrow(write_vectors, store.BLOB), parts).mapInArrow(write_places, _DONE), folder, {0: ("place", "place-th")})
         shards = spark.range(0, 1 << bits, 1, min(1 << bits, 2 * parts)).select(F.col("id").cast("int").alias("shard"))
         few = total // 100_000 + 1
         edges = shards.mapInArrow(link, "a bigint, b bigint").repartition(few).checkpoint()
@@ -448,6 +483,7 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lookup(th, "text", "doc", _MAX))], names=["node", "root", "doc"])
 
             def write_classes(batches):
+                out: list = []
                 for (_, shard), got in store.gather(batches).items():
                     x = np.concatenate([np.frombuffer(g, np.int64).reshape(-1, 3) for g in got])
                     th = x[:, 0].copy().view(U)
@@ -455,11 +491,13 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
                     store.save(folder, f"member-{shard}", th[o])
                     store.save(folder, f"class-{shard}", np.ascontiguousarray(x[o, 1]))
                     store.save(folder, f"kept-{shard}", np.ascontiguousarray(x[o, 2]))
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int64())})
+                    out.append((0, shard, len(x)))
+                yield store.rows(_DONE, out)
 
             nodes = label.mapInArrow(first_docs, "node bigint, root bigint, doc bigint").coalesce(few).checkpoint()
             low = nodes.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("least")).select("root", F.col("least.doc").alias("class"), F.col("least.node").alias("kept"))
-            classes = store.deal(nodes.join(low, "root").select("node", "class", "kept").mapInArrow(send, store.BLOB), parts).mapInArrow(write_classes, "n bigint").count()
+            step = store.deal(nodes.join(low, "root").select("node", "class", "kept").mapInArrow(send, store.BLOB), parts).mapInArrow(write_classes, _DONE)
+            classes = store.run_step(step, folder, {0: ("member", "class", "kept")})[0]
 
     def hashes(b):
         got = [np.zeros(0, U)]
@@ -481,17 +519,18 @@ def near_duplicates(docs: DataFrame, keep: bool = False) -> DataFrame:
             if classes:
                 stays &= lookup(th, "member", "kept", th.view(np.int64)) == th.view(np.int64)
             cols = [*b.columns, pa.array(th.view(np.int64))] if again else b.columns
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, _HASH] if again else b.schema.names).filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, extra] if again else b.schema.names).filter(pa.array(stays))
 
+    extra = "text_hash" + "_" * (1 + max(map(len, all_docs.columns)))  # no column of docs
     if keep:
         if not again:
             return all_docs.mapInArrow(keep_rows, all_docs.schema)
         # of a class, only rows equal in doc_id and text are left
-        return all_docs.mapInArrow(keep_rows, StructType([*all_docs.schema, StructField(_HASH, LongType())])).dropDuplicates([_HASH]).drop(_HASH)
+        return all_docs.mapInArrow(keep_rows, StructType([*all_docs.schema, StructField(extra, LongType())])).dropDuplicates([extra]).drop(extra)
     return docs.mapInArrow(label_rows, "doc_id bigint, class_id bigint")
 
 
-_HASH = "near_dup_text_hash"
+_DONE = "kind int, shard int, n bigint"
 _PLACE = np.dtype([("th", "<u8"), ("part", "<u4"), ("at", "<u8"), ("n", "<u4")])
 
 

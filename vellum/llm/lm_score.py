@@ -7,12 +7,13 @@ Nothing is pruned and all counts are 64-bit integers.
    shards plus shard being a word's id, so frequent words have small ids without any global order.
 2. Trigrams (u, v, w): a second scan counts them by ids and deals them to shards by the hash of (v, w). They are sent
    sorted, as planes of bytes, of which the compression of the shuffle leaves about a third.
-3. A shard holds every trigram of a pair (v, w), so its reduction gives the trigrams' counts, written as a sorted hash
-   array, and the pairs' continuation counts N1+(.vw), and sums up what contexts (u, v) and words need: how
-   often a context occurs and how many trigrams of it are seen once, twice and more; a word's continuation count, and the
-   like sums over the pairs that it begins.
-4. Those meet in another shuffle, by pair and by word, and are written: a pair's row holds what it needs as an end and
-   as a context, so a text's pairs are looked up once each.
+3. A shard holds every trigram of a pair (v, w), so its reduction gives the trigrams' counts, written as sorted hash
+   arrays, and the pairs' continuation counts N1+(.vw). It sums up what contexts (u, v) and words need: how often a
+   context occurs and how many trigrams of it are seen once, twice and more; a word's continuation count, and the like
+   sums over the pairs that it begins.
+4. Those meet in another shuffle, by pair and by word, one blob from a task to a shard, and are written: a pair's row
+   holds what it needs as an end and as a context, so a text's pairs are looked up once each. A pair that is a context
+   occurs, so a continuation count of one goes without saying; it is sent only for pairs before a text's end.
 5. Scores: a last scan of the texts looks up words, pairs and trigrams.
 
 p1(w)     = (max(N1+(.w) - D, 0) + (share of discounts) / (V+1)) / N1+(..), V+1 counting the unknown word;
@@ -47,10 +48,12 @@ END, BEGIN = vec.mix(np.array([0xE4D, 0xB16], U))
 UNKNOWN = U(1 << 63)
 SLICE = 6 << 20
 HELD = 3_000_000
-#: Kinds of blobs: pairs as ends of one trigram, as ends of several, contexts of one trigram, of several, words, counts of counts.
-END_ONCE, END_MORE, ONCE, MORE, WORD, STAT = range(6)
+#: Kinds of sections in a blob, and their columns: pairs as ends of several trigrams, pairs before a text's end of one,
+#: contexts that occur once, and more often, words, counts of counts.
+ENDS, LAST, ONCE, MORE, WORD, STAT = range(6)
+COLUMNS = (2, 1, 1, 5, 6, 10)
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-_DONE = "kind int, shard int, " + ", ".join(f"x{i} bigint" for i in range(10))
+_DONE = "kind int, shard int, " + ", ".join(f"x{i} bigint" for i in range(17))
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +125,8 @@ def _kinds(n: np.ndarray) -> np.ndarray:
 def word_rows(folder: str, bits: int, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes' ids, their counts, place of each token and last of the begin mark among them)."""
     distinct, inv = np.unique(np.append(tok, BEGIN), return_inverse=True)
-    row = store.find(folder, "word", bits, distinct, 3)  # present, id, count
-    return np.where(row[:, 0] > 0, row[:, 1].astype(U), UNKNOWN), row[:, 2], inv
+    row = store.find(folder, "word", bits, distinct, 2)  # 1 + id, count
+    return np.where(row[:, 0] > 0, (row[:, 0] - 1).astype(U), UNKNOWN), row[:, 1], inv
 
 
 def fit(docs: DataFrame) -> Model:
@@ -137,7 +140,7 @@ def fit(docs: DataFrame) -> Model:
 
     def flush_words(held):
         key, n = _totals(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-        yield from _blobs(0, shard_of(key), [vec.pack(rest(key), 5)], n[:, None])
+        yield from _blobs(0, shard_of(key), np.stack([rest(key).astype(np.int64), n], 1))
 
     @store.frugal
     def map_words(batches):
@@ -157,11 +160,11 @@ def fit(docs: DataFrame) -> Model:
     def reduce_words(batches):
         out: list = []
         for (_, shard), got in store.gather(batches).items():
-            (key,), n = _unblob(got, [5], 1)
-            key, n = _totals(key, n[:, 0])
+            key, n = _totals(*store.unpack_columns(got, 2).T)
+            key = key.astype(U)
             ids = np.empty(len(n), np.int64)
             ids[np.argsort(-n, kind="stable")] = (np.arange(len(n)) << bits) + shard
-            store.save_sorted(folder, f"word-{shard}", key, np.stack([np.ones(len(n), np.int64), ids, n], 1).astype(np.uint64))
+            store.save_sorted(folder, f"word-{shard}", key, np.stack([ids + 1, n], 1).astype(np.uint64))
             out.append((0, shard, int(n.sum()), int((n > 0).sum())))
         yield store.rows("kind int, shard int, tokens bigint, words bigint", out)
 
@@ -179,7 +182,7 @@ def fit(docs: DataFrame) -> Model:
         u, v, w, shard = u[order], v[order], w[order], shard[order]
         at = np.flatnonzero(vec.firsts(v, w, u))
         n = np.diff(np.append(at, len(u)))
-        yield from _blobs(0, shard[at], [], np.stack([*(x[at].astype(np.int64) for x in (v, w, u)), n], 1))
+        yield from _blobs(0, shard[at], np.stack([*(x[at].astype(np.int64) for x in (v, w, u)), n], 1))
 
     @store.frugal
     def map_trigrams(batches):
@@ -199,9 +202,11 @@ def fit(docs: DataFrame) -> Model:
 
     @store.frugal
     def reduce_trigrams(batches):
-        begin = word_rows(folder, bits, np.zeros(0, U))[0][0]
+        ids, _, inv = word_rows(folder, bits, np.array([END]))
+        end, begin = ids[inv]
+        contexts, sums, sections = [], [], {}  # of all of the task's shards; sections by the shard they go to
         for (_, shard), got in store.gather(batches).items():
-            _, x = _unblob(got, [], 4)
+            x = store.unpack_columns(got, 4)
             v, w, u, n = (x[:, i].astype(U) if i < 3 else x[:, i] for i in range(4))
             p = pair(v, w)
             order = np.lexsort((u, p))
@@ -211,48 +216,62 @@ def fit(docs: DataFrame) -> Model:
             uv = pair(u, v)
             t = rest(triple(uv, w))
             order = np.argsort(t)
-            store.save_counts(folder, "triple", shard, t[order], n[order, None])
+            single = n[order] == 1
+            store.save_sorted(folder, f"single-{shard}", t[order][single])
+            store.save_counts(folder, "triple", shard, t[order][~single], n[order, None][~single])
             at = np.flatnonzero(store.firsts_of(p))
             a = np.where(v[at] == begin, np.add.reduceat(n, at), np.diff(np.append(at, len(p))))
-            stat = np.stack([np.bincount(np.minimum(x, 5), minlength=6)[1:] for x in (n, a)]).ravel()
-            yield from _blobs(STAT, np.array([shard]), [], stat[None])
-            yield from _blobs(END_ONCE, np.full((a == 1).sum(), shard), [vec.pack(rest(p[at][a == 1]), 5)], a[:0, None])
-            yield from _blobs(END_MORE, np.full((a > 1).sum(), shard), [vec.pack(rest(p[at][a > 1]), 5)], a[a > 1, None])
-            key, value = _totals(uv, np.concatenate([n[:, None], _kinds(n)], 1))
-            once = value[:, 0] == 1
-            yield from _blobs(ONCE, shard_of(key[once]), [vec.pack(rest(key[once]), 5)], value[:0, :0])
-            yield from _blobs(MORE, shard_of(key[~once]), [vec.pack(rest(key[~once]), 5)], value[~once])
+            key = rest(p[at]).astype(np.int64)
+            own = sections.setdefault(shard, {})
+            own[STAT] = np.stack([np.bincount(np.minimum(x, 5), minlength=6)[1:] for x in (n, a)]).ravel()[None]
+            own[ENDS] = np.stack([key, a], 1)[a > 1]
+            own[LAST] = key[(a == 1) & (w[at] == end), None]
+            contexts.append(_totals(uv, np.concatenate([n[:, None], _kinds(n)], 1)))
             none = np.zeros((len(at), 4), np.int64)
             ends, begins = np.concatenate([none[:, :1] + 1, none], 1), np.concatenate([none[:, :1], a[:, None], _kinds(a)], 1)
-            key, value = _totals(np.concatenate([w[at], v[at]]).astype(np.int64), np.concatenate([ends, begins]))
-            of = key & ((1 << bits) - 1)
-            order = np.argsort(of, kind="stable")
-            yield from _blobs(WORD, of[order], [], np.concatenate([key[order, None], value[order]], 1))
+            sums.append(_totals(np.concatenate([w[at], v[at]]).astype(np.int64), np.concatenate([ends, begins])))
+        if not sums:
+            return
+        key, value = _totals(*(np.concatenate(x) for x in zip(*contexts)))
+        once, record = value[:, 0] == 1, np.concatenate([rest(key).astype(np.int64)[:, None], value], 1)
+        _split(sections, ONCE, shard_of(key[once]), record[once, :1])
+        _split(sections, MORE, shard_of(key[~once]), record[~once])
+        key, value = _totals(*(np.concatenate(x) for x in zip(*sums)))
+        of = key & ((1 << bits) - 1)
+        order = np.argsort(of, kind="stable")
+        _split(sections, WORD, of[order], np.concatenate([key[order, None], value[order]], 1))
+        for shard, parts in sections.items():
+            packed = [(kind, store.pack_columns(x)) for kind, x in parts.items() if len(x)]
+            blob = b"".join(bytes([kind]) + len(x).to_bytes(8, "little") + x for kind, x in packed)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["kind", "shard", "blob"])
 
     @store.frugal
     def reduce_sums(batches):
-        got, out = store.gather(batches), []
-        for shard in {s for k, s in got if k in (END_ONCE, END_MORE, ONCE, MORE)}:
-            part = []
-            for kind, columns, row in ((END_ONCE, 0, [1, 0, 0, 0, 0]), (END_MORE, 1, None), (ONCE, 0, [0, 1, 1, 0, 0]), (MORE, 4, None)):
-                (key,), value = _unblob(got.get((kind, shard), []), [5], columns)
-                wide = np.tile(np.array(row or [0] * 5, np.int64), (len(key), 1))
-                if columns:
-                    wide[:, slice(0, 1) if columns == 1 else slice(1, 5)] = value
-                part.append((key, wide))
-            store.save_counts(folder, "pair", shard, *_totals(*(np.concatenate(x) for x in zip(*part))))
-            out.append((MORE, shard, *[0] * 10))
-        for (kind, shard), blobs in got.items():
-            if kind == WORD:
-                _, value = _unblob(blobs, [], 6)
-                key, value = _totals(value[:, 0], value[:, 1:])
+        out: list = []
+        for (_, shard), blobs in store.gather(batches).items():
+            parts: list[list[bytes]] = [[] for _ in COLUMNS]
+            for b in blobs:
+                at = 0
+                while at < len(b):
+                    size = int.from_bytes(b[at + 1 : at + 9], "little")
+                    parts[b[at]].append(b[at + 9 : at + 9 + size])
+                    at += 9 + size
+            ends, last, once, more, word, stat = (store.unpack_columns(x, n) for x, n in zip(parts, COLUMNS))
+            wide = np.zeros((len(ends) + len(last) + len(once) + len(more), 5), np.int64)
+            i, j, k = len(ends), len(ends) + len(last), len(wide) - len(more)
+            wide[:i, 0], wide[i:j, 0], wide[j:k, 1:3], wide[k:, 1:] = ends[:, 1], 1, 1, more[:, 1:]
+            key, value = _totals(np.concatenate([ends[:, 0], last[:, 0], once[:, 0], more[:, 0]]), wide)
+            value[:, 0] = np.maximum(value[:, 0], 1)
+            store.save_counts(folder, "pair", shard, key.astype(U), value)
+            row = np.zeros(17, np.int64)
+            row[0], row[7:] = 1, stat.sum(0) if len(stat) else 0
+            if len(word):
+                key, value = _totals(word[:, 0], word[:, 1:])
                 dense = np.zeros((int(key[-1] >> bits) + 1, 5), np.uint64)
                 dense[key >> bits] = value
                 store.save(folder, f"sums-{shard}", dense)
-                kinds = np.bincount(np.minimum(value[:, 0], 5), minlength=6)[1:]
-                out.append((WORD, shard, *kinds.tolist(), int(value[:, 0].sum()), *[0] * 4))
-            elif kind == STAT:
-                out.append((STAT, shard, *_unblob(blobs, [], 10)[1].sum(0).tolist()))
+                row[1:6], row[6] = np.bincount(np.minimum(value[:, 0], 5), minlength=6)[1:], value[:, 0].sum()
+            out.append((int(len(stat) > 0) + 2 * int(len(word) > 0), shard, *row.tolist()))
         yield store.rows(_DONE, out)
 
     if total:
@@ -260,31 +279,29 @@ def fit(docs: DataFrame) -> Model:
         done = store.deal(sums, parts).mapInArrow(reduce_sums, _DONE).collect()
     else:
         done = []
-    shards = {k: sorted(r.shard for r in done if r.kind == k) for k in (MORE, WORD, STAT)}
-    store.manifest(folder, {n: shards[k] for k, names in ((MORE, ("pair", "pair_large")), (WORD, ("sums",)), (STAT, ("triple", "triple_large"))) for n in names})
-    of = lambda kind: [sum(r[2 + i] for r in done if r.kind == kind) for i in range(10)]
-    n1, n2, n3, n4, n5, cont, *_ = of(WORD)
-    stat = of(STAT)
+    have = {"pair": done, "sums": [r for r in done if r.kind & 2], "triple": [r for r in done if r.kind & 1]}
+    have |= {"pair_large": done, "triple_large": have["triple"], "single": have["triple"]}
+    store.manifest(folder, {name: sorted(r.shard for r in of) for name, of in have.items()})
+    _, n1, n2, n3, n4, n5, cont, *stat = (sum(r[2 + i] for r in done) for i in range(17))
     d = discounts([n1, n2, n3, n4])
     left = d[1] * n1 + d[2] * n2 + d[3] * (n3 + n4 + n5)
     return Model(folder, bits, total, words, (d, discounts(stat[5:9]), discounts(stat[:4])), cont, left)
 
 
-def _blobs(kind: int, shard: np.ndarray, keys: list[np.ndarray], counts: np.ndarray):
-    """A batch of blobs: packed keys, then the columns of counts as planes of bytes. shard must be sorted."""
+def _blobs(kind: int, shard: np.ndarray, columns: np.ndarray):
+    """A batch of blobs, one a shard, which must be sorted."""
     if not len(shard):
         return
     at = np.flatnonzero(store.firsts_of(shard))
-    blob = [b"".join([*(k[a:b].tobytes() for k in keys), *(store.planes(counts[a:b, i]).tobytes() for i in range(counts.shape[1]) if len(counts))]) for a, b in zip(at, np.append(at[1:], len(shard)))]
+    blob = [store.pack_columns(columns[a:b]) for a, b in zip(at, np.append(at[1:], len(shard)))]
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(shard[at].astype(np.int32)), pa.array(blob, pa.binary())], names=["kind", "shard", "blob"])
 
 
-def _unblob(got: list[bytes], widths: list[int], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The keys and the counts (a row each) of blobs."""
-    parts = [store.split(x, *widths, *[8] * columns) for x in got]
-    keys = [np.concatenate([np.zeros(0, U), *(vec.unpack(p[i], w) for p in parts)]) for i, w in enumerate(widths)]
-    each = [np.concatenate([np.zeros(0, np.int64), *(store.unplanes(p[len(widths) + i]) for p in parts)]) for i in range(columns)]
-    return keys, np.stack(each, 1) if columns else np.zeros((len(keys[0]), 0), np.int64)
+def _split(sections: dict, kind: int, shard: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to the sections of their shards, which must be sorted."""
+    at = np.flatnonzero(store.firsts_of(shard))
+    for a, b in zip(at.tolist(), np.append(at[1:], len(shard)).tolist()):
+        sections.setdefault(int(shard[a]), {})[kind] = rows[a:b]
 
 
 def _sums(m: Model, ids: np.ndarray) -> np.ndarray:
@@ -322,7 +339,10 @@ def log10_probabilities(m: Model, tok: np.ndarray, at: np.ndarray) -> tuple[np.n
     context[1:] = ends[:-2, 1:]
     context[at[:-1]] = ends[-1, 1:]
     p = level(ends[:-1, 0], d2, word[ctx, 1], word[ctx, 2:], p1[inv])
-    c = store.find_counts(m.folder, "triple", m.bits, triple(uv, tok), 1, by=vw)[:, 0]
+    t = triple(uv, tok)
+    c = store.find_counts(m.folder, "triple", m.bits, t, 1, by=vw)[:, 0]
+    rare = np.flatnonzero(c == 0)
+    c[rare] = store.find(m.folder, "single", m.bits, t[rare], 0, by=vw[rare])
     return np.log10(level(c, d3, context[:, 0], context[:, 1:], p)), count[inv]
 
 

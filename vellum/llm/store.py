@@ -224,12 +224,13 @@ def gather(batches) -> dict[tuple[int, int], list[bytes]]:
     return out
 
 
-def save_sorted(folder: str, name: str, key40: np.ndarray, values: np.ndarray) -> None:
-    """A sorted hash array: 40-bit keys as offsets by their leading bits (so that some 16 keys share one) and 32-bit rests, and a row of values for each."""
+def save_sorted(folder: str, name: str, key40: np.ndarray, values: np.ndarray | None = None) -> None:
+    """A sorted hash array: 40-bit keys as offsets by their leading bits (so that some 16 keys share one) and 32-bit rests, and a row of values for each, if there are any."""
     b = min(16, max(8, len(key40).bit_length() - 4))
     save(folder, f"{name}.off", np.searchsorted(key40, np.arange((1 << b) + 1, dtype=np.uint64) << np.uint64(40 - b)).astype(np.uint32))
     save(folder, f"{name}.key", (key40 & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    save(folder, f"{name}.val", values)
+    if values is not None:
+        save(folder, f"{name}.val", values)
 
 
 def find_sorted(folder: str, name: str, key40: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +251,9 @@ def find_sorted(folder: str, name: str, key40: np.ndarray) -> tuple[np.ndarray,
     return (lo < end) & (key[row] == rest), row
 
 
-def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=np.int64, by: np.ndarray | None = None) -> np.ndarray:
-    """The values of 64-bit hashes in sharded sorted hash arrays; zeros where there are none. The shard is that of by, or of the hash itself."""
-    out = np.zeros((len(h), columns), dtype)
+def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=np.int64, by: np.ndarray | None = None, coded: bool = False) -> np.ndarray:
+    """The values of 64-bit hashes in sharded sorted hash arrays; zeros where there are none. The shard is that of by, or of the hash itself. With no columns: whether there is such a hash."""
+    out = np.zeros((len(h), columns) if columns else len(h), dtype if columns else bool)
     shard = ((h if by is None else by) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
@@ -260,35 +261,68 @@ def find(folder: str, name: str, bits: int, h: np.ndarray, columns: int, dtype=n
     for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
         a, b = ends[s], ends[s + 1]
         hit, row = find_sorted(folder, f"{name}-{s}", low[a:b])
-        if hit.any():
-            out[order[a:b][hit]] = load(folder, f"{name}-{s}.val")[row[hit]]
+        if not columns:
+            out[order[a:b]] = hit
+        elif hit.any():
+            got = load(folder, f"{name}-{s}.val")[row[hit]]
+            out[order[a:b][hit]] = load(folder, f"{name}-{s}.book")[got[:, 0]] if coded else got
     return out
 
 
-#: Counts from which a byte does not do; save_counts keeps rows with such a one apart in full.
+#: The code of rows that are kept in full.
 LARGE = 255
 
 
 def save_counts(folder: str, name: str, shard: int, key40: np.ndarray, values: np.ndarray) -> None:
-    """A sorted hash array of rows of counts: a byte each; rows with a count from LARGE on also as 64-bit integers, marked by their first byte."""
-    small, large = np.minimum(values, LARGE).astype(np.uint8), values.max(1) >= LARGE
-    small[large, 0] = LARGE
-    save_sorted(folder, f"{name}-{shard}", key40, small)
+    """A sorted hash array of rows of counts, a byte each row: its place among the shard's 254 most frequent rows, or LARGE, and such rows in full apart."""
+    small = (values < 256).all(1) if values.shape[1] <= 8 else np.zeros(len(values), bool)
+    packed = (values[small].astype(np.uint64) << (np.arange(values.shape[1], dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+    _, first, inv, n = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[: LARGE - 1]
+    rank = np.full(len(n), LARGE, np.uint8)
+    rank[top] = np.arange(1, len(top) + 1)
+    code = np.full(len(values), LARGE, np.uint8)
+    code[small] = rank[inv]
+    book = np.zeros((256, values.shape[1]), np.int64)
+    book[1 : len(top) + 1] = values[small][first[top]]
+    book[LARGE] = -1
+    save_sorted(folder, f"{name}-{shard}", key40, code[:, None])
+    save(folder, f"{name}-{shard}.book", book)
+    large = code == LARGE
     save_sorted(folder, f"{name}_large-{shard}", key40[large], values[large].astype(np.uint64))
 
 
 def find_counts(folder: str, name: str, bits: int, h: np.ndarray, columns: int, by: np.ndarray | None = None) -> np.ndarray:
-    out = find(folder, name, bits, h, columns, by=by)
-    many = np.flatnonzero(out[:, 0] == LARGE)
+    out = find(folder, name, bits, h, columns, by=by, coded=True)
+    many = np.flatnonzero(out[:, 0] < 0)
     if len(many):
         out[many] = find(folder, f"{name}_large", bits, h[many], columns, by=None if by is None else by[many])
     return out
 
 
-def planes(x: np.ndarray) -> np.ndarray:
-    """64-bit integers as eight planes of bytes, of which small numbers leave seven empty: as good as nothing once compressed."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
-
-
-def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack_columns(x: np.ndarray) -> bytes:
+    """Columns of non-negative integers as planes of bytes, as many as a column's greatest value needs, compressed."""
+    out = [len(x).to_bytes(8, "little")]
+    for i in range(x.shape[1]):
+        k = (int(x[:, i].max(initial=0)).bit_length() + 7) // 8
+        out += [bytes([k]), np.ascontiguousarray(x[:, i].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpack_columns(blobs: list[bytes], columns: int) -> np.ndarray:
+    """The rows of packed columns, of all blobs one after the other."""
+    parts = [np.zeros((0, columns), np.int64)]
+    for b in blobs:
+        raw = np.frombuffer(_ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), np.uint8)
+        n, at = int.from_bytes(raw[:8].tobytes(), "little"), 8
+        out = np.zeros((columns, 8, n), np.uint8)
+        for i in range(columns):
+            k = int(raw[at])
+            out[i, :k] = raw[at + 1 : at + 1 + k * n].reshape(k, n)
+            at += 1 + k * n
+        parts.append(np.ascontiguousarray(out.transpose(2, 0, 1)).view("<u8")[:, :, 0].astype(np.int64))
+    return np.concatenate(parts)

@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from vellum import config
+from vellum import interfaces, schemas, settings
 from vellum.functions import image
-from vellum.operators import engines, layout, log, ordering, render, routing, stamps, validate
-from vellum.plans import queries
-from vellum.sources import files, tables, text_layer
+from vellum.operators import artifacts, engines, layout, log, ordering, render, routing, stamps, validate
+from vellum.plans import queries, two_pass
+from vellum.sources import files, pdf, synthetic, tables, text_layer
 from vellum.streaming import log as slog
 
 LINE = "array<struct<kind:string,x0:double,y0:double,x1:double,y1:double,text:string,confidence:double,reading_order:int>>"
@@ -142,19 +142,108 @@ def test_engines(spark):
         r.get("other")
     p = spark.createDataFrame([("b", 1, "x\ny"), ("b", 2, "z")], "book_id string, page bigint, text string")
     got = {x.page: x for x in engines.recognize(p, "echo", r.get("echo"), {"fail_every": 2, "score": 0.8}).collect()}
-    assert got[1].text == "x\ny" and got[1].confidence == pytest.approx(80) and got[1].n_regions == 2
+    assert got[1].text == "x\ny" and got[1].confidence == pytest.approx(80) and len(got[1].lines) == 2
     assert got[2].text is None and got[2].error.startswith("RuntimeError")
     assert engines.mean_token_probability(np.array([[0.0, 0.0], [0.0, np.log(3)]]), np.array([0, 1])) == 62.5
 
 
-def test_config(tmp_path):
-    assert config.load(overrides={"quality.thresholds.high": "85", "ocr.primary.device": "cpu", "watermark_filter.enabled": "false", "rasterize.dpi": "150"})["quality"]["thresholds"]["high"] == 85
+def test_settings(tmp_path):
+    got = settings.load(overrides={"rules.high": "85", "run.escalate": "false", "stamps.least_share": "0.5", "rules.weights.extra": "0.1"})
+    assert got.rules.high == 85 and not got.run.escalate and got.stamps.least_share == 0.5 and got.rules.weights["extra"] == 0.1 and got.rules.weights["engine_confidence"] == 0.5
+    for wrong in ({"gate.unknown": "1"}, {"unknown": "1"}, {"gate": "1"}, {"run.escalate": "7"}, {"gate.least_chars": "many"}):
+        with pytest.raises(ValueError):
+            settings.load(overrides=wrong)
+    (tmp_path / "c.yaml").write_text("stamps: {least_share: 0.5}\ngate: {prefer: false}\n")
+    got = settings.load(str(tmp_path / "c.yaml"))
+    assert got.stamps == settings.Stamps(least_share=0.5) and not got.gate.prefer
+    assert len(settings.fingerprint(got)) == 16 != settings.fingerprint(settings.Settings()) and settings.coerce("1.5") == 1.5 and settings.coerce("TRUE") is True
+
+
+def test_engine_process_and_its_limits(spark):
+    """A page that takes too long, one that fails and an engine that can't start each leave an error in their rows."""
+    p = spark.createDataFrame([("b", i, f"t{i}") for i in range(1, 5)], "book_id string, page bigint, text string").coalesce(1)
+    path = "vellum.operators.engines:EchoEngine"
+    got = {r.page: r for r in engines.recognize(p, "e", path, {"slow_every": 2, "fail_every": 3, "upper": True}, mode="process", timeout_s=8).where("page < 4").collect()}
+    assert (got[1].text, got[1].version) == ("T1", "echo-1") and got[2].error == "TimeoutError: recognize took over 8 s" and got[3].error == "RuntimeError: page can't be read"
+    assert "can't start" in engines.recognize(p.limit(1), "e", path, {"fail_start": True}, mode="process").first().error
+    assert engines.recognize(p.limit(1), "e", path, {"start_s": 9}, mode="process", timeout_s=1).first().error.startswith("TimeoutError: start took over")
     with pytest.raises(ValueError):
-        config.load(overrides={"rasterize.unknown": "1"})
-    (tmp_path / "c.yaml").write_text("watermark_filter: {min_page_fraction: 0.5}\n")
-    got = config.load(str(tmp_path / "c.yaml"))
-    assert got["watermark_filter"] == {"enabled": True, "bottom_band_fraction": 0.15, "min_page_occurrences": 3, "min_page_fraction": 0.5}
-    assert len(config.fingerprint(got)) == 16 and config.coerce("1.5") == 1.5
+        engines.recognize(p, "e", path, mode="elsewhere")
+    runner = engines.OwnProcess(path, {})
+    assert runner.call("recognize", {"page": 1, "text": "x"})["text"] == "x"
+    runner.close()
+    assert not runner._child.is_alive() and isinstance(engines.EchoEngine({}), interfaces.Recognizer) and isinstance(engines.BandDetector({}), interfaces.LayoutDetector)
+
+
+def test_two_passes(spark, tmp_path):
+    """Lines that an engine gives from the bottom up are put in order in either pass; the chosen reading keeps its confidence."""
+    text = "one two\n" + "\n".join(f"line {i} of the page" for i in range(5))
+    p = spark.createDataFrame([("b", 1, text, False), ("b", 2, "", True), ("b", 3, text, False)], "book_id string, page bigint, text string, blank boolean")
+    how = {"first_config": {"reverse": True, "score": 0.1, "fail_every": 3}, "detector": engines.BandDetector}
+    for second, want in (({"reverse": True, "score": 1.0}, ("COMPLETED", "escalation", 100.0, 2)), ({"score": 0.2}, ("REVIEW_REQUIRED", "primary", 10.0, 2)), ({"fail_every": 1}, ("REVIEW_REQUIRED", "primary", 10.0, 2))):
+        got = {r.page: r for r in two_pass.run(spark, p, str(tmp_path / str(want[2]) / str(len(second))), engines.EchoEngine, engines.EchoEngine, second_config=second, settings=settings.load(overrides={"rules.medium": "50"}), **how).collect()}
+        r = got[1]
+        assert (r.status, r.engine, r.confidence, r.processing_pass) == want and r.text == text and len(r.regions) == 6
+        assert got[2].status == "BLANK" and (got[3].status, got[3].text, got[3].error) == ("FAILED", None, "RuntimeError: page can't be read")
+        if "fail_every" in second:
+            assert r.warnings[-1] == "escalation_failed:RuntimeError" and r.error == "RuntimeError: page can't be read"
+        elif want[0] == "REVIEW_REQUIRED":
+            assert r.warnings[-1] == "second_engine_not_safely_accepted" and r.error is None
+    one = two_pass.run(spark, p, str(tmp_path / "one"), engines.EchoEngine, engines.EchoEngine, settings=settings.load(overrides={"run.escalate": "false"})).collect()
+    assert {r.page: r.status for r in one} == {1: "REVIEW_REQUIRED", 2: "BLANK", 3: "REVIEW_REQUIRED"}
+
+
+def test_records(spark):
+    p = spark.createDataFrame([("b", 1, "x <br>", 90.0)], "book_id string, page bigint, text string, confidence double").selectExpr("*", "'a/b' AS engine", "'1' AS version", "1D AS score", "'HIGH' AS tier", "array('w') AS warnings")
+    from vellum.functions import evidence
+
+    c = artifacts.candidates(p.selectExpr("*", *evidence.counters()), 2)
+    r = c.first()
+    assert (r.artifact, r.output_format, r.evidence["html_tag_count"], r.engine_name) == ("pass-2-a-b.json", "html", 1.0, "a/b")
+    b = artifacts.bundle(p.select("book_id", "page"), candidates=c.select("book_id", "page", "artifact"), decisions=c.select("book_id", "page", "tier").where("false")).first()
+    assert [x.artifact for x in b.candidates] == ["pass-2-a-b.json"] and b.decisions is None
+    assert schemas.create_tables(spark, "made_here") == sorted(schemas.TABLES) and spark.table("made_here.candidates").columns == c.drop("artifact").columns
+    spark.sql("DROP DATABASE made_here CASCADE")
+
+
+def test_scans(spark, tmp_path):
+    regions = synthetic.page(0, 3)[1]
+    img = synthetic.raster(regions)
+    assert synthetic.page(0, 3)[1] == regions and 0 < (img < 200).mean() < 0.5
+    data = pdf.write([img, 255 - img], 300)
+    assert pdf.page_count(data) == 2 and pdf.page_count(data[:-2000]) in (0, 2) and pdf.page_count(b"") == pdf.page_count(b"%PDF-1.4 rubbish") == 0
+    assert (pdf.page_image(data, 2, 300)[..., 0] == 255 - img).all() and pdf.page_image(data, 1, 150).shape[0] == round(img.shape[0] / 2)
+    with pytest.raises(IndexError):
+        pdf.page_image(data, 3, 300)
+    assert files.output_folder("/x/a.b.pdf", "/y") == "/y/a.b"
+    files.write_atomically(str(tmp_path / "book.txt"), "x")
+    assert files.products(str(tmp_path)) == [("book.txt", 1), ("book.md", None)]
+
+
+def test_repairs():
+    yy, xx = np.mgrid[:120, :160]
+    img = np.where((abs(xx - 80) < 60) & (abs(yy - 60) < 3), 0.0, 255.0)
+    turned = image.rotate(img, 7)
+    assert abs(abs(image.skew(turned)) - 7) < 0.8 and np.abs(image.rotate(img, 0) - img).max() == 0
+    assert np.abs(image.rotate(turned, -image.skew(turned)) - img).mean() < 6
+    g = np.random.default_rng(0)
+    dirty = np.clip(img * 0.8 + 20 + g.normal(0, 6, img.shape), 0, 255)
+    assert image.denoise(dirty[:40, :40]).std() <= dirty[:40, :40].std() and set(np.unique(image.binarize(dirty))) == {0.0, 255.0}
+    import zlib
+
+    raw = image.png(img)
+    assert raw[:4] == b"\x89PNG" and zlib.decompress(raw[raw.index(b"IDAT") + 4 : -16])[1:161] == img[0].astype(np.uint8).tobytes()
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(1, 3001)))
+    (tmp_path / "b.txt").write_text("line 1\n\nline 3")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = files.numbered_lines(spark, str(tmp_path)).where("value <> ''").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 3002 and all(r.value == f"line {r.line}" for r in got)
 
 
 def test_files(spark, tmp_path):
@@ -169,7 +258,7 @@ def test_files(spark, tmp_path):
     lg = files.read_log(spark, str(tmp_path / "log.jsonl"))
     assert files.page_of(lg, 1).first().text == "v2" and files.event_count(spark, str(tmp_path / "log.jsonl")) == 2
     (tmp_path / "log.jsonl").write_text("\n".join(rows) + '\n{"page": 2, "te\n')
-    assert files.read_log(spark, str(tmp_path / "log.jsonl"), strict=False).where("_malformed IS NOT NULL").count() == 1
+    assert [r._line for r in files.read_log(spark, str(tmp_path / "log.jsonl"), strict=False).where("_malformed IS NOT NULL").collect()] == [3]
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):

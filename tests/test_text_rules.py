@@ -116,3 +116,15 @@ def test_quality_tiers(spark):
 def test_names_and_html(spark):
     assert values(spark, ["Engine A/1", "///", ""], evidence.artifact_name("1", "text")) == [("pass-1-Engine-A-1.json",), ("pass-1-engine.json",), ("pass-1-engine.json",)]
     assert values(spark, ["<p>a<br>b</p> &lt;c&gt; &amp;lt;"], evidence.html_to_text("text")) == [("a\nb\n <c> &lt;",)]
+
+
+def test_words_beyond_one_plane(spark, monkeypatch):
+    """Pairs of more words than a table of characters took before, and the way for those beyond all characters."""
+    many = [f"w{i}" for i in range(36_500)]
+    df = spark.createDataFrame([(" ".join(many[-1200:] + many[:35_400]), " ".join(many[-1200:]))], "r string, h string")
+    assert df.selectExpr(f"{metrics.wer('r', 'h')} AS w").first().w == pytest.approx(35_400 / 36_600)
+    monkeypatch.setattr(metrics, "CODES", 2)
+    pairs = [("a b c", "a x c d"), ("", "a"), ("a", ""), ("a b c d e f", "f e d c b a"), ("a a b", "b a a")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, h string")
+    got = [r.w for r in df.selectExpr("i", f"{metrics.wer('r', 'h')} AS w").orderBy("i").collect()]
+    assert got == [pytest.approx(distance(a.split(), b.split()) / len(a.split()) if a else 1.0) for a, b in pairs]

@@ -13,11 +13,16 @@ TAG = r"<\\s*/?\\s*[A-Za-z][^>]*>"
 PAGE_NUMBER = r"^[0-9\\u0660-\\u0669ivxlcIVXLC\\-–—. ()\\[\\]]{1,8}$"
 
 
+def tags(x: str) -> str:
+    """How many tags a text holds; only one with their first sign is searched."""
+    return f"IF(contains({x}, '<'), {t.count(x, TAG)}, 0)"
+
+
 def counters(x: str = "text", regions: str = "0", confidence: str = "confidence") -> list[str]:
     x = f"coalesce({x}, '')"
     return [
         f"CAST(char_length({x}) AS bigint) AS character_count", f"CAST({t.any_line(x)} AS bigint) AS line_count", f"CAST({regions} AS bigint) AS region_count",
-        *(f"CAST({t.count(x, p)} AS bigint) AS {n}_count" for n, p in (("punctuation", PUNCTUATION), ("digit", DIGIT), ("latin", LATIN), ("html_tag", TAG))),
+        *(f"CAST({t.chars(x, p)} AS bigint) AS {n}_count" for n, p in (("punctuation", PUNCTUATION), ("digit", DIGIT), ("latin", LATIN))), f"CAST({tags(x)} AS bigint) AS html_tag_count",
         f"{confidence} IS NOT NULL AS native_confidence_available",
     ]
 

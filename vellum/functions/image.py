@@ -1,7 +1,10 @@
-"""Statistics of page images in numpy: ink, contrast, noise and skew, and what to do about them."""
+"""Page images in numpy: ink, contrast, noise and skew, what to do about them, and the repairs themselves."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,7 +45,10 @@ def skew(img: np.ndarray) -> float:
     y, x = np.nonzero(img <= otsu(img))
     if len(x) < 50:
         return 0.0
-    hull = _hull(np.unique(np.stack([x, y], 1).astype(float), axis=0))
+    # only a row's first and last dark pixel can be corners of the hull
+    at = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+    ends = np.append(at[1:], len(y)) - 1
+    hull = _hull(np.unique(np.stack([np.append(x[at], x[ends]), np.append(y[at], y[ends])], 1).astype(float), axis=0))
     if len(hull) < 3:
         return 0.0
     best = (np.inf, 0.0)
@@ -85,6 +91,85 @@ def analyze(images: DataFrame, blank_below: float = 0.002) -> DataFrame:
     return images.mapInPandas(run, f"origin string, {SCHEMA}")
 
 
+def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned counter-clockwise about the middle pixel, by cubic interpolation (a = -0.75); beyond the edge lies the edge's pixel."""
+    h, w = img.shape
+    cy, cx, t = h // 2, w // 2, np.radians(degrees)
+    yy, xx = np.mgrid[:h, :w].astype(float)
+    dx, dy = xx - cx, yy - cy
+    sx, sy = cx + dx * np.cos(t) - dy * np.sin(t), cy + dx * np.sin(t) + dy * np.cos(t)
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+
+    def weight(d):
+        d = np.abs(d)
+        return np.where(d <= 1, (1.25 * d - 2.25) * d * d + 1, np.where(d < 2, ((-0.75 * d + 3.75) * d - 6) * d + 3, 0))
+
+    out = np.zeros((h, w))
+    for j in range(-1, 3):
+        wy, row = weight(sy - (y0 + j)), np.clip(y0 + j, 0, h - 1)
+        for i in range(-1, 3):
+            out += wy * weight(sx - (x0 + i)) * img[row, np.clip(x0 + i, 0, w - 1)]
+    return np.clip(np.rint(out), 0, 255)
+
+
+def _blurred(img: np.ndarray, kernel: np.ndarray, mode: str) -> np.ndarray:
+    """Convolution with a kernel along both axes, one after the other."""
+    r = len(kernel) // 2
+    p = np.pad(img, r, mode=mode)
+    p = sum(k * p[i : i + img.shape[0]] for i, k in enumerate(kernel))
+    return sum(k * p[:, i : i + img.shape[1]] for i, k in enumerate(kernel))
+
+
+def binarize(img: np.ndarray, size: int = 31, below: float = 15) -> np.ndarray:
+    """White where a pixel is over the Gaussian mean of its surroundings less `below`; the Gaussian's width follows from its size."""
+    sigma = 0.3 * ((size - 1) / 2 - 1) + 0.8
+    kernel = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    mean = np.rint(_blurred(img.astype(float), kernel / kernel.sum(), "edge"))
+    return np.where(img > mean - below, 255.0, 0.0)
+
+
+def denoise(img: np.ndarray, strength: float = 10, template: int = 7, search: int = 21) -> np.ndarray:
+    """Non-local means: each pixel is the mean of those around it, weighted by how alike the patches about them are."""
+    box, r = np.ones(template) / template, search // 2
+    p = np.pad(img.astype(float), r, mode="reflect" if min(img.shape) > r else "edge")
+    total, weight = np.zeros(img.shape), np.zeros(img.shape)
+    for dy in range(search):
+        for dx in range(search):
+            other = p[dy : dy + img.shape[0], dx : dx + img.shape[1]]
+            w = np.exp(-np.maximum(_blurred((img - other) ** 2, box, "edge"), 0) / (strength * strength))
+            total, weight = total + w * other, weight + w
+    return np.rint(total / weight)
+
+
+def png(img: np.ndarray) -> bytes:
+    """A gray image as a PNG file."""
+    a = img.astype(np.uint8)
+    raw = np.concatenate([np.zeros((len(a), 1), np.uint8), a], 1).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+
+
+def repair(images: DataFrame) -> DataFrame:
+    """images(origin, width, height, nChannels, data, skew_deg, deskew, denoise, binarize) -> origin, png: the repaired page, null where nothing is to be done.
+
+    In this order, each step where its gate asks for it; a page is turned against its skew. Denoising compares 441 shifts of a page, so it is the dear one.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                img = gray(r["data"], int(r["width"]), int(r["height"]), int(r["nChannels"])) if r["deskew"] or r["denoise"] or r["binarize"] else None
+                if img is not None:
+                    img = rotate(img, -r["skew_deg"]) if r["deskew"] else img
+                    img = denoise(img) if r["denoise"] else img
+                    img = png(binarize(img) if r["binarize"] else img)
+                out.append((r["origin"], img))
+            yield pd.DataFrame(out, columns=["origin", "png"])
+
+    return images.mapInPandas(run, "origin string, png binary")
+
+
 def gates(profiles: DataFrame, least_angle: float = 0.3, noise_above: float = 0.15, contrast_below: float = 40) -> DataFrame:
     """profiles plus deskew, denoise and binarize: which steps a page needs."""
     ok = "readable AND NOT blank"

@@ -24,10 +24,19 @@ def cer(ref: str, hyp: str, loose: bool = False) -> str:
     return t.let("p", f"struct({normalize(ref, loose)} AS r, {normalize(hyp, loose)} AS h)", rate("levenshtein(p.r, p.h)", "char_length(p.r)", "p.h = ''"))
 
 
+#: Distinct words of a pair that have a character each: all of Unicode from U+0100 on but the surrogates.
+CODES = 0x10FFFF - 0x800 - 0x100
+
+
 def wer(ref: str, hyp: str, loose: bool = False) -> str:
-    """Levenshtein over words: each distinct word of the pair becomes one character, from U+4E00 on."""
-    code = "array_join(transform({0}, w -> decode(unhex(lpad(hex(19967 + array_position(v, w)), 4, '0')), 'UTF-16BE')), '')"
-    inner = t.let("v", "array_distinct(concat(p.r, p.h))", rate(f"levenshtein({code.format('p.r')}, {code.format('p.h')})", "size(p.r)", "size(p.h) = 0"))
+    """Levenshtein over words: each distinct word of the pair becomes one character, from U+0101 on; pairs of more than CODES words are compared row by row."""
+    point = "256 + array_position(v, w)"
+    code = f"array_join(transform({{0}}, w -> decode(unhex(lpad(hex({point} + IF({point} >= 55296, 2048, 0)), 8, '0')), 'UTF-32')), '')"
+    step = "least(element_at(row, -1) + 1, above[j] + 1, above[j - 1] + IF(p.h[j - 1] = w, 0, 1))"
+    line = f"aggregate(sequence(1, size(p.h)), array(above[0] + 1), (row, j) -> array_append(row, {step}))"
+    plain = f"element_at(aggregate(p.r, sequence(0, size(p.h)), (above, w) -> IF(size(p.h) = 0, array(above[0] + 1), {line})), -1)"
+    distance = f"IF(size(v) <= {CODES}, levenshtein({code.format('p.r')}, {code.format('p.h')}), {plain})"
+    inner = t.let("v", "array_distinct(concat(p.r, p.h))", rate(distance, "size(p.r)", "size(p.h) = 0"))
     return t.let("p", f"struct({t.words(normalize(ref, loose))} AS r, {t.words(normalize(hyp, loose))} AS h)", inner)
 
 

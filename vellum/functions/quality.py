@@ -43,14 +43,33 @@ class Rules:
     script: Script = Script()
 
 
+def _script(bare: str, s: Script) -> str:
+    return f"IF({bare} = '', 0D, {t.chars(bare, f'[{s.letters}]')} / char_length({bare}))"
+
+
+def _garbage(bare: str, s: Script) -> str:
+    return f"IF({bare} = '', 0D, 1 - char_length(regexp_replace({bare}, '[^{s.letters}{PLAIN}]+', '')) / char_length({bare}))"
+
+
+def _length(n: str) -> str:
+    return f"CASE WHEN {n} = 0 THEN 0D WHEN {n} < 40 THEN {n} / 40D ELSE 1D END"
+
+
+def _line(lines: str) -> str:
+    return f"IF(size({lines}) < 4, false, {t.repeats(lines, 3)})"
+
+
+def _ngram(words: str, n: int = 4, times: int = 6) -> str:
+    run = ", ".join(f"{words}[i + {k}]" if k else f"{words}[i]" for k in range(n))
+    return f"IF(size({words}) < {n * times}, false, {t.repeats(f'transform(sequence(0, size({words}) - {n}), i -> xxhash64({run}))', times)})"
+
+
 def script_ratio(x: str, s: Script = Script()) -> str:
-    n = f"char_length({t.bare(x)})"
-    return f"IF({n} = 0, 0D, {t.count(x, f'[{s.letters}]')} / {n})"
+    return t.let("b", t.bare(x), _script("b", s))
 
 
 def garbage_ratio(x: str, s: Script = Script()) -> str:
-    b = t.bare(x)
-    return t.let("b", b, f"IF(b = '', 0D, 1 - {t.count('b', f'[{s.letters}{PLAIN}]')} / char_length(b))")
+    return t.let("b", t.bare(x), _garbage("b", s))
 
 
 def dictionary_rate(x: str, s: Script = Script()) -> str:
@@ -61,31 +80,35 @@ def dictionary_rate(x: str, s: Script = Script()) -> str:
 
 
 def length_score(x: str) -> str:
-    return t.let("n", f"char_length({t.strip(x)})", "CASE WHEN n = 0 THEN 0D WHEN n < 40 THEN n / 40D ELSE 1D END")
+    return t.let("n", f"char_length({t.strip(x)})", _length("n"))
 
 
 def repeated_line(x: str) -> str:
     """Four lines or more, one of them three times."""
-    return t.let("l", t.lines(x), f"size(l) >= 4 AND {t.repeats('array_sort(l)', 3)}")
+    return t.let("ls", t.lines(x), _line("ls"))
 
 
 def repeated_ngram(x: str, n: int = 4, times: int = 6) -> str:
-    """A run of n words that occurs so often, overlaps counted, in n * times words or more."""
-    grams = f"array_sort(transform(sequence(1, size(ws) - {n - 1}), i -> array_join(slice(ws, i, {n}), ' ')))"
-    return t.let("ws", t.words(x), f"IF(size(ws) < {n * times}, false, {t.repeats(grams, times)})")
+    """A run of n words that occurs so often, overlaps counted, in n * times words or more. Runs are compared by 64-bit hashes."""
+    return t.let("ws", t.words(x), _ngram("ws", n, times))
 
 
 def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", confidence: str = "confidence") -> DataFrame:
-    """pages plus signals (map), score, warnings and tier. A null confidence counts as 50."""
-    x, s = f"coalesce({text}, '')", rules.script
+    """pages plus signals (map), score, warnings and tier. A null confidence counts as 50.
+
+    Text without white space, words and lines are made once, in a projection of their own, and all signals are read off them.
+    """
+    kept, s = [c for c in pages.columns if not c.startswith("_")], rules.script
+    pages = pages.selectExpr("*", f"coalesce({text}, '') AS _x")
+    pages = pages.selectExpr("*", f"{t.words('_x')} AS _w", f"{t.lines('_x')} AS _l", f"char_length({t.strip('_x')}) AS _n").selectExpr("*", "array_join(_w, '') AS _b")
     signal = {
         "engine_confidence": f"coalesce(CAST({confidence} AS double), 50D)",
-        "arabic_char_ratio": f"{script_ratio(x, s)} * 100",
-        "dictionary_hit_rate": f"{dictionary_rate(x, s)} * 100",
-        "length_anomaly": f"{length_score(x)} * 100",
-        "garbage_symbol_ratio": f"(1 - {garbage_ratio(x, s)}) * 100",
+        "arabic_char_ratio": f"{_script('_b', s)} * 100",
+        "dictionary_hit_rate": f"{dictionary_rate('_x', s)} * 100",
+        "length_anomaly": f"{_length('_n')} * 100",
+        "garbage_symbol_ratio": f"(1 - {_garbage('_b', s)}) * 100",
     }
-    pages = pages.selectExpr("*", *(f"{e} AS _{k}" for k, e in signal.items()), f"{repeated_line(x)} AS _line", f"{repeated_ngram(x)} AS _gram", f"char_length({t.strip(x)}) AS _n")
+    pages = pages.selectExpr("*", *(f"{e} AS _{k}" for k, e in signal.items()), f"{_line('_l')} AS _line", f"{_ngram('_w')} AS _gram")
     weight = {k: rules.weights.get(k, 0.0) for k in signal}
     total = sum(rules.weights.values()) or 1.0
     score = "(" + " + ".join(f"{w!r}D * _{k}" for k, w in weight.items()) + f") / {total!r}D"
@@ -94,6 +117,5 @@ def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", co
         f"IF({confidence} IS NULL, 'native_confidence_unavailable', NULL), IF(_line, 'repeated_line_detected', NULL), IF(_gram, 'degenerate_repetition', NULL)))"
     )
     tier = f"CASE WHEN _line OR _gram THEN 'CRITICAL' WHEN score >= {rules.high}D THEN 'HIGH' WHEN score >= {rules.medium}D THEN 'MEDIUM' WHEN score >= {rules.low}D THEN 'LOW' ELSE 'CRITICAL' END"
-    kept = [c for c in pages.columns if not c.startswith("_")]
     signals = "map(" + ", ".join(f"'{k}', _{k}" for k in signal) + ")"
     return pages.selectExpr(*kept, f"{signals} AS signals", f"{score} AS score", f"{warnings} AS warnings", "_line", "_gram").selectExpr(*kept, "signals", "score", "warnings", f"{tier} AS tier")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: White space as Python's str.isspace() has it, in a Java pattern inside a SQL literal.
-SPACE = r"(?U)[\\s\\x1c-\\x1f]"
+#: White space as Python's str.isspace() has it: as a class of a Java pattern inside a SQL literal, and as characters of a SQL literal.
+SPACE = r"[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_SPACES = "".join(f"\\u{c:04x}" for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 #: Line ends as str.splitlines() has them; CR LF is one.
 LINE_END = r"\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
@@ -21,7 +22,8 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '')"
+    """Without white space at both ends; only the ends are looked at."""
+    return f"trim(BOTH '{_SPACES}' FROM {x})"
 
 
 def collapse(x: str) -> str:
@@ -34,26 +36,32 @@ def bare(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"filter(split({x}, '{SPACE}+'), w -> w <> '')"
+    return f"array_remove(split({x}, '{SPACE}+'), '')"
 
 
 def count(x: str, pattern: str) -> str:
     return f"regexp_count({x}, '{pattern}')"
 
 
+def chars(x: str, cls: str) -> str:
+    """How many characters are of a class (a pattern's, in brackets): what is left out without them, so no match is kept."""
+    return f"(char_length({x}) - char_length(regexp_replace({x}, '{cls}+', '')))"
+
+
 def lines(x: str) -> str:
     """Stripped lines, split at line feeds only, without empty ones."""
-    return f"filter(transform(split({x}, '\\n'), l -> {strip('l')}), l -> l <> '')"
+    return f"array_remove(transform(split({x}, '\\n'), l -> {strip('l')}), '')"
 
 
 def any_line(x: str) -> str:
     """The number of lines that hold more than white space, split at every line end."""
-    return f"size(filter(split({x}, '{LINE_END}'), l -> {bare('l')} <> ''))"
+    return f"size(filter(split({x}, '{LINE_END}'), l -> {strip('l')} <> ''))"
 
 
-def repeats(sorted_array: str, times: int) -> str:
-    """Whether a value occurs so often: in a sorted array its first and last then lie times - 1 apart."""
-    return let("s", sorted_array, f"size(s) >= {times} AND exists(sequence(0, size(s) - {times}), i -> s[i] = s[i + {times - 1}])")
+def repeats(array: str, times: int) -> str:
+    """Whether a value occurs so often. Only an array with times - 1 values too many is sorted; a value's first and last then lie times - 1 apart."""
+    found = let("s", "sort_array(r)", f"exists(sequence(0, size(s) - {times}), i -> s[i] = s[i + {times - 1}])")
+    return let("r", array, f"IF(size(r) - size(array_distinct(r)) < {times - 1}, false, {found})")
 
 
 @pandas_udf(StringType())

@@ -39,5 +39,10 @@ def apply_layout(pages, lines: str = "lines", blocks: str = "blocks", error: str
     pages = pages.selectExpr("*", f"{assign(lines, blocks)} AS _assigned")
     regions = f"CASE WHEN {usable} THEN {by_block('_assigned')} ELSE {right_to_left(lines)} END"
     return pages.selectExpr(
-        "* EXCEPT (_assigned)", f"{regions} AS regions", f"IF({usable}, 'layout', 'rtl-row-fallback') AS provider", f"IF({error} IS NULL, array(), array(concat('layout_detection_failed:', {error}))) AS layout_warnings"
+        "* EXCEPT (_assigned)", f"{regions} AS regions", f"IF({usable}, 'layout', 'rtl-row-fallback') AS provider", f"IF({error} IS NULL, CAST(array() AS array<string>), array(concat('layout_detection_failed:', {error}))) AS layout_warnings"
     )
+
+
+def drop_footer_band(lines: str, height: str, share: float = 0.85) -> str:
+    """Lines that begin above the footer band."""
+    return f"filter({lines}, l -> l.y0 <= {share!r}D * {height})"

@@ -21,8 +21,10 @@ def superseded(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("superseded"))
 
 
-def pending(log: DataFrame) -> DataFrame:
-    return latest(log).where(f"status NOT IN {in_list(FINAL_STATUS)} OR status IS NULL").select(*KEY, "status")
+def pending(log: DataFrame, force: bool = False) -> DataFrame:
+    """Pages whose latest status is not final; with force all of them."""
+    now = latest(log).select(*KEY, "status")
+    return now if force else now.where(f"status NOT IN {in_list(FINAL_STATUS)} OR status IS NULL")
 
 
 def progress(log: DataFrame, books: DataFrame | None = None) -> DataFrame:
@@ -81,9 +83,45 @@ def stuck_attempts(attempts: DataFrame, only_latest: bool = False) -> DataFrame:
     return attempts.where("status = 'PROCESSING'").select("attempt_id", "book_id", "page", "processing_pass")
 
 
-def resolve_attempts(attempt_log: DataFrame) -> DataFrame:
-    """Attempts from their opening and closing rows."""
-    return attempt_log.groupBy("attempt_id", "book_id", "page", "processing_pass").agg(F.max_by("status", "seq").alias("status"), F.max_by("error", "seq").alias("error"))
+def begin_attempts(pages: DataFrame, known: DataFrame, processing_pass: int, engine: str, ts: str = "current_timestamp()") -> DataFrame:
+    """Opening rows of attempts at pages(book_id, page), numbered on from known(attempt_id).
+
+    Numbers rise by book, page within a task's range only, as no more is needed of them than that they are new.
+    """
+    last = known.agg(F.max("attempt_id")).first()[0] or 0
+    got = pages.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    return got.select((F.monotonically_increasing_id() + 1 + last).alias("attempt_id"), *KEY, F.lit(processing_pass).alias("processing_pass"), F.lit(engine).alias("engine_used"), F.lit("PROCESSING").alias("status"), F.expr(ts).alias("started_at"))
+
+
+def finish_attempts(attempts: DataFrame, results: DataFrame, ts: str = "current_timestamp()") -> DataFrame:
+    """Closing rows for results(attempt_id, status, error, artifact) of known attempts; others are left out."""
+    keys = attempts.groupBy("attempt_id").agg(*(F.first(c).alias(c) for c in (*KEY, "processing_pass", "engine_used")))
+    return results.join(keys, "attempt_id").select("attempt_id", *KEY, "processing_pass", "engine_used", "status", F.expr(ts).alias("completed_at"), "error", "artifact")
+
+
+def resolve_attempts(opened: DataFrame, closed: DataFrame) -> DataFrame:
+    """One row an attempt: a closing row's status, error and artifact (the last one's by completed_at), else PROCESSING."""
+    end = closed.groupBy("attempt_id").agg(F.max_by(F.struct("status", "completed_at", "error", "artifact"), "completed_at").alias("end"))
+    got = opened.join(end, "attempt_id", "left")
+    return got.selectExpr("attempt_id", *KEY, "processing_pass", "engine_used", "coalesce(end.status, status) AS status", "started_at", "end.completed_at", "end.error", "end.artifact")
+
+
+def page_attempts(attempts: DataFrame, book_id: str, page: int) -> DataFrame:
+    """One page's attempts in their order."""
+    return attempts.where((F.col("book_id") == book_id) & (F.col("page") == page)).orderBy("attempt_id")
+
+
+def books_now(books: DataFrame) -> DataFrame:
+    """Books from the rows of their log: the first fingerprint and hash that were known, the last of everything else."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("source_fingerprint", "source_sha256")]
+    last = [F.max_by(c, "seq").alias(c) for c in ("source_path", "page_count", "pipeline_version", "config_hash", "status")]
+    return books.groupBy("book_id").agg(*first, *last)
+
+
+def book_status(report: DataFrame, ts: str = "current_timestamp()") -> DataFrame:
+    """report(book_id, valid, review_pages) -> book_id, status, completed_at, which only a book has that is done."""
+    got = report.selectExpr("book_id", "CASE WHEN NOT valid THEN 'FAILED_VALIDATION' WHEN review_pages > 0 THEN 'REVIEW_REQUIRED' ELSE 'COMPLETED' END AS status")
+    return got.selectExpr("book_id", "status", f"IF(status = 'FAILED_VALIDATION', NULL, {ts}) AS completed_at")
 
 
 def migrate(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -21,27 +21,46 @@ def body_regions(pages: DataFrame, stamps: DataFrame | None = None) -> DataFrame
         pages = pages.withColumn("_s", F.expr("CAST(array() AS array<string>)"))
     else:
         pages = pages.join(stamps.groupBy("book_id").agg(F.collect_set("line").alias("_s")), "book_id", "left").withColumn("_s", F.expr("coalesce(_s, array())"))
-    kept = f"transform(filter(coalesce(regions, array()), r -> r.kind NOT IN ({kinds}) AND {t.strip('r.text')} <> '' AND NOT array_contains(_s, {t.strip('r.text')})), r -> struct(r.kind AS kind, r.text AS text))"
-    lines = f"transform(filter(split(text, '\\n'), l -> {t.strip('l')} <> '' AND NOT array_contains(_s, {t.strip('l')})), l -> struct('body' AS kind, l AS text))"
-    return pages.selectExpr("*", f"{kept} AS _k").selectExpr("* EXCEPT (_k, _s)", f"CASE WHEN size(_k) > 0 OR coalesce(text, '') = '' THEN _k ELSE {lines} END AS body")
+    stays = "r.s <> '' AND NOT array_contains(_s, r.s)"
+    kept = f"filter(transform(filter(coalesce(regions, array()), r -> r.kind NOT IN ({kinds})), r -> struct(r.kind AS kind, r.text AS text, {t.strip('r.text')} AS s)), r -> {stays})"
+    lines = f"filter(transform(split(text, '\\n'), l -> struct('body' AS kind, l AS text, {t.strip('l')} AS s)), r -> {stays})"
+    plain = "transform({0}, r -> struct(r.kind AS kind, r.text AS text))"
+    return pages.selectExpr("*", f"{kept} AS _k").selectExpr("* EXCEPT (_k, _s)", f"CASE WHEN size(_k) > 0 OR coalesce(text, '') = '' THEN {plain.format('_k')} ELSE {plain.format(lines)} END AS body")
+
+
+def _txt(marker: str) -> str:
+    a, b = marker.split("{page}")
+    return f"concat('{a}', page, '{b}', '\\n\\n', array_join(transform(body, r -> r.text), '\\n'), '\\n')"
+
+
+def _md(heading: str) -> str:
+    a, b = heading.split("{page}")
+    return f"concat('{a}', page, '{b}', '\\n\\n', array_join(transform(body, r -> IF(r.kind = 'heading', concat('### ', r.text), r.text)), '\\n\\n'), '\\n')"
+
+
+def chunks(pages: DataFrame, kind: str = "txt", mark: str | None = None) -> DataFrame:
+    """book_id, page, chunk: what each page adds to its book's product, by book and page in ranges of both.
+
+    No book is gathered, so books may have any size. The product is a title line (md), the chunks with a separator
+    between them (two line feeds for txt, one for md) and a last line feed (txt).
+    """
+    chunk = _txt(mark or "===== PAGE {page} =====") if kind == "txt" else _md(mark or "## Page {page}")
+    return pages.selectExpr("book_id", "page", f"{chunk} AS chunk").repartitionByRange("book_id", "page").sortWithinPartitions("book_id", "page")
 
 
 def _book(pages: DataFrame, chunk: str, glue: str, head: str = "''", tail: str = "''") -> DataFrame:
-    """One document a book. Its size is a book's, which the model bounds; chunks are ordered by page after collecting."""
+    """One document a book, in one row: for books of up to some hundred MB. Beyond that, chunks()."""
     got = pages.selectExpr("book_id", f"struct(page, {chunk} AS c) AS p").groupBy("book_id").agg(F.expr("array_sort(collect_list(p))").alias("ps"))
     return got.selectExpr("book_id", f"concat({head}, array_join(transform(ps, p -> p.c), '{glue}'), {tail}) AS document")
 
 
 def txt(pages: DataFrame, marker: str = "===== PAGE {page} =====") -> DataFrame:
     """pages with body -> book_id, document."""
-    a, b = marker.split("{page}")
-    return _book(pages, f"concat('{a}', page, '{b}', '\\n\\n', array_join(transform(body, r -> r.text), '\\n'), '\\n')", "\\n\\n", tail="'\\n'")
+    return _book(pages, _txt(marker), "\\n\\n", tail="'\\n'")
 
 
 def markdown(pages: DataFrame, heading: str = "## Page {page}") -> DataFrame:
-    a, b = heading.split("{page}")
-    parts = "transform(body, r -> IF(r.kind = 'heading', concat('### ', r.text), r.text))"
-    return _book(pages, f"concat('{a}', page, '{b}', '\\n\\n', array_join({parts}, '\\n\\n'), '\\n')", "\\n", head="concat('# ', book_id, '\\n\\n')")
+    return _book(pages, _md(heading), "\\n", head="concat('# ', book_id, '\\n\\n')")
 
 
 def flagged(pages: DataFrame) -> DataFrame:

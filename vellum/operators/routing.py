@@ -27,13 +27,17 @@ def route(pages: DataFrame, processing_pass: int = 1, escalation: bool = True, l
 def adjudicate(first: DataFrame, second: DataFrame, limit: float = 0.35) -> DataFrame:
     """One row a page of first that was to be reprocessed: the second reading if it is accepted, else the first one for review.
 
-    first, second: (book_id, page, text, score, tier, warnings, html_tag_count, engine); second also error, null unless it failed.
+    first, second: (book_id, page, text, score, tier, warnings, html_tag_count, engine); second also error, null unless it
+    failed. Their columns confidence and regions, where there are any, go with the reading that is chosen.
     """
-    a = first.selectExpr("book_id", "page", "text AS t1", "score AS s1", "tier AS r1", "warnings AS w1", "engine AS e1")
-    b = second.selectExpr("book_id", "page", "text AS t2", "score AS s2", "tier AS r2", "warnings AS w2", "engine AS e2", "html_tag_count AS h2", "error")
+    extra = [c for c in ("confidence", "regions") if c in first.columns and c in second.columns]
+    a = first.selectExpr("book_id", "page", "text AS t1", "score AS s1", "tier AS r1", "warnings AS w1", "engine AS e1", *(f"{c} AS {c}_1" for c in extra))
+    b = second.selectExpr("book_id", "page", "text AS t2", "score AS s2", "tier AS r2", "warnings AS w2", "engine AS e2", "html_tag_count AS h2", "error", *(f"{c} AS {c}_2" for c in extra))
     both = a.join(b, ["book_id", "page"]).selectExpr("*", f"IF(error IS NULL, {evidence.disagreement('t1', 't2')}, NULL) AS normalized_disagreement")
     both = both.selectExpr("*", f"IF(error IS NULL, {action('2', 'r2', 'h2', 'normalized_disagreement', True, limit)}, 'flag_for_review') AS action").selectExpr("*", "action = 'accept' AS ok")
+    failed = "concat('escalation_failed:', substring_index(error, ':', 1))"
     return both.selectExpr(
         "book_id", "page", "IF(ok, t2, t1) AS text", "IF(ok, s2, s1) AS score", "IF(ok, r2, r1) AS tier", "IF(ok, e2, e1) AS engine", "2 AS processing_pass", "action", "IF(ok, 'COMPLETED', 'REVIEW_REQUIRED') AS status",
-        "normalized_disagreement", "CASE WHEN ok THEN w2 WHEN error IS NOT NULL THEN array_append(w1, concat('escalation_failed:', error)) ELSE array_append(w1, 'second_engine_not_safely_accepted') END AS warnings",
+        "normalized_disagreement", f"CASE WHEN ok THEN w2 WHEN error IS NOT NULL THEN array_append(w1, {failed}) ELSE array_append(w1, 'second_engine_not_safely_accepted') END AS warnings",
+        *(f"IF(ok, {c}_2, {c}_1) AS {c}" for c in extra), "error",
     )

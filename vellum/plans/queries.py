@@ -145,7 +145,7 @@ def text_gate(spark, sf_dir):
 
 @query(f"WITH {PAGES}, {SIGNALS} SELECT book_id, page, CASE WHEN html_tag_count > 0 THEN 'flag_for_review' WHEN tier IN ('HIGH', 'MEDIUM') THEN 'accept' ELSE 'reprocess_local' END AS action, CASE WHEN html_tag_count > 0 THEN 'REVIEW_REQUIRED' WHEN tier IN ('HIGH', 'MEDIUM') THEN 'COMPLETED' ELSE 'LOW_CONFIDENCE' END AS status FROM scored")
 def route_pass1(spark, sf_dir):
-    p = _scored(spark, sf_dir).selectExpr("book_id", "page", "tier", f"{t.count('text', evidence.TAG)} AS html_tag_count")
+    p = _scored(spark, sf_dir).selectExpr("book_id", "page", "tier", f"{evidence.tags('text')} AS html_tag_count")
     return routing.route(p, 1).select("book_id", "page", "action", "status")
 
 
@@ -172,7 +172,7 @@ def disagreement(spark, sf_dir):
 def _two_readings(spark, sf_dir):
     """Pass 1 reads the user's turn at confidence 48, pass 2 the answer (where there is one) at 92; every third second reading repeats the first."""
     p = tables.reading_pairs(spark, sf_dir)
-    judge = lambda df: quality.score_pages(df).selectExpr("book_id", "page", "text", "score", "tier", "warnings", f"{t.count('text', evidence.TAG)} AS html_tag_count", "engine", "error")
+    judge = lambda df: quality.score_pages(df).selectExpr("book_id", "page", "text", "score", "tier", "warnings", f"{evidence.tags('text')} AS html_tag_count", "engine", "error")
     one = judge(p.selectExpr("book_id", "page", "reference AS text", "48D AS confidence", "'first' AS engine", "CAST(NULL AS string) AS error"))
     two = judge(p.selectExpr("book_id", "page", "IF(page % 3 = 0, reference, hypothesis) AS text", "92D AS confidence", "'second' AS engine", "IF(page % 3 <> 0 AND hypothesis IS NULL, 'RuntimeError', NULL) AS error"))
     return one, two
@@ -323,12 +323,13 @@ def render_md(spark, sf_dir):
 
 
 QC_SQL = f"""WITH {PAGES}, {SIGNALS} SELECT book_id, count(*) AS pages, count(*) FILTER (tier = 'HIGH') AS n_high, count(*) FILTER (tier = 'MEDIUM') AS n_medium, count(*) FILTER (tier = 'LOW') AS n_low, count(*) FILTER (tier = 'CRITICAL') AS n_critical,
-  coalesce(round(avg(confidence), 2), 0) AS mean_confidence, coalesce(min(confidence), 0) AS min_confidence, count(*) FILTER (tier IN ('LOW', 'CRITICAL') OR len(warnings) > 0) AS n_flagged FROM scored GROUP BY book_id"""
+  coalesce(round(avg(confidence), 2), 0) AS mean_confidence, coalesce(min(confidence), 0) AS min_confidence, count(*) FILTER (tier IN ('LOW', 'CRITICAL') OR len(warnings) > 0) AS n_flagged,
+  coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (tier IN ('LOW', 'CRITICAL') OR len(warnings) > 0), '') AS flagged_pages FROM scored GROUP BY book_id"""
 
 
 @query(QC_SQL)
 def qc_report(spark, sf_dir):
-    return render.qc_report(_scored(spark, sf_dir)).drop("flagged_pages")
+    return render.qc_report(_scored(spark, sf_dir)).withColumn("flagged_pages", F.expr("array_join(flagged_pages, ',')"))
 
 
 @query(f"WITH {PAGES}, {SIGNALS} SELECT book_id, page, tier, CAST(len(warnings) AS INTEGER) AS n_warnings FROM scored WHERE tier IN ('LOW', 'CRITICAL') OR len(warnings) > 0")
@@ -395,9 +396,20 @@ def punct_recall(spark, sf_dir):
     return metrics.page_report(tables.reading_pairs(spark, sf_dir)).selectExpr("book_id", "page", "round(punctuation_recall, 6) AS punctuation_recall")
 
 
-@query()
+_DP = "list_reduce({h}, lambda above, w: list_reduce(range(1, len({r}) + 1), lambda row, j: list_append(row, least(row[-1] + 1, above[j + 1] + 1, above[j] + CASE WHEN {r}[j] = w THEN 0 ELSE 1 END)), [above[1] + 1]), range(len({r}) + 1))[-1]"
+
+
+@query(rf"""WITH {PAIRS}, w_ AS (SELECT book_id, page, list_filter(regexp_split_to_array(reference, '\s+'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array({_EMPTY}, '\s+'), lambda w: w <> '') AS h FROM pairs_)
+SELECT book_id, page, round(CASE WHEN h = [] THEN 1.0 WHEN r = h THEN 0.0 ELSE {_DP.format(r="r", h="h")} / len(r) END, 6) AS wer FROM w_""")
 def wer(spark, sf_dir):
-    return metrics.page_report(tables.reading_pairs(spark, sf_dir)).selectExpr("book_id", "page", "round(wer, 6) AS wer", "round(wer_loose, 6) AS wer_loose")
+    return tables.reading_pairs(spark, sf_dir).selectExpr("book_id", "page", f"round({metrics.wer('reference', _EMPTY)}, 6) AS wer")
+
+
+@query(f"""WITH {PAIRS} SELECT book_id, page, round({_lev(_REF, _HYP)} / length({_REF}), 6) AS cer, round({_lev(_REF, _HYP)} / length({_REF}), 6) AS cer_loose, round({RECALL}, 6) AS punctuation_recall, CAST(length({_REF}) AS BIGINT) AS ref_chars FROM pairs_""")
+def page_report(spark, sf_dir):
+    """No marks that the loose comparison leaves out occur in these texts, so both rates are equal here."""
+    got = metrics.page_report(tables.reading_pairs(spark, sf_dir))
+    return got.selectExpr("book_id", "page", "round(cer, 6) AS cer", "round(cer_loose, 6) AS cer_loose", "round(punctuation_recall, 6) AS punctuation_recall", "ref_chars")
 
 
 @query(f"""WITH {PAIRS}, m AS (SELECT font, {_lev(_REF, _HYP)} / length({_REF}) AS cer, {RECALL} AS recall FROM pairs_)
@@ -418,17 +430,19 @@ def leak_check(spark, sf_dir):
 
     A passage's space-delimited words but its first and last are whole words of any text that contains it. Candidates
     share the hash of the first INNER of these, or of all where there are fewer; a passage without any is compared with
-    every text.
+    every text. Only hashes are exploded and joined; texts are met again by id and hash for their candidates alone.
     """
-    b = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.expr("split(text, ' ')").alias("w")).where("passage IS NOT NULL")
-    b = b.selectExpr("item_id", "passage", "w", f"greatest(least(size(w) - 2, {INNER}), 0) AS n")
-    d = tables.read(spark, sf_dir, "documents").selectExpr("text", "split(text, ' ') AS w").where("text IS NOT NULL")
+    b = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").groupBy(F.col("text").alias("passage")).agg(F.collect_list(F.struct("item_id")).alias("items"))
+    b = b.selectExpr("passage", "items", "split(passage, ' ') AS w").selectExpr("*", f"greatest(least(size(w) - 2, {INNER}), 0) AS n")
+    docs = tables.read(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", "text", "xxhash64(text) AS th")
     sizes = sorted(r.n for r in b.select("n").distinct().collect())
-    keys = b.where("n > 0").selectExpr("item_id", "passage", "xxhash64(n, array_join(slice(w, 2, n), ' ')) AS h")
+    keys = b.where("n > 0").selectExpr("passage", "items", "xxhash64(n, array_join(slice(w, 2, n), ' ')) AS h")
     of_size = [f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64({n}, array_join(slice(w, i, {n}), ' ')))" for n in sizes if n]
-    hits = d.selectExpr("text", f"explode(array_distinct(concat({', '.join(of_size) or 'CAST(array() AS array<bigint>)'}))) AS h").join(keys, "h").where("contains(text, passage)").select("item_id")
+    hashes = docs.selectExpr("doc_id", "th", "split(text, ' ') AS w").selectExpr("doc_id", "th", f"explode(array_distinct(concat({', '.join(of_size) or 'CAST(array() AS array<bigint>)'}))) AS h")
+    found = hashes.join(keys, "h").dropDuplicates(["doc_id", "th", "passage"]).select("doc_id", "th", "passage", "items")
     if 0 in sizes:
-        hits = hits.union(d.join(F.broadcast(b.where("n = 0").select("item_id", "passage")), F.expr("contains(text, passage)")).select("item_id"))
+        found = found.union(docs.dropDuplicates(["doc_id", "th"]).join(F.broadcast(b.where("n = 0").select("passage", "items")), F.expr("contains(text, passage)")).select("doc_id", "th", "passage", "items"))
+    hits = docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.th = f.th")).where("contains(text, passage)").selectExpr("inline(items)")
     return hits.groupBy("item_id").agg(F.count("*").alias("pages"))
 
 
@@ -443,7 +457,7 @@ def safe_artifact_name(spark, sf_dir):
 @query(r"""SELECT page_id, regexp_matches(html, '<\s*/?\s*[A-Za-z][^>]*>') AS has_html, CAST(len(regexp_extract_all(html, '<\s*/?\s*[A-Za-z][^>]*>')) AS BIGINT) AS tags,
   md5(trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS text_md5 FROM pages""")
 def html_to_text(spark, sf_dir):
-    return tables.read(spark, sf_dir, "pages").selectExpr("page_id", f"{evidence.has_html('html')} AS has_html", f"CAST({t.count('html', evidence.TAG)} AS bigint) AS tags", f"md5({evidence.html_to_text('html')}) AS text_md5")
+    return tables.read(spark, sf_dir, "pages").selectExpr("page_id", f"{evidence.has_html('html')} AS has_html", f"CAST({evidence.tags('html')} AS bigint) AS tags", f"md5({evidence.html_to_text('html')}) AS text_md5")
 
 
 @query(f"WITH {LOG} SELECT DISTINCT book_id, CAST(least(20 + i * 40, page_count) AS INTEGER) AS page FROM books_, range(10) r(i)")
@@ -466,11 +480,11 @@ def content_hash(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").selectExpr("doc_id", "sha2(text, 256) AS sha256", "left(sha2(text, 256), 16) AS short")
 
 
-@query(f"WITH {PAGES}, {REGIONS} SELECT book_id, page, round(avg(length(text) % 100), 6) AS mean_confidence FROM regions_ GROUP BY ALL")
+@query(f"WITH {PAGES}, {REGIONS} SELECT book_id, page, round(avg((length(text) % 100) / 100.0) * 100, 6) AS mean_confidence FROM regions_ GROUP BY ALL")
 def mean_line_confidence(spark, sf_dir):
-    """Mean of line scores in percent; a line's score stands in as the last two digits of its length."""
-    p = tables.with_regions(_pages(spark, sf_dir))
-    return p.selectExpr("book_id", "page", "round(aggregate(regions, 0D, (a, r) -> a + char_length(r.text) % 100) / greatest(size(regions), 1), 6) AS mean_confidence")
+    """Mean of line scores in percent; the last two digits of a line's length over 100 stand in for its score."""
+    p = tables.with_regions(_pages(spark, sf_dir)).selectExpr("book_id", "page", "transform(regions, r -> struct(char_length(r.text) % 100 / 100D AS score)) AS scored")
+    return p.selectExpr("book_id", "page", f"round({engines.line_confidence('scored')}, 6) AS mean_confidence")
 
 
 @query(f"WITH {PAGES}, {SIGNALS} SELECT book_id, count(*) AS pages, round(avg(score), 6) AS mean_score, count(DISTINCT tier) AS tiers FROM scored GROUP BY book_id")
@@ -488,9 +502,10 @@ def stamp_anti_join(spark, sf_dir):
 def streaming_latest(spark, sf_dir):
     schema = tables.read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if os.path.isfile(f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=_shared(spark))
+    folder = work_folder(spark, "stream")
     got = slog.latest(tables.as_log(stream).select("book_id", "page", "seq", "status"))
-    return slog.run_available(got, f"{folder}/checkpoint", f"latest_{os.path.basename(folder).replace('-', '_')}")
+    slog.upsert_to(got, f"{folder}/changes", f"{folder}/checkpoint")
+    return log.latest(spark.read.parquet(f"{folder}/changes").drop("batch")).select("book_id", "page", "seq", "status")
 
 
 @functools.cache
@@ -499,19 +514,52 @@ def _own_folder() -> str:
 
 
 def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a path, or a folder of ours where it is unset."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).removeprefix("file://")
+    """spark.checkpoint.dir as a path; where it is unset, a folder of ours, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = (base or _own_folder()).removeprefix("file://")
     os.makedirs(base, exist_ok=True)
     return base
 
 
-@query()
+def work_folder(spark: SparkSession, name: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{name}-", dir=_shared(spark))
+
+
+#: The stand-in engines' lines in the order of either pass, and the pages that they give.
+_ECHO = rf"""lines_ AS (SELECT book_id, page, i, l, page % 50 = 0 AS bare_, CASE WHEN page % 50 = 0 THEN 0 WHEN i = 0 THEN 1 WHEN i < 50 THEN 2 ELSE 0 END AS band
+    FROM (SELECT book_id, page, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS i FROM source_) q, LATERAL (SELECT ls[i + 1] AS l) z),
+  read_ AS (SELECT book_id, page, string_agg(l, chr(10) ORDER BY band, i) AS t1, string_agg(l, chr(10) ORDER BY i) AS t2 FROM lines_ GROUP BY ALL),
+  kinds_ AS (SELECT s.book_id, s.page, s.text, CASE WHEN s.text = '' THEN 'blank' WHEN length(regexp_replace(s.text, '\s+', '', 'g')) >= 80 AND len(list_filter(regexp_split_to_array(s.text, '\s+'), lambda w: w <> '')) >= 12
+      AND len(regexp_extract_all(s.text, '[{_AR}]')) / length(regexp_replace(s.text, '\s+', '', 'g')) >= 0.5 THEN 'layer' WHEN s.page % 97 = 0 THEN 'failed' ELSE 'read' END AS kind, t1, t2 FROM source_ s LEFT JOIN read_ USING (book_id, page)),
+  pages_ AS (SELECT book_id, page * 2 AS page, CASE kind WHEN 'layer' THEN text ELSE t1 END AS text, CASE kind WHEN 'layer' THEN NULL ELSE 50.0::DOUBLE END AS confidence FROM kinds_ WHERE kind IN ('layer', 'read')
+    UNION ALL SELECT book_id, page * 2 + 1, t2, 99.0 FROM kinds_ WHERE kind IN ('layer', 'read'))"""
+_TWO_PASS = rf"""WITH {PAGES.replace("pages_ AS", "all_ AS", 1)}, source_ AS (SELECT book_id, page, coalesce(text, '') AS text FROM all_), {_ECHO}, {SIGNALS},
+j AS (SELECT k.book_id, k.page, kind, a.text AS x1, b.text AS x2, a.tier AS r1, b.tier AS r2, a.confidence AS c1, b.confidence AS c2,
+    list_concat(a.warnings, CASE WHEN kind = 'read' AND k.page % 50 = 0 THEN ['layout_detection_failed:LookupError'] ELSE [] END) AS w1, b.warnings AS w2,
+    a.html_tag_count = 0 AND a.tier NOT IN ('HIGH', 'MEDIUM') AS again, CASE WHEN a.text = b.text THEN 0 ELSE {_lev('a.text', 'b.text')} / greatest(length(a.text), length(b.text)) END AS d, b.html_tag_count AS h2, a.html_tag_count AS h1
+  FROM kinds_ k LEFT JOIN scored a ON a.book_id = k.book_id AND a.page = k.page * 2 LEFT JOIN scored b ON b.book_id = k.book_id AND b.page = k.page * 2 + 1),
+m AS (SELECT *, again AND h2 = 0 AND d <= 0.35 AND r2 IN ('HIGH', 'MEDIUM') AS ok FROM j)
+SELECT book_id, page, CASE kind WHEN 'blank' THEN 'BLANK' WHEN 'failed' THEN 'FAILED' ELSE CASE WHEN NOT again AND h1 = 0 OR ok THEN 'COMPLETED' ELSE 'REVIEW_REQUIRED' END END AS status,
+  CASE WHEN kind = 'blank' THEN 'none' WHEN ok THEN 'escalation' WHEN kind = 'layer' THEN 'text-layer' ELSE 'primary' END AS engine, CASE WHEN again THEN 2 ELSE 1 END AS processing_pass,
+  CASE kind WHEN 'blank' THEN 'HIGH' WHEN 'failed' THEN 'LOW' ELSE CASE WHEN ok THEN r2 ELSE r1 END END AS tier,
+  CASE kind WHEN 'blank' THEN 100.0 WHEN 'failed' THEN NULL ELSE CASE WHEN ok THEN c2 ELSE c1 END END AS confidence,
+  md5(CASE kind WHEN 'blank' THEN '' WHEN 'failed' THEN 'none' ELSE CASE WHEN ok THEN x2 ELSE x1 END END) AS text_md5,
+  CASE kind WHEN 'blank' THEN 'blank_page' WHEN 'failed' THEN 'low_arabic_content|near_empty_page|native_confidence_unavailable' || CASE WHEN page % 50 = 0 THEN '|layout_detection_failed:LookupError' ELSE '' END
+    ELSE array_to_string(CASE WHEN ok THEN w2 WHEN again THEN list_append(w1, 'second_engine_not_safely_accepted') ELSE w1 END, '|') END AS warnings,
+  CASE kind WHEN 'failed' THEN 'RuntimeError: page can''t be read' END AS error FROM m"""
+
+
+@query(_TWO_PASS)
 def two_pass_pipeline(spark, sf_dir):
-    """Both passes with stand-in engines: the first fails on every 97th page, the second returns the text as it is."""
-    folder = tempfile.mkdtemp(prefix="two-pass-", dir=_shared(spark))
+    """Both passes with stand-in engines that give lines from the bottom up: the first fails on every 97th page, layout on every 50th."""
     pages = _pages(spark, sf_dir).selectExpr("book_id", "page", "text", "coalesce(text, '') = '' AS blank")
-    out = two_pass.run(spark, pages, folder, engines.EchoEngine, engines.EchoEngine, first_config={"fail_every": 97, "score": 0.5}, second_config={"score": 0.99})
-    return out.select("book_id", "page", "status", "engine", "processing_pass", "tier", "error")
+    out = two_pass.run(
+        spark, pages, work_folder(spark, "two-pass"), engines.EchoEngine, engines.EchoEngine, first_config={"fail_every": 97, "score": 0.5, "reverse": True}, second_config={"score": 0.99, "reverse": True},
+        detector=engines.BandDetector, detector_config={"fail_every": 50},
+    )
+    return out.selectExpr("book_id", "page", "status", "engine", "processing_pass", "tier", "confidence", "md5(coalesce(text, 'none')) AS text_md5", "array_join(warnings, '|') AS warnings", "error")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The book pipeline: gate, first reading, quality and routing, second reading of what is left, canonical records.
+"""The book pipeline: gate, first reading, layout, quality and routing, second reading of what is left, canonical records.
 
 Readings are written at exactly two points, after either pass, since they must not be computed again.
 """
@@ -10,36 +10,60 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence
 from ..functions.quality import Rules, score_pages
-from ..operators import engines, routing
+from ..operators import engines, layout, ordering, routing
+from ..schemas import BLOCK
+from ..settings import Settings
 from ..sources import text_layer
 
+#: The columns of a canonical page.
+PAGE = ["book_id", "page", "text", "regions", "confidence", "score", "tier", "status", "engine", "processing_pass", "provider", "warnings", "error"]
+
 
 def judged(readings: DataFrame, rules: Rules) -> DataFrame:
-    counters = evidence.counters(regions="n_regions")
-    return score_pages(readings, rules).selectExpr("book_id", "page", "engine", "text", "confidence", "score", "tier", "warnings", "error", *counters)
+    counters = evidence.counters(regions="size(regions)")
+    return score_pages(readings, rules).selectExpr("book_id", "page", "engine", "version", "text", "regions", "provider", "confidence", "score", "tier", "concat(warnings, layout_warnings) AS warnings", "error", *counters)
+
+
+def laid_out(readings: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """Readings with their lines in reading order as regions, by layout blocks where there are any, and the text that gives."""
+    if blocks is None:
+        readings = readings.selectExpr("*", f"CAST(NULL AS array<{BLOCK}>) AS blocks", "CAST(NULL AS string) AS layout_error")
+    else:
+        readings = readings.join(blocks, ["book_id", "page"], "left")
+    got = layout.apply_layout(readings, error="layout_error")
+    return got.selectExpr("* EXCEPT (text, lines, blocks, layout_error)", f"IF(error IS NULL, {ordering.assemble('regions')}, NULL) AS text")
 
 
-def run(spark: SparkSession, pages: DataFrame, folder: str, first, second=None, rules: Rules = Rules(), first_config: dict | None = None, second_config: dict | None = None, gate: dict | None = None) -> DataFrame:
-    """pages(book_id, page, text, blank) -> one canonical row a page. text is the page's own text layer.
+def run(spark: SparkSession, pages: DataFrame, folder: str, first, second=None, settings: Settings = Settings(), first_config: dict | None = None, second_config: dict | None = None, detector=None, detector_config: dict | None = None) -> DataFrame:
+    """pages(book_id, page, text, blank) -> one canonical row (PAGE) a page. text is the page's own text layer.
 
-    Blank pages are recorded as BLANK with confidence 100; a usable text layer is taken without an engine.
+    Blank pages are recorded as BLANK with confidence 100; a usable text layer is taken without an engine or a layout.
+    Second readings are put in row order, without a layout. A page keeps the confidence and regions of its chosen reading.
     """
-    cols = ["book_id", "page", "text", "confidence", "score", "tier", "status", "engine", "processing_pass", "warnings", "error"]
+    how, rules = settings.run, settings.rules
+    own = {"mode": how.mode, "start_method": how.start_method}
     blank = pages.where("blank").selectExpr(
-        "book_id", "page", "'' AS text", "100D AS confidence", "100D AS score", "'HIGH' AS tier", "'BLANK' AS status", "'none' AS engine", "1 AS processing_pass", "array('blank_page') AS warnings", "CAST(NULL AS string) AS error"
+        "book_id", "page", "'' AS text", "100D AS confidence", "100D AS score", "'HIGH' AS tier", "'BLANK' AS status", "'none' AS engine", "1 AS processing_pass", "'none' AS provider", "array('blank_page') AS warnings", "CAST(NULL AS string) AS error"
     )
-    gated = text_layer.gate(pages.where("NOT blank"), **(gate or {}), script=rules.script)
-    layer = gated.where("layer.usable").selectExpr("book_id", "page", "'text-layer' AS engine", "text", "CAST(NULL AS double) AS confidence", "1 AS n_regions", "0D AS runtime_s", "CAST(NULL AS string) AS error")
-    read = engines.recognize(gated.where("NOT layer.usable").drop("layer"), "primary", first, first_config)
-    judged(layer.unionByName(read), rules).write.mode("overwrite").parquet(f"{folder}/pass1")
+    gate = settings.gate
+    gated = text_layer.gate(pages.where("NOT blank"), gate.prefer, gate.least_chars, gate.least_words, gate.least_ratio, gate.most_replaced, rules.script)
+    line = "struct('body' AS kind, 0D AS x0, i + 0D AS y0, 1D AS x1, i + 0.5D AS y1, l AS text, CAST(NULL AS double) AS confidence, CAST(NULL AS int) AS reading_order)"
+    layer = gated.where("layer.usable").selectExpr("book_id", "page", "'text-layer' AS engine", "'1' AS version", f"transform(split(text, '\\n'), (l, i) -> {line}) AS lines", "text", "CAST(NULL AS double) AS confidence", "0D AS runtime_s", "CAST(NULL AS string) AS error")
+    todo = gated.where("NOT layer.usable").drop("layer")
+    read = engines.recognize(todo, "primary", first, first_config, timeout_s=how.first_timeout_s, **own)
+    blocks = None if detector is None else engines.detect(todo, detector, detector_config, timeout_s=how.first_timeout_s, **own)
+    one = laid_out(layer, None).unionByName(laid_out(read, blocks))
+    judged(one, rules).write.mode("overwrite").parquet(f"{folder}/pass1")
     one = spark.read.parquet(f"{folder}/pass1")
-    broken = one.where("error IS NOT NULL").selectExpr(*cols[:6], "'FAILED' AS status", "engine", "1 AS processing_pass", "warnings", "error")
-    routed = routing.route(one.where("error IS NULL"), 1, second is not None)
-    done = routed.where("action <> 'reprocess_local'").selectExpr(*cols[:6], "status", "engine", "1 AS processing_pass", "warnings", "error")
-    out = blank.select(cols).unionByName(broken.select(cols)).unionByName(done.select(cols))
-    if second is None:
+    escalate = second is not None and how.escalate
+    broken = one.where("error IS NOT NULL").selectExpr("*", "'FAILED' AS status", "1 AS processing_pass")
+    routed = routing.route(one.where("error IS NULL"), 1, escalate, how.most_disagreement)
+    done = routed.where("action <> 'reprocess_local'").selectExpr("*", "1 AS processing_pass")
+    out = broken.select(PAGE).unionByName(done.select(PAGE)).unionByName(blank, allowMissingColumns=True).select(PAGE)
+    if not escalate:
         return out
     again = pages.join(routed.where("action = 'reprocess_local'").select("book_id", "page"), ["book_id", "page"], "left_semi")
-    judged(engines.recognize(again, "escalation", second, second_config), rules).write.mode("overwrite").parquet(f"{folder}/pass2")
-    two = routing.adjudicate(one, spark.read.parquet(f"{folder}/pass2"))
-    return out.unionByName(two.select(*[c if c not in ("confidence", "error") else F.lit(None).cast("double" if c == "confidence" else "string").alias(c) for c in cols]))
+    two = laid_out(engines.recognize(again, "escalation", second, second_config, timeout_s=how.second_timeout_s, **own), None)
+    judged(two, rules).write.mode("overwrite").parquet(f"{folder}/pass2")
+    chosen = routing.adjudicate(one, spark.read.parquet(f"{folder}/pass2"), how.most_disagreement)
+    return out.unionByName(chosen.withColumn("provider", F.lit("rtl-row-fallback")).select(PAGE))

@@ -1,23 +1,32 @@
-"""Files: page logs (JSON lines), directories of scans, page images, content hashes, and PDF where a library is installed."""
+"""Files: page logs (JSON lines), directories of scans, page images, content hashes and product files."""
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PAGES_LOG
 
 
 def read_log(spark: SparkSession, path: str, strict: bool = True, schema: str = PAGES_LOG) -> DataFrame:
-    """A page log. strict raises on a malformed line; else such a line, one without an integer page, is in _malformed, and its columns are null."""
+    """A page log. strict raises on a malformed line; else such a line, one without an integer page, is in _malformed, its columns are null, and every record has _line."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).selectExpr("r.*", "IF(r.page IS NULL, value, NULL) AS _malformed")
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    got = lines.select("value", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.expr("try_cast(get_json_object(value, '$.page') AS int)").alias("p"))
+    return got.selectExpr("r.*", "IF(p IS NULL, value, NULL) AS _malformed", "line AS _line")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of text files. A line's number is its place in its split and the lines of the file's earlier splits, so files are read in parallel."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    per = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    at = per.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return raw.join(at, ["file", "start"]).selectExpr("file", "before + id - first + 1 AS line", "value")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -50,27 +59,6 @@ def page_images(spark: SparkSession, folder: str) -> DataFrame:
     return image.select("image.origin", "image.width", "image.height", "image.nChannels", F.expr("IF(image.height > 0, image.data, NULL)").alias("data"))
 
 
-def pdf_pages(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """path -> path, readable, page_count; needs the `pymupdf` library on the workers."""
-    if importlib.util.find_spec("pymupdf") is None:
-        raise RuntimeError("PDF input needs the pymupdf library")
-
-    def count(batches):
-        import pymupdf
-
-        for b in batches:
-            n = []
-            for p in b["path"]:
-                try:
-                    with pymupdf.open(p) as d:
-                        n.append(len(d))
-                except Exception:  # any failure to open means unreadable, by definition
-                    n.append(0)
-            yield b[["path"]].assign(readable=[x > 0 for x in n], page_count=n)
-
-    return paths.select("path").mapInPandas(count, "path string, readable boolean, page_count int")
-
-
 def page_numbers(books: DataFrame) -> DataFrame:
     return books.where("page_count > 0").selectExpr("*", "explode(sequence(1, page_count)) AS page")
 
@@ -89,3 +77,14 @@ def write_atomically(path: str, text: str) -> None:
         f.flush()
         os.fsync(f.fileno())
     os.replace(part, path)
+
+
+def output_folder(path: str, base: str = ".") -> str:
+    """Where a book's products go unless told otherwise: a folder of the file's name without its suffix."""
+    return os.path.join(base, os.path.splitext(os.path.basename(path))[0])
+
+
+def products(folder: str, names=("book.txt", "book.md")) -> list[tuple[str, int | None]]:
+    """(name, bytes) of a book's products; None for one that is missing."""
+    at = [(n, os.path.join(folder, n)) for n in names]
+    return [(n, os.path.getsize(p) if os.path.exists(p) else None) for n, p in at]

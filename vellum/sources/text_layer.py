@@ -8,6 +8,8 @@ from ..functions import text as t
 from ..functions.quality import Script
 from ..operators.ordering import assemble, right_to_left
 
+_EMPTY = "coalesce(text, '')"
+
 
 def regions(blocks: str = "blocks") -> str:
     """blocks: array<struct<x0, y0, x1, y1, text>> in points; page_width, page_height in points, raster_width, raster_height in pixels."""
@@ -24,12 +26,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def gate(pages: DataFrame, prefer: bool = True, least_chars: int = 80, least_words: int = 12, least_ratio: float = 0.5, most_replaced: float = 0.01, script: Script = Script()) -> DataFrame:
     """pages(text) plus layer: struct of present, usable, counts and ratios."""
-    x = "coalesce(text, '')"
-    n = f"char_length({t.bare(x)})"
-    ratio = lambda p: f"{t.count(x, p)} / greatest(n.n, 1)"
-    inner = (
-        f"struct({x} <> '' AS present, {str(prefer).lower()} AND n.n >= {least_chars} AND n.w >= {least_words} AND n.a >= {least_ratio!r}D AND n.r <= {most_replaced!r}D AS usable, "
-        "CAST(n.n AS bigint) AS character_count, CAST(n.w AS bigint) AS word_count, round(n.a, 6) AS arabic_ratio, round(n.r, 6) AS replacement_ratio)"
+    got = pages.selectExpr("*", f"{t.words(_EMPTY)} AS _w").selectExpr("*", "array_join(_w, '') AS _b").selectExpr("*", "char_length(_b) AS _n")
+    ratio = lambda cls: f"{t.chars('_b', cls)} / greatest(_n, 1)"
+    got = got.selectExpr("*", f"{ratio(f'[{script.letters}]')} AS _a", f"{ratio('[' + chr(92) * 2 + 'uFFFD]')} AS _r")
+    layer = (
+        f"struct({_EMPTY} <> '' AS present, {str(prefer).lower()} AND _n >= {least_chars} AND size(_w) >= {least_words} AND _a >= {least_ratio!r}D AND _r <= {most_replaced!r}D AS usable, "
+        "CAST(_n AS bigint) AS character_count, CAST(size(_w) AS bigint) AS word_count, round(_a, 6) AS arabic_ratio, round(_r, 6) AS replacement_ratio)"
     )
-    layer = t.let("n", f"struct({n} AS n)", t.let("n", f"struct(n.n AS n, size({t.words(x)}) AS w, {ratio(f'[{script.letters}]')} AS a, {ratio(chr(92) * 2 + 'uFFFD')} AS r)", inner))
-    return pages.selectExpr("*", f"{layer} AS layer")
+    return got.selectExpr("* EXCEPT (_w, _b, _n, _a, _r)", f"{layer} AS layer")

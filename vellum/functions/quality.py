@@ -96,11 +96,11 @@ def repeated_ngram(x: str, n: int = 4, times: int = 6) -> str:
 def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", confidence: str = "confidence") -> DataFrame:
     """pages plus signals (map), score, warnings and tier. A null confidence counts as 50.
 
-    Text without white space, words and lines are made once, in a projection of their own, and all signals are read off them.
+    Text without white space, words and lines are made once, and all signals are read off them, once too.
     """
     kept, s = [c for c in pages.columns if not c.startswith("_")], rules.script
-    pages = pages.selectExpr("*", f"coalesce({text}, '') AS _x")
-    pages = pages.selectExpr("*", f"{t.words('_x')} AS _w", f"{t.lines('_x')} AS _l", f"char_length({t.strip('_x')}) AS _n").selectExpr("*", "array_join(_w, '') AS _b")
+    x = f"coalesce({text}, '')"
+    pages = t.once(pages, _x=x, _w=t.words(x), _l=t.lines(x), _n=f"char_length({t.strip(x)})", _b=f"array_join({t.words(x)}, '')")
     signal = {
         "engine_confidence": f"coalesce(CAST({confidence} AS double), 50D)",
         "arabic_char_ratio": f"{_script('_b', s)} * 100",
@@ -108,7 +108,7 @@ def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", co
         "length_anomaly": f"{_length('_n')} * 100",
         "garbage_symbol_ratio": f"(1 - {_garbage('_b', s)}) * 100",
     }
-    pages = pages.selectExpr("*", *(f"{e} AS _{k}" for k, e in signal.items()), f"{_line('_l')} AS _line", f"{_ngram('_w')} AS _gram")
+    pages = t.once(pages, **{f"_{k}": e for k, e in signal.items()}, _line=_line("_l"), _gram=_ngram("_w"))
     weight = {k: rules.weights.get(k, 0.0) for k in signal}
     total = sum(rules.weights.values()) or 1.0
     score = "(" + " + ".join(f"{w!r}D * _{k}" for k, w in weight.items()) + f") / {total!r}D"

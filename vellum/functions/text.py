@@ -21,6 +21,16 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def once(df, **columns: str):
+    """df plus columns that are computed once a row, whatever later projections and filters do with them.
+
+    They come out of a generator, through which Spark neither merges projections nor pushes filters, as it would through
+    a projection of their own, repeating their expressions wherever they are used, even inside lambdas.
+    """
+    row = ", ".join(f"{e} AS {n}" for n, e in columns.items())
+    return df.selectExpr("*", f"inline(array(struct({row})))")
+
+
 def strip(x: str) -> str:
     """Without white space at both ends; only the ends are looked at."""
     return f"trim(BOTH '{_SPACES}' FROM {x})"

@@ -26,9 +26,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def gate(pages: DataFrame, prefer: bool = True, least_chars: int = 80, least_words: int = 12, least_ratio: float = 0.5, most_replaced: float = 0.01, script: Script = Script()) -> DataFrame:
     """pages(text) plus layer: struct of present, usable, counts and ratios."""
-    got = pages.selectExpr("*", f"{t.words(_EMPTY)} AS _w").selectExpr("*", "array_join(_w, '') AS _b").selectExpr("*", "char_length(_b) AS _n")
+    got = t.once(pages, _w=t.words(_EMPTY)).selectExpr("*", "array_join(_w, '') AS _b").selectExpr("*", "char_length(_b) AS _n")
     ratio = lambda cls: f"{t.chars('_b', cls)} / greatest(_n, 1)"
-    got = got.selectExpr("*", f"{ratio(f'[{script.letters}]')} AS _a", f"{ratio('[' + chr(92) * 2 + 'uFFFD]')} AS _r")
+    got = t.once(got, _a=ratio(f"[{script.letters}]"), _r=ratio("[" + chr(92) * 2 + "uFFFD]"))
     layer = (
         f"struct({_EMPTY} <> '' AS present, {str(prefer).lower()} AND _n >= {least_chars} AND size(_w) >= {least_words} AND _a >= {least_ratio!r}D AND _r <= {most_replaced!r}D AS usable, "
         "CAST(_n AS bigint) AS character_count, CAST(size(_w) AS bigint) AS word_count, round(_a, 6) AS arabic_ratio, round(_r, 6) AS replacement_ratio)"

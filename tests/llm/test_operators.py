@@ -134,6 +134,17 @@ def test_suffix_dedup(spark, monkeypatch, length):
     assert suffix_dedup.suffix_dedup(empty(spark), length).count() == 0
 
 
+def test_suffix_dedup_of_texts_without_an_id(spark):
+    """Texts of null doc_id come first, each a document of its own; those of one doc_id are ordered by their hash."""
+    g = random.Random(12)
+    part = "".join(g.choice("abcdef") for _ in range(30))
+    rows = [(None, "".join(g.choice("abcdef") for _ in range(17)) + chr(0x4E00 + i) + part * (i % 2)) for i in range(30)] + [(5, part), (-3, part), (7, "zz" + part), (7, part + "yy"), (8, None), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, n_spans int, at string").repartition(3)
+    got = suffix_dedup.suffix_dedup(docs, 30).collect()
+    assert len(got) == len(rows) and sum(r.n_removed for r in got) == 30 * (sum((t or "").count(part) for _, t in rows) - 1)
+    assert all(r.n_removed == 30 for r in got if r.doc_id is not None and r.n_bytes) and sum(r.n_removed == 0 and r.n_bytes == 50 for r in got if r.doc_id is None) == 1
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -347,6 +358,88 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), m, toxicity.fold(5) == 0).count() == 0
 
 
+def loss(texts, y, features, w, b, lam):
+    """The documented objective, text by text: weighted log loss, L2 and the squared gap to the counterfactual."""
+    n, p = len(y), sum(y)
+    weight = {0: 1.0, 1: math.sqrt((n - p) / p)}
+    place, table, total = {f: i for i, f in enumerate(features)}, toxicity.swaps(), 0.0
+    for t, label in zip(texts, y):
+        have = set(t)
+        z = b + sum(w[place[f]] for f in have if f in place)
+        swapped = Counter()
+        for h in have & table.keys():
+            swapped.update(int(x) for x in table[h][0])
+            swapped.subtract(int(x) for x in table[h][1])
+        gap = sum(k * w[place[f]] for f, k in swapped.items() if f in place)
+        total += weight[label] * (math.log1p(math.exp(-z)) if label else math.log1p(math.exp(z))) / n + lam * gap * gap / n
+    return total + toxicity.L2 * float(w @ w) / (2 * n)
+
+
+def _labelled(seed=26):
+    """Texts whose toxic ones name a group much more often than the others, and 40 neutral mentions held back."""
+    g = random.Random(seed)
+    plain, groups = ["tree", "river", "stone", "cloud", "grass", "bread", "music", "paper"], ["muslims", "christians", "jews", "women", "men"]
+    texts, y = [], []
+    for d in range(400):
+        bad = int(d % 4 == 0)
+        w = [g.choice(plain) for _ in range(15)] + (["idiot"] if bad and d % 8 else [])
+        if g.random() < (0.8 if bad else 0.05):
+            w.append(g.choice(groups[:2]))
+        texts.append(" ".join(w)), y.append(bad)
+    return texts, y, [" ".join(g.choice(plain) for _ in range(12)) + " " + x for x in groups * 8]
+
+
+def _hashes(texts):
+    out = []
+    for t in texts:
+        f = np.concatenate([toxicity.word_features(w) for w in t.split()])
+        out.append(np.unique(f))
+    return out
+
+
+def test_toxicity_minimises_its_objective(monkeypatch):
+    texts, y, neutral = _labelled()
+    x = _hashes(texts)
+    odds = {}
+    for lam in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "LAMBDA", lam)
+        monkeypatch.setattr(toxicity, "STEPS", 3000)
+        monkeypatch.setattr(toxicity, "L2", 0.5)
+        m = toxicity._fit(x, np.array(y) > 0)
+        best, g = loss([set(t.tolist()) for t in x], y, m.features.tolist(), m.weights, m.intercept, lam), np.random.default_rng(1)
+        for _ in range(30):  # no step in any direction does better
+            step = g.normal(0, 0.02, len(m.weights) + 1)
+            assert best <= loss([set(t.tolist()) for t in x], y, m.features.tolist(), m.weights + step[:-1], m.intercept + step[-1], lam) + 1e-4
+        place = dict(zip(m.features.tolist(), m.weights.tolist()))
+        odds[lam] = [m.intercept + sum(place.get(f, 0.0) for f in t.tolist()) for t in _hashes(neutral)]
+    mentions = lambda lam: max(odds[lam]) - min(odds[lam])
+    assert mentions(1.0) < 0.5 * mentions(0.0) and max(odds[1.0]) < max(odds[0.0])  # a mention weighs less where swaps are penalised
+
+
+def test_toxicity_bound_is_one_of_rows(spark):
+    """A doc_id of very many rows doesn't bring them all to the driver; equal rows teach once and score alike."""
+    texts, y, _ = _labelled()
+    rows = list(enumerate(texts)) + [(4, "idiot " + str(i)) for i in range(300)] + [(4, texts[4])] * 50
+    docs = spark.createDataFrame([(*r, 1, 0.5) for r in rows], "doc_id bigint, text string, toxic int, score double").repartition(3)
+    labels = spark.createDataFrame([(d, 1, k) for d, k in enumerate(y)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    fit = toxicity._fit
+    try:
+        toxicity._fit = lambda x, t: seen.append(len(x)) or fit(x, t)
+        toxicity.fit(docs, labels, rows=500)
+        m = toxicity.fit(docs, labels, rows=5000)
+    finally:
+        toxicity._fit = fit
+    assert seen == [500, 700]
+    got = toxicity.score(docs, m, toxicity.fold(5) == 0).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 4}) <= 301
+    want = {}
+    place = dict(zip(m.features.tolist(), m.weights.tolist()))
+    for d, t in enumerate(texts):
+        want[d] = 1 / (1 + math.exp(-(m.intercept + sum(place.get(f, 0.0) for f in _hashes([t])[0].tolist()))))
+    assert all(r.score == pytest.approx(want[r.doc_id]) for r in got if r.doc_id != 4)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -411,6 +504,66 @@ def test_inferred_automaton_repeats_a_loop():
     assert len(a.end) < 10 and np.isfinite(a.step).all()
 
 
+def test_spans_by_a_plain_walk(spark):
+    """Every format span again: each run walks each automaton a character at a time; probabilities of a state add up to one."""
+    g = random.Random(37)
+    key = lambda n, s="0123456789abcdef": "".join(g.choice(s) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    taught = [f"é some unquestionably ordinary words token={key(g.randint(12, 40))} thereafter" for _ in range(60)] + [f"id AKIA{key(16, upper)} responsibilities correspondence" for _ in range(40)]
+    grammar = secret_scan.fit(docs_of(spark, taught))
+    texts = [f"é bare AKIB{key(16, upper)} and x{key(24)}y then" for _ in range(40)] + taught[:60] + ["", None] * 2
+    docs = docs_of(spark, texts + texts[:5])
+    for a in [*grammar.automata, grammar.plain]:
+        rows = np.exp(a.step + secret_scan.SIZE).sum(1) + np.exp(a.end)
+        assert rows == pytest.approx(np.ones(len(rows)))
+
+    def walk(a, start, word):
+        q, total = start, 0.0
+        for c in word.encode():
+            k = secret_scan.CLASS[c]
+            total += a.step[q, k]
+            q = a.next[q, k] if a.next[q, k] >= 0 else start
+        return total + a.end[q]
+
+    n = 0
+    for r in secret_scan.scan(docs, grammar).collect():
+        t = (texts + texts[:5])[r.doc_id] or ""
+        base = [(p, q) for p, _, q, _ in secret_scan.base_spans(t)]
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            gain = (max(walk(a, 0, m[0]) for a in grammar.automata) - walk(grammar.plain, secret_scan.N_CLASSES, m[0])) / len(m[0])
+            if gain > secret_scan.MARGIN and not any(p <= m.start() and m.end() <= q for p, q in base):
+                want.add(f"format:{m.start()}:{m.end()}")
+        n += len(want)
+        assert {x for x in r.spans.split(",") if x.startswith("format")} == want
+    assert n > 20
+    named = docs.selectExpr("*", "1 AS kind", "'x' AS value", "2L AS h", "'y' AS spans", "length(text) AS n_chars")
+    same = secret_scan.redact(named, grammar)
+    assert same.columns == named.columns and all(r.n_chars == (None if r.text is None else len(r.text)) for r in same.collect())
+
+
+def test_merged_states_are_alike():
+    """An automaton of strings that a known one made has its probabilities; with alpha near 2 next to nothing is merged."""
+    g = random.Random(3)
+
+    def made():  # digits and then letters, each lot ended by a fair coin
+        out = "7"
+        while g.random() < 0.5:
+            out += "7"
+        out += "z"
+        while g.random() < 0.5:
+            out += "z"
+        return out.encode()
+
+    strings = [made() for _ in range(4000)]
+    a = secret_scan.infer(strings)
+    p = lambda q, k: math.exp(a.step[q, k] + secret_scan.SIZE[k])
+    digits = a.next[0, 0]
+    letters = a.next[digits, 2]
+    assert p(0, 0) == pytest.approx(1, abs=0.01) and p(digits, 0) == pytest.approx(0.5, abs=0.06) and p(letters, 2) == pytest.approx(0.5, abs=0.06) and math.exp(a.end[letters]) == pytest.approx(0.5, abs=0.06)
+    assert len(a.end) < 8 < len(secret_scan.infer(strings, alpha=1.9).end)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -530,6 +683,48 @@ def test_lang_id(spark):
     assert [r.lang_pred for r in lang_id.predict(df, lang_id.fit(df.limit(0)), held).where("doc_id < 3").collect()] == ["und"] * 3
 
 
+def test_lang_id_by_plain_vectors(spark):
+    """Prototypes and cosines built one trigram at a time; repeated rows, columns of the names used inside, empty tables, long texts."""
+    g = random.Random(20)
+    rows = [(d, "".join(g.choice("abc déß東" if d % 2 else "xyz ñ京") for _ in range(g.randint(3, 200))), "pq"[d % 2]) for d in range(40)] + [(40, "ab " * 20_000, None), (41, "Zz", "q")]
+    rows += rows[:5]
+    df = spark.createDataFrame([(*r, "v", 0.5, 1) for r in rows], "doc_id bigint, text string, lang string, lang_pred string, score double, i int").repartition(4)
+    letters = lang_id._cache.get("letters") or lang_id._letters()
+
+    def bundle(t):
+        k = [0]
+        for ch in t:
+            c = lang_id._class(ord(ch))
+            if c or k[-1]:
+                k.append(c)
+        if k[-1]:
+            k.append(0)
+        out = np.zeros(lang_id.DIM)
+        for a, b, c in zip(k, k[1:], k[2:]):
+            out += letters[0][a] * letters[1][b] * letters[2][c]
+        return out
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    proto = {x: unit(sum(bundle(t) for _, t, k in rows if k == x)) for x in "pq"}
+    mean = (proto["p"] + proto["q"]) / 2
+    proto = {x: unit(v - mean) for x, v in proto.items()}
+    got = lang_id.fit(df)
+    assert all(got[x] == pytest.approx(proto[x], abs=1e-6) for x in "pq")
+    held = lang_id.fold(4) == 2
+    for r in lang_id.predict(df, got, held).collect():
+        sims = {x: max(float(bundle(rows[r.doc_id][1]) @ proto[x]), 0) for x in "pq"}
+        assert r.lang_pred == max("pq", key=lambda x: float(bundle(rows[r.doc_id][1]) @ proto[x])) and r.score == pytest.approx(max(sims.values()) / (sum(sims.values()) or 1), abs=1e-3)
+    assert lang_id.predict(df.limit(0), got, held).count() == 0 and lang_id.predict(df, got, held).count() == len(rows)
+
+
+def test_lang_id_flushes(spark, monkeypatch):
+    df = spark.createDataFrame([(d, "abcde fghij klmno"[d % 9 :], str(d % 3)) for d in range(60)], "doc_id bigint, text string, lang string").coalesce(1)
+    whole = lang_id.fit(df)
+    monkeypatch.setattr(lang_id, "HELD", 3)
+    parts = lang_id.fit(df)
+    assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k], abs=1e-9) for k in whole)
+
+
 # kernels ---------------------------------------------------------------------------------------------------------
 
 

@@ -33,3 +33,42 @@ def test_stages(spark, tmp_path):
         df = out
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.collect())) == sorted(map(str, df.collect()))
+
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def tables(spark, folder, docs, schema=COLUMNS, labels=(), items=()):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path, []))
+    assert got.count() == 0 and "ids_sha256" in got.columns
+
+
+def test_nulls_ties_and_repeated_rows(spark, tmp_path):
+    """Null and shared doc_ids, equal rows, equal texts, a very long text, and columns of names that the stages use inside."""
+    g = random.Random(21)
+    text = lambda n=60: " ".join("".join(g.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, item = text(), text(), text(), text(), text(12)
+    names = ["bad", "text_hash", "row", "word", "class_id", "ids", "toxic", "kind", "h", "score"]
+    schema = COLUMNS + "".join(f", {n} string" for n in names)
+    rows = [(None, a), (None, b), (None, f"{text()} {item}"), (1, a), (1, c), (1, c), (2, d), (2, f"{item} {d} {text()}"), (3, None), (None, None), (4, ""), (5, text(20_000)), (6, "password=" + "k1" * 20)]
+    folder = tables(spark, tmp_path, [(i, t, None, "s", None if t is None else len(t), *names) for i, t in rows], schema, items=[(9, item), (None, text(9)), (10, None)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        kept[name] = {(r.doc_id, r.text) for r in docs.collect()}
+    assert len(kept["toxicity"]) == len(set(rows))
+    assert kept["near_duplicates"] == set(rows) - {(None, a), (None, None), (4, "")}  # equal texts keep their least id, null after all others
+    assert kept["decontamination"] == {(i, t) for i, t in kept["near_duplicates"] if item not in (t or "")}
+    assert (6, "[SECRET]") in kept["secrets"] and len(kept["secrets"]) == len(kept["decontamination"])
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert len(out) == len(kept["secrets"]) and max(r.n_tokens for r in out) > 20_000 and {r.n_tokens for r in out if r.doc_id == 3} == {0}

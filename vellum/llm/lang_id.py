@@ -26,6 +26,8 @@ from . import store, vec
 from .lm_score import fold
 
 DIM, CLASSES, SEED = 2048, 128, 10
+#: Counts of (language, trigram) that a task holds before it bundles them.
+HELD = 2_000_000
 OUT = "doc_id bigint, held_out boolean, lang_pred string, score double"
 _cache: dict = {}
 
@@ -94,25 +96,30 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def bundle(batches):
-        counts: dict[str, dict] = {}
+        names: dict[str, int] = {}  # of what is held
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def flush():
+            for x, i in names.items():
+                lo, hi = np.searchsorted(keys, [i << 21, (i + 1) << 21])
+                yield pa.RecordBatch.from_pydict({"lang": [x], "v": pa.array([_weighed(keys[lo:hi] & 0x1FFFFF, n[lo:hi])], pa.list_(pa.float64()))})
+
         for b in batches:
-            langs = b.column("lang").to_pylist()
             tri, doc, _ = trigrams(b.column("text").to_pylist())
-            names = sorted(set(langs))
-            of = np.array([names.index(x) for x in langs], np.int64)
-            u, n = np.unique((of[doc] << 21) | tri, return_counts=True)
-            for i, x in enumerate(names):
-                lo, hi = np.searchsorted(u, [i << 21, (i + 1) << 21])
-                have = counts.setdefault(x, np.zeros(1 << 21, np.int32))
-                have[u[lo:hi] & 0x1FFFFF] += n[lo:hi].astype(np.int32)
-        for x, have in counts.items():
-            tri = np.flatnonzero(have)
-            yield pa.RecordBatch.from_pydict({"lang": [x], "v": pa.array([_weighed(tri, have[tri])], pa.list_(pa.float64()))})
-
-    rows = docs.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
-    proto: dict[str, np.ndarray] = {}
-    for lang, i, x in rows:
-        proto.setdefault(lang, np.zeros(DIM))[i] = x
+            of = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.int64)
+            u, m = np.unique((of[doc] << 21) | tri, return_counts=True)
+            order = np.argsort(np.concatenate([keys, u]), kind="stable")
+            every = np.concatenate([keys, u])[order]
+            at = np.flatnonzero(store.firsts_of(every))
+            keys, n = every[at], np.add.reduceat(np.concatenate([n, m])[order], at) if len(at) else n
+            if len(keys) > HELD:
+                yield from flush()
+                names, keys, n = {}, keys[:0], n[:0]
+        yield from flush()
+
+    sums = docs.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    rows = sums.groupBy("lang").agg(F.expr("transform(array_sort(collect_list(struct(i, x))), s -> s.x)").alias("v")).collect()  # one vector a language
+    proto = {lang: np.array(v) for lang, v in rows}
     unit = lambda v: v / (np.linalg.norm(v) or 1)
     proto = {k: unit(proto[k]) for k in sorted(proto)}
     mean = np.mean(list(proto.values()), 0) if len(proto) > 1 else 0

@@ -1,18 +1,18 @@
 """Secret scanning with inferred grammars (operator 7).
 
-Base rules give spans by pattern (KINDS). From the credentials that they find in all documents, one probabilistic automaton
-a kind is inferred: the prefix tree of their character classes, whose states are merged while their continuations are statistically compatible (Hoeffding's bound, as in ALERGIA). All candidates,
-the runs of LEAST or more VALUE characters, are then scored: the log likelihood of the candidate under the best
-automaton, a character, against a class-pair model of ordinary runs. A candidate above the threshold becomes a span
-of kind `format`, beside base spans that overlap it; if it lies within one, it is named already. Base spans stay in
-any case.
+Base rules give spans by pattern (KINDS). From the credentials that they find in all documents, one probabilistic
+automaton a kind is inferred: the prefix tree of their character classes, whose states are merged while their
+continuations are statistically compatible (Hoeffding's bound, as in ALERGIA). All candidates, the runs of LEAST or more
+VALUE characters, are then scored: the log likelihood of the candidate under the best automaton, a character, against a
+class-pair model of ordinary runs. A candidate above the threshold becomes a span of kind `format`, beside base spans
+that overlap it; if it lies within one, it is named already. Base spans stay in any case.
 
 A span is kind:start:end in code points, end exclusive; for `assign` it is the whole assignment.
 
 Fitting reads all documents. Each task keeps a kind's FIT_STRINGS distinct credentials of least hash (of the ordinary
 runs PLAIN times as many), and of these the least again are learned from, so a kind that occurs at all has its
-automaton, and the same strings are taken however the table is split. The patterns run only on texts that hold a rule's fixed part, which is searched over the bytes of many texts at once;
-whole texts are always read.
+automaton, and the same strings are taken however the table is split. The patterns run only on texts that hold a rule's
+fixed part, which is searched over the bytes of many texts at once; whole texts are always read.
 
 Defined cases: null or empty text has no spans (base_sha256 is that of the empty string, spans is ''); null
 doc_id is returned as null; repeated rows each get their result; with no credentials to learn from there are no
@@ -37,7 +37,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
-FIT_STRINGS, PLAIN = 400, 5
+FIT_STRINGS, PLAIN, SALTS = 400, 5, 32
 #: Candidates have this length at least, and this advantage a character in natural logarithms. Up to MOST characters they
 #: are scored side by side, longer ones each by itself in chunks of CHUNK.
 LEAST, MOST, MARGIN, CHUNK = 16, 256, 0.35, 1 << 16
@@ -224,8 +224,11 @@ def fit(docs: DataFrame, strings: int = FIT_STRINGS) -> Grammars | None:
         rows = [(k, g, v) for k, got in least.items() for g, v in got.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "value"])
 
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(credentials, "kind int, h bigint, value binary").distinct().withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") < 0, most[-1]).otherwise(strings)).collect()
+    # in two steps, of which the first is dealt over SALTS groups a kind and keeps no more of each than the greatest bound
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(credentials, "kind int, h bigint, value binary").distinct()
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "value"))
+    found = found.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("nth", nth("kind", "salt")).where(F.col("nth") <= max(most.values()))
+    found = found.withColumn("nth", nth("kind")).where(F.col("nth") <= F.when(F.col("kind") < 0, most[-1]).otherwise(strings)).select("kind", "value").collect()
     by = {k: sorted(bytes(r.value) for r in found if r.kind == k) for k in most}
     automata = tuple(infer(by[k]) for k in range(len(KINDS)) if by[k])
     return Grammars(automata, background(by[-1])) if automata else None

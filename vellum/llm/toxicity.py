@@ -5,12 +5,13 @@ labelled texts. Each labelled text that names a group is paired with its counter
 term swapped for another of the same list, and the loss adds LAMBDA * (score(text) - score(swapped))**2 (log odds),
 so the mention of a group carries no evidence by itself.
 
-Fitting reads FIT_ROWS labelled texts at most, those of least hash of doc_id, whose packed hashes the driver gets;
-it keeps the FEATURES of greatest association (chi-squared). Scoring reads every whole text.
+Fitting reads FIT_ROWS labelled texts at most, those of least hash of doc_id and, if their doc_ids have more rows than
+that, of least hash of doc_id and text; the driver gets their packed hashes. It keeps the FEATURES of greatest association
+(chi-squared). Scoring reads every whole text.
 
 Defined cases: null or empty text has the intercept's score; null doc_id never matches a label; several labels of
 one doc_id count as toxic if one is; null labels are left out; with one class or no labels every score is the
-(smoothed) share of toxic labels; repeated rows score alike; extra columns are ignored.
+(smoothed) share of toxic labels; repeated rows score alike and teach once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # equal rows teach once, and the bound is one of rows, however many a doc_id has
+    both = both.withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "h"]).orderBy("h", "doc_id").limit(rows).repartition(8).select("text", "toxic")
 
     @store.frugal
     def extract(batches):

@@ -121,3 +121,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "CAST(size(turns) AS bigint) AS n_turns", "sha2(array_join(transform(turns, x -> concat(x.role, '\\n', x.text, '\\n')), ''), 256) AS turns_sha256",
         "CAST(char_length(array_join(loss, '')) AS bigint) AS loss_chars", "sha2(array_join(loss, ''), 256) AS loss_sha256", "formatted_chars",
     )
+
+
+#: For conversations of up to SECTION turns, as a window also ends where a section does.
+OP9_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '&', '&amp;'), '<(/?s>|</?SYS>>)', '&lt;\1', 'g'), '\[(/?INST\])', '&lb;\1', 'g') AS et, replace(regexp_replace(regexp_replace(replace(role, '&', '&amp;'), '<(/?s>|</?SYS>>)', '&lt;\1', 'g'), '\[(/?INST\])', '&lb;\1', 'g'), chr(10), '&nl;') AS er FROM c),
+f AS (SELECT *, length(er) + length(et) + 8 AS long, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) + 4 AS n FROM e),
+g AS (SELECT conv_id, list(struct_pack(role := role, text := text, long := long, n := n) ORDER BY turn NULLS FIRST, role, text) AS t FROM f GROUP BY conv_id),
+h AS (SELECT conv_id, t AS every, CASE WHEN t[1].role = 'system' THEN t[2:] ELSE t END AS t, CASE WHEN t[1].role = 'system' THEN t[1].n ELSE 0 END AS sn, CASE WHEN t[1].role = 'system' THEN t[1].long ELSE 0 END AS sl FROM g),
+w AS (SELECT *, list_reduce(range(1, len(t) + 1), lambda st, i: CASE
+    WHEN i = 1 OR st.tot + t[i].n <= 512 THEN struct_pack(tot := CAST(st.tot + t[i].n AS BIGINT), chars := CAST(st.chars + t[i].long AS BIGINT))
+    WHEN i > 2 AND t[i - 1].n + t[i - 2].n <= 128 THEN struct_pack(tot := CAST(sn + t[i - 2].n + t[i - 1].n + t[i].n AS BIGINT), chars := CAST(st.chars + sl + t[i - 2].long + t[i - 1].long + t[i].long AS BIGINT))
+    WHEN t[i - 1].n <= 128 THEN struct_pack(tot := CAST(sn + t[i - 1].n + t[i].n AS BIGINT), chars := CAST(st.chars + sl + t[i - 1].long + t[i].long AS BIGINT))
+    ELSE struct_pack(tot := CAST(sn + t[i].n AS BIGINT), chars := CAST(st.chars + sl + t[i].long AS BIGINT)) END, struct_pack(tot := CAST(sn AS BIGINT), chars := CAST(sl AS BIGINT))) AS done,
+    array_to_string(list_transform(list_filter(every, lambda x: x.role = 'assistant'), lambda x: x.text), '') AS loss FROM h)
+SELECT conv_id, CAST(len(every) AS BIGINT) AS n_turns, sha256(array_to_string(list_transform(every, lambda x: x.role || chr(10) || x.text || chr(10)), '')) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, done.chars AS formatted_chars FROM w
+"""

@@ -376,6 +376,34 @@ def fold(n: int):
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores to six decimals, as sums of logarithms depend on their order beyond that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = fold(7) == 2
-    return score(docs, fit(docs.where(~out)), out)
+    return score(docs, fit(docs.where(~out)), out).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, xor(list_reduce(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda s, ch: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(s, ascii(ch))), 4294967295), 4294967295) % 7 = 2 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS t, row_number() OVER () AS id FROM documents
+), tok AS (SELECT id, held_out, t[i] AS w, CASE WHEN i > 1 THEN t[i - 1] ELSE ' begin' END AS v, CASE WHEN i > 2 THEN t[i - 2] ELSE ' begin' END AS u FROM d, unnest(range(1, len(t) + 1)) x(i)
+), tri AS (SELECT u, v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY ALL),
+two AS (SELECT v, w, CASE WHEN v = ' begin' THEN CAST(sum(c) AS BIGINT) ELSE count(*) END AS c FROM tri GROUP BY v, w),
+one AS (SELECT w, count(*) AS c FROM two GROUP BY ALL),
+word AS (SELECT w, CAST(sum(c) AS BIGINT) AS c FROM tri GROUP BY ALL),
+kinds AS (SELECT level, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4, count(*) FILTER (c > 2) AS more, sum(c) AS total
+  FROM (SELECT 1 AS level, c FROM one UNION ALL SELECT 2, c FROM two UNION ALL SELECT 3, c FROM tri) GROUP BY level),
+disc AS (SELECT level, n1, n2, more, total, least(n1, n2, n3, n4) > 0 AS ok, n1 / (n1 + 2 * n2) AS y, n3, n4 FROM kinds),
+dd AS (SELECT level, CASE WHEN ok THEN least(greatest(1 - 2 * y * n2 / n1, 0.05), 0.95) ELSE 0.5 END AS d1, CASE WHEN ok THEN least(greatest(2 - 3 * y * n3 / n2, 0.05), 1.95) ELSE 1.0 END AS d2,
+  CASE WHEN ok THEN least(greatest(3 - 4 * y * n4 / n3, 0.05), 2.95) ELSE 1.5 END AS d3, n1, n2, more, total FROM disc),
+x1 AS (SELECT d1, d2, d3, d1 * n1 + d2 * n2 + d3 * more AS rest, total FROM dd WHERE level = 1), x2 AS (SELECT d1, d2, d3 FROM dd WHERE level = 2), x3 AS (SELECT d1, d2, d3 FROM dd WHERE level = 3),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM word),
+h2 AS (SELECT v, sum(c) AS total, sum(CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) AS gamma FROM two, x2 GROUP BY v),
+h3 AS (SELECT u, v, sum(c) AS total, sum(CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) AS gamma FROM tri, x3 GROUP BY u, v),
+p1 AS (SELECT tok.*, word.c AS c, (coalesce(one.c - CASE one.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) + rest / (n.v + 1)) / x1.total AS q1, n.n AS n_all, n.v AS n_words FROM tok LEFT JOIN one USING (w) LEFT JOIN word USING (w), x1, n),
+p2 AS (SELECT p1.*, CASE WHEN h2.total IS NULL THEN q1 ELSE (coalesce(two.c - CASE two.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) + h2.gamma * q1) / h2.total END AS q2 FROM p1 LEFT JOIN two ON two.v = p1.v AND two.w = p1.w LEFT JOIN h2 ON h2.v = p1.v, x2),
+p3 AS (SELECT p2.*, CASE WHEN h3.total IS NULL THEN q2 ELSE (coalesce(tri.c - CASE tri.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) + h3.gamma * q2) / h3.total END AS q3
+  FROM p2 LEFT JOIN tri ON tri.u = p2.u AND tri.v = p2.v AND tri.w = p2.w LEFT JOIN h3 ON h3.u = p2.u AND h3.v = p2.v, x3),
+s AS (SELECT id, count(*) AS n_tokens, count(c) AS n_known, any_value(n_all) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n_all + n_words + 1))), 6) AS base_score, round(sum(log10(q3)), 6) AS score FROM p3 GROUP BY id)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM d JOIN s USING (id)
+"""

@@ -536,3 +536,19 @@ _PLACE = np.dtype([("th", "<u8"), ("part", "<u4"), ("at", "<u8"), ("n", "<u4")])
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN len(w) < 5 THEN w ELSE w[i + 1 : i + 5] END AS k, count(*) AS n FROM t, unnest(range(greatest(len(w) - 4, 1))) x(i) WHERE len(w) > 0 GROUP BY ALL),
+df AS (SELECT k, count(*) AS df FROM s GROUP BY k),
+node AS (SELECT text, min(doc_id) AS node FROM t GROUP BY text),
+f AS (SELECT s.doc_id AS node, k, round(1024 * n * (1 + 0.2 * ln((SELECT count(*) FROM t) / df) / ln((SELECT count(*) FROM t)))) / 1024 AS w FROM s JOIN node ON node.text = s.text AND node.node = s.doc_id JOIN df USING (k)),
+total AS (SELECT node, sum(w) AS w FROM f GROUP BY node),
+m AS (SELECT a.node AS a, b.node AS b, sum(least(a.w, b.w)) AS m FROM f a JOIN f b ON a.k = b.k AND a.node < b.node GROUP BY ALL),
+near AS (SELECT a, b FROM m JOIN total x ON x.node = a JOIN total y ON y.node = b WHERE m / (x.w + y.w - m) >= 0.8),
+edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT DISTINCT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+class AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(class_id, node.node) AS class_id FROM t JOIN node USING (text) LEFT JOIN class ON class.node = node.node
+"""

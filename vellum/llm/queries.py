@@ -18,5 +18,9 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
+    "op3_lm_score": lm_score.OP3_SQL,
+    "op5_near_dup": near_dup.OP5_SQL,
     "op8_topk": topk.OP8_SQL,
+    "op9_chat": chat.OP9_SQL,
 }

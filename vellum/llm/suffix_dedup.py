@@ -379,3 +379,17 @@ def _doc_column(folder: str, name: str) -> np.ndarray:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+OP2_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM t, unnest(range(len(h) // 2 - 99)) u(i)),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, i) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+s AS (SELECT doc_id, n, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY ALL),
+p AS (SELECT doc_id, list(struct_pack(a := a, b := b) ORDER BY a) AS s FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(list_transform(s, lambda x: x.b - x.a)), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(s), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(len(s) + 1), lambda j: substr(h, CAST(2 * CASE WHEN j = 0 THEN 0 ELSE s[j].b END + 1 AS BIGINT), CAST(2 * (CASE WHEN j = len(s) THEN len(h) // 2 ELSE s[j + 1].a END - CASE WHEN j = 0 THEN 0 ELSE s[j].b END) AS BIGINT))), '') END)) AS kept_sha256
+FROM t LEFT JOIN p USING (doc_id)
+"""

@@ -27,7 +27,7 @@ from . import store, vec
 from .lm_score import fold
 from .vec import U
 
-FIT_ROWS, FEATURES, LEAST_TEXTS, LEAST_CHI = 6000, 3000, 4, 25
+FIT_ROWS, FEATURES, LEAST_TEXTS, LEAST_CHI = 6000, 3000, 4, 2.0
 L2, LAMBDA, STEPS = 0.002, 1.0, 400
 #: Terms that name groups of people, by list; a swap takes the next term of the same list.
 IDENTITY = (
@@ -117,7 +117,8 @@ def _fit(texts: list[np.ndarray], toxic: np.ndarray) -> Classifier:
     p, q, k = y.sum(), len(y) - y.sum(), len(y)
     neg = n - pos
     chi = k * (pos * (q - neg) - neg * (p - pos)) ** 2 / np.maximum(1e-9, p * q * n * (k - n))
-    chi[(n < LEAST_TEXTS) | (chi < LEAST_CHI)] = 0
+    often = n >= LEAST_TEXTS
+    chi[~often | (chi < LEAST_CHI * np.log(max(2, often.sum())))] = 0  # the more there are, the more of them are great by chance
     best = np.sort(np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi > 0).sum()))])
     chosen = f[at][best]
     if not len(chosen):

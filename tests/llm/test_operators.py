@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, decontaminate, lang_id, lm_score, near_dup, secret_scan, suffix_dedup, topk, toxicity, vec
+from vellum.llm import bpe, chat, decontaminate, lang_id, lm_score, near_dup, secret_scan, store, suffix_dedup, topk, toxicity, vec
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -542,6 +542,14 @@ def test_spans_by_a_plain_walk(spark):
     assert same.columns == named.columns and all(r.n_chars == (None if r.text is None else len(r.text)) for r in same.collect())
 
 
+def test_a_very_long_credential(spark):
+    """Found and masked as a whole, learned from in part."""
+    docs = docs_of(spark, ["id " + "0123456789abcdef" * 30_000 + " end", "token=abcdefghijkl9"])
+    grammar = secret_scan.fit(docs)
+    assert {r.doc_id: r.n_hex for r in secret_scan.scan(docs, grammar).collect()} == {0: 1, 1: 0}
+    assert {r.text for r in secret_scan.redact(docs, grammar).collect()} == {"id [SECRET] end", "[SECRET]"}
+
+
 def test_merged_states_are_alike():
     """An automaton of strings that a known one made has its probabilities; with alpha near 2 next to nothing is merged."""
     g = random.Random(3)
@@ -734,3 +742,42 @@ def test_spans_are_hashed_by_content():
     h = vec.span(c, np.array([0, 4, 1]), np.array([3, 7, 4]))
     assert h[0] == h[1] != h[2]
     assert (vec.unpack(vec.pack(np.array([1, 2**40 - 1], np.uint64), 5).tobytes(), 5) == [1, 2**40 - 1]).all()
+
+
+# storage -----------------------------------------------------------------------------------------------------------
+
+
+def test_a_missing_file_is_an_error(tmp_path):
+    folder = str(tmp_path)
+    store.save(folder, "x-0", np.arange(3))
+    store.save_sorted(folder, "y-4", np.array([5, 1 << 39], np.uint64), np.array([[1], [2]], np.uint8))
+    store.manifest(folder, {"x": [0, 1], "y": [4]})
+    assert store.load(folder, "x-0").tolist() == [0, 1, 2] and store.load(folder, "x-2") is None and store.load(folder, "y-3.off") is None
+    for name in ("x-1", "z-0"):  # a shard that was written, and a step that was not
+        with pytest.raises(FileNotFoundError):
+            store.load(folder, name)
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": master})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_base(Session)
+
+
+def test_counts_and_columns_come_back(tmp_path):
+    g = np.random.default_rng(5)
+    key = np.unique(g.integers(0, 1 << 40, 5000).astype(np.uint64))
+    value = g.choice([0, 1, 1, 1, 2, 3, 200, 300, 1 << 40], (len(key), 3))
+    store.save_counts(str(tmp_path), "c", 0, key, value)
+    store.manifest(str(tmp_path), {"c": [0], "c_large": [0]})
+    h = np.concatenate([key, key + np.uint64(1)]) << np.uint64(20)  # four bits of shard, all of them 0
+    by = np.zeros(len(h), np.uint64)
+    got = store.find_counts(str(tmp_path), "c", 4, h, 3, by=by)
+    new = ~np.isin(key + np.uint64(1), key)
+    assert (got[: len(key)] == value).all() and not got[len(key) :][new].any()
+    x = np.concatenate([value, np.zeros((1, 3), np.int64)])
+    assert (store.unpack_columns([store.pack_columns(x), store.pack_columns(x[:0]), store.pack_columns(x[:2])], 3) == np.concatenate([x, x[:2]])).all()

@@ -16,7 +16,8 @@ fixed part, which is searched over the bytes of many texts at once; whole texts
 
 Defined cases: null or empty text has no spans (base_sha256 is that of the empty string, spans is ''); null
 doc_id is returned as null; repeated rows each get their result; with no credentials to learn from there are no
-`format` spans; runs over MOST characters teach nothing to the model of ordinary runs; extra columns are ignored.
+`format` spans; runs over MOST characters teach nothing to the model of ordinary runs, and credentials teach by their
+first MOST characters, so what the driver gets is bounded; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
-FIT_STRINGS, PLAIN, SALTS = 400, 5, 32
+FIT_STRINGS, PLAIN, SALTS = 400, 5, 8
 #: Candidates have this length at least, and this advantage a character in natural logarithms. Up to MOST characters they
 #: are scored side by side, longer ones each by itself in chunks of CHUNK.
 LEAST, MOST, MARGIN, CHUNK = 16, 256, 0.35, 1 << 16
@@ -212,7 +213,8 @@ def fit(docs: DataFrame, strings: int = FIT_STRINGS) -> Grammars | None:
                     text = raw[off[i] : off[i + 1]].decode()
                     for s, k, e, v in base_spans(text):
                         lo, hi = (int(off[i]) + len(text[:x].encode()) for x in (s, e))
-                        at[k].append((lo + len(text[s:v].encode()), hi))
+                        first = lo + len(text[s:v].encode())
+                        at[k].append((first, min(hi, first + MOST)))
                         covered[lo:hi] = 1
                 s, e, _ = vec.runs(VALUE[data], off)
                 covered = np.append(0, np.cumsum(covered))
@@ -224,12 +226,12 @@ def fit(docs: DataFrame, strings: int = FIT_STRINGS) -> Grammars | None:
         rows = [(k, g, v) for k, got in least.items() for g, v in got.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["kind", "h", "value"])
 
-    # in two steps, of which the first is dealt over SALTS groups a kind and keeps no more of each than the greatest bound
+    # ranked in SALTS groups a kind, so that no task has them all; of what is left of each the driver takes the least
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(credentials, "kind int, h bigint, value binary").distinct()
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "value"))
-    found = found.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("nth", nth("kind", "salt")).where(F.col("nth") <= max(most.values()))
-    found = found.withColumn("nth", nth("kind")).where(F.col("nth") <= F.when(F.col("kind") < 0, most[-1]).otherwise(strings)).select("kind", "value").collect()
-    by = {k: sorted(bytes(r.value) for r in found if r.kind == k) for k in most}
+    nth = F.row_number().over(Window.partitionBy("kind", "salt").orderBy("h", "value"))
+    found = found.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("nth", nth).where(F.col("nth") <= max(most.values()))
+    rows = found.where(F.col("nth") <= F.when(F.col("kind") < 0, most[-1]).otherwise(strings)).select("kind", "h", "value").collect()
+    by = {k: sorted(v for _, v in sorted((r.h, bytes(r.value)) for r in rows if r.kind == k)[: most[k]]) for k in most}
     automata = tuple(infer(by[k]) for k in range(len(KINDS)) if by[k])
     return Grammars(automata, background(by[-1])) if automata else None
 

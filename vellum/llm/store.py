@@ -88,7 +88,7 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
         fs.move(f"{p}/.{name}.{u}", f"{p}/{name}.npy")
 
 
-@functools.lru_cache(4096)
+@functools.lru_cache(24_576)  # mappings hold no file descriptor, but a process may have some 65,000 of them
 def load(folder: str, name: str) -> np.ndarray | None:
     """The array, mapped into memory; None for a shard that its step wrote no rows of. Raises for any other missing file."""
     got = _open(folder, name)

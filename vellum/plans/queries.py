@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import evidence, metrics, quality
-from ..functions import text as t
 from ..operators import engines, layout, log, ordering, render, routing, stamps, validate
 from ..sources import files, tables, text_layer
 from ..streaming import log as slog

@@ -15,7 +15,7 @@ from ..operators import artifacts, engines, layout, log, ordering, render, valid
 from ..sources import files, pdf, synthetic, tables, text_layer
 from ..streaming import log as slog
 from . import queries as base
-from .queries import _AR, _KNOWN, _SP, _WITH_BODY, LOG, PAGES, REGIONS, SIGNALS, VIOLATIONS, query, work_folder  # noqa: F401
+from .queries import _SP, _WITH_BODY, LOG, PAGES, REGIONS, SIGNALS, VIOLATIONS, query, work_folder
 
 _NOW = "timestamp'2024-01-01'"
 

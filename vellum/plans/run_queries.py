@@ -107,6 +107,27 @@ def _pdfs(spark, sf_dir):
     return spark.read.format("binaryFile").load(folder)
 
 
+@query("""SELECT n_name || '.png' AS name, CASE WHEN n_regionkey < 4 THEN 4 ELSE -1 END AS width, CASE WHEN n_regionkey < 4 THEN 2 ELSE -1 END AS height, CASE WHEN n_regionkey < 4 THEN repeat(lower(lpad(printf('%X', CAST(n_nationkey * 5 AS INTEGER)), 2, '0')), 8) END AS pixels FROM nation""")
+def image_load(spark, sf_dir):
+    """Gray PNG files; the last region's are torn, which gives no pixels."""
+    folder = work_folder(spark, "png")
+    for r in tables.read(spark, sf_dir, "nation").collect():
+        data = image.png(image.np.full((2, 4), r.n_nationkey * 5))
+        with open(f"{folder}/{r.n_name}.png", "wb") as f:
+            f.write(data if r.n_regionkey < 4 else data[:20])
+    got = files.page_images(spark, folder)
+    return got.selectExpr("substring_index(origin, '/', -1) AS name", "width", "height", "lower(hex(data)) AS pixels")
+
+
+@query("SELECT * FROM (VALUES ('book.txt', CAST(length(chr(233) || 'done') + 1 AS BIGINT)), ('book.md', CAST(-1 AS BIGINT))) v(name, size)")
+def product_files(spark, sf_dir):
+    """One product is written, twice, and one is missing."""
+    folder = work_folder(spark, "products")
+    for text in ("first", "édone"):
+        files.write_atomically(f"{folder}/book.txt", text)
+    return spark.createDataFrame(files.products(folder), "name string, size bigint").selectExpr("name", "coalesce(size, -1) AS size")
+
+
 @query("SELECT 'synthetic' || b AS book_id, CAST(p AS INTEGER) AS page, 20 AS n_lines, 23 AS n_regions, 2 AS n_stamps, true AS has_ink FROM range(5) x(b), range(1, 5) y(p)")
 def synthetic_pages(spark, sf_dir):
     got = synthetic.pages(spark)

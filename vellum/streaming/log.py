@@ -24,7 +24,7 @@ def event_rate(events: DataFrame, lateness: str = "10 minutes", width: str = "1
 
 
 def run_available(df: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Processes what there is, then stops; the checkpoint makes the next call go on from there."""
+    """Processes what there is, then stops; the checkpoint makes the next call go on from there. The view is held by the driver, so it must be small; others go to files (upsert_to)."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)

@@ -99,12 +99,16 @@ class Bpe:
         self.shorter = {i: next((trie[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in trie), -1) for i, s in ((i, self.text[i]) for i in self.reachable)}
         self.size = {i: len(s) for i, s in self.text.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        #: The offset table: token i decodes to buffer[offset[i]:offset[i+1]], as characters of the vocabulary file.
+        #: The offset table: token i decodes to buffer[offset[i]:offset[i+1]], as characters of the vocabulary file. Its slices
+        #: are taken once.
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pieces = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.buffer, self.offset = b"".join(pieces), array("L", [0])
         for p in pieces:
             self.offset.append(self.offset[-1] + len(p))
+        self.slices = [self.buffer[a:b] for a, b in zip(self.offset, self.offset[1:])]
+        #: Whether the pattern leaves a run of letters whole, so that it needn't be asked about one.
+        self.letters_are_words = all(self.pattern.findall(x) == [x] for x in ("a", "abcdefghijklmnopqrstuvwxyz", "zyx"))
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -200,6 +204,8 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space, after NFC and folding, as little-endian 32-bit integers."""
+        if self.letters_are_words and chunk.isascii() and chunk.isalpha():
+            return array("I", self.encode_word(chunk[:-1] + chr(ord(chunk[-1]) + 256))).tobytes()
         ids: list[int] = []
         for w in self.pattern.findall(chunk):
             got = self.words.get(w)
@@ -251,8 +257,7 @@ class Bpe:
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text: with no decoder in the file, tokens as written there, joined by spaces."""
-        buffer, offset = self.buffer, self.offset
-        return b" ".join([buffer[offset[i] : offset[i + 1]] for i in memoryview(ids).cast("I")])
+        return b" ".join(map(self.slices.__getitem__, memoryview(ids).cast("I")))
 
 
 @lru_cache(4)

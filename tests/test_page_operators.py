@@ -163,8 +163,8 @@ def test_engine_process_and_its_limits(spark):
     """A page that takes too long, one that fails and an engine that can't start each leave an error in their rows."""
     p = spark.createDataFrame([("b", i, f"t{i}") for i in range(1, 5)], "book_id string, page bigint, text string").coalesce(1)
     path = "vellum.operators.engines:EchoEngine"
-    got = {r.page: r for r in engines.recognize(p, "e", path, {"slow_every": 2, "fail_every": 3, "upper": True}, mode="process", timeout_s=8).where("page < 4").collect()}
-    assert (got[1].text, got[1].version) == ("T1", "echo-1") and got[2].error == "TimeoutError: recognize took over 8 s" and got[3].error == "RuntimeError: page can't be read"
+    got = {r.page: r for r in engines.recognize(p, "e", path, {"slow_every": 2, "fail_every": 3, "upper": True}, mode="process", timeout_s=15).where("page < 4").collect()}
+    assert (got[1].text, got[1].version) == ("T1", "echo-1") and got[2].error == "TimeoutError: recognize took over 15 s" and got[3].error == "RuntimeError: page can't be read"
     assert "can't start" in engines.recognize(p.limit(1), "e", path, {"fail_start": True}, mode="process").first().error
     assert engines.recognize(p.limit(1), "e", path, {"start_s": 9}, mode="process", timeout_s=1).first().error.startswith("TimeoutError: start took over")
     with pytest.raises(ValueError):

@@ -15,6 +15,7 @@ from ..operators import artifacts, engines, layout, log, ordering, render, valid
 from ..sources import files, pdf, synthetic, tables, text_layer
 from ..streaming import log as slog
 from . import queries as base
+from . import two_pass
 from .queries import _SP, _WITH_BODY, LOG, PAGES, REGIONS, SIGNALS, VIOLATIONS, query, work_folder
 
 _NOW = "timestamp'2024-01-01'"
@@ -354,6 +355,17 @@ def render_chunks(spark, sf_dir):
     return a.join(b, ["book_id", "page"])
 
 
+@query(f"""{_WITH_BODY}, {SIGNALS}, c AS (SELECT p.book_id, p.page, coalesce(string_agg(b.text, chr(10) ORDER BY i), '') AS t FROM pages_ p LEFT JOIN body_ b USING (book_id, page) GROUP BY ALL),
+d AS (SELECT book_id, md5(string_agg('[' || page || ']' || chr(10) || chr(10) || t || chr(10), chr(10) || chr(10) ORDER BY page) || chr(10)) AS txt_md5 FROM c GROUP BY book_id),
+q AS (SELECT book_id, count(*) FILTER (tier IN ('LOW', 'CRITICAL') OR len(warnings) > 0) AS n_flagged FROM scored GROUP BY book_id), s AS (SELECT book_id, string_agg(line, '|' ORDER BY line) AS stamp_lines FROM stamps_ GROUP BY book_id)
+SELECT d.book_id, txt_md5, n_flagged, coalesce(stamp_lines, '') AS stamp_lines FROM d JOIN q USING (book_id) LEFT JOIN s USING (book_id)""")
+def book_products(spark, sf_dir):
+    """Products of scored pages under settings of their own: fewer pages make a stamp, and another page marker."""
+    how = settings.load(overrides={"stamps.least_share": "0.05", "output.marker": "[{page}]"})
+    made = two_pass.products(tables.with_regions(base._scored(spark, sf_dir)), how)
+    return made["txt"].join(made["qc"], "book_id").selectExpr("book_id", "md5(document) AS txt_md5", "n_flagged", "array_join(stamp_lines, '|') AS stamp_lines")
+
+
 # Images and engines ---------------------------------------------------------------------------------------------------
 
 _PX = "px[{0} * 8 + {1} + 1]"
@@ -380,7 +392,7 @@ def image_stats(spark, sf_dir):
 def image_repairs(spark, sf_dir):
     """Images of 32 pixels have no skew to speak of, so no page is turned here."""
     images = _images(spark, sf_dir)
-    gates = image.gates(image.analyze(images))
+    gates = two_pass.triage(images)
     done = image.repair(images.join(gates.select("origin", "skew_deg", "deskew", "denoise", "binarize"), "origin"))
     return gates.join(done, "origin").selectExpr("origin", "denoise", "binarize", "png IS NOT NULL AND hex(substr(png, 2, 3)) = '504E47' AS repaired")
 

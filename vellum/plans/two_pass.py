@@ -1,4 +1,4 @@
-"""The book pipeline: gate, first reading, layout, quality and routing, second reading of what is left, canonical records.
+"""The book pipeline: triage, gate, first reading, layout, quality and routing, second reading, canonical records, products.
 
 Readings are written at exactly two points, after either pass, since they must not be computed again.
 """
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import evidence
+from ..functions import evidence, image
 from ..functions.quality import Rules, score_pages
-from ..operators import engines, layout, ordering, routing
+from ..operators import engines, layout, ordering, render, routing, stamps
 from ..schemas import BLOCK
 from ..settings import Settings
 from ..sources import text_layer
@@ -19,6 +19,20 @@ from ..sources import text_layer
 PAGE = ["book_id", "page", "text", "regions", "confidence", "score", "tier", "status", "engine", "processing_pass", "provider", "warnings", "error"]
 
 
+def triage(images: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Page images -> their profile, whether they are blank, and which repairs they need."""
+    how = settings.image
+    return image.gates(image.analyze(images, how.blank_below), how.least_angle, how.noise_above, how.contrast_below)
+
+
+def products(pages: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """Canonical pages (with regions, page_height, tier, confidence, warnings) -> stamps, txt and md (a document a book), qc (a row a book)."""
+    how, out = settings.stamps, settings.output
+    found = stamps.stamp_lines(pages, how.band, how.least_pages, how.least_share)
+    body = render.body_regions(pages, found)
+    return {"stamps": found, "txt": render.txt(body, out.marker), "md": render.markdown(body, out.heading), "qc": render.qc_report(pages, found)}
+
+
 def judged(readings: DataFrame, rules: Rules) -> DataFrame:
     counters = evidence.counters(regions="size(regions)")
     return score_pages(readings, rules).selectExpr("book_id", "page", "engine", "version", "text", "regions", "provider", "confidence", "score", "tier", "concat(warnings, layout_warnings) AS warnings", "error", *counters)

@@ -235,6 +235,21 @@ def test_repairs():
     assert raw[:4] == b"\x89PNG" and zlib.decompress(raw[raw.index(b"IDAT") + 4 : -16])[1:161] == img[0].astype(np.uint8).tobytes()
 
 
+def test_denoising_as_a_plain_mean():
+    g = np.random.default_rng(0)
+    img = np.clip(200 + g.normal(0, 8, (16, 14)), 0, 255)
+    p, want = np.pad(img, 13, mode="reflect"), np.zeros(img.shape)
+    for i, j in np.ndindex(*img.shape):
+        y, x, total, weight = i + 13, j + 13, 0.0, 0.0
+        for dy in range(-10, 11):
+            for dx in range(-10, 11):
+                gap = (p[y - 3 : y + 4, x - 3 : x + 4] - p[y + dy - 3 : y + dy + 4, x + dx - 3 : x + dx + 4]) ** 2
+                k = np.exp(-gap.mean() / 100)
+                total, weight = total + k * p[y + dy, x + dx], weight + k
+        want[i, j] = total / weight
+    assert np.abs(image.denoise(img) - want).max() <= 0.5 + 1e-9
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(1, 3001)))
     (tmp_path / "b.txt").write_text("line 1\n\nline 3")

@@ -130,14 +130,22 @@ def binarize(img: np.ndarray, size: int = 31, below: float = 15) -> np.ndarray:
 
 def denoise(img: np.ndarray, strength: float = 10, template: int = 7, search: int = 21) -> np.ndarray:
     """Non-local means: each pixel is the mean of those around it, weighted by how alike the patches about them are."""
-    box, r = np.ones(template) / template, search // 2
-    p = np.pad(img.astype(float), r, mode="reflect" if min(img.shape) > r else "edge")
+    (h, w), t, r = img.shape, template // 2, search // 2
+    p = np.pad(img.astype(float), r + t, mode="reflect" if min(img.shape) > r + t else "edge")
+    own = p[r : r + h + 2 * t, r : r + w + 2 * t]
     total, weight = np.zeros(img.shape), np.zeros(img.shape)
     for dy in range(search):
         for dx in range(search):
-            other = p[dy : dy + img.shape[0], dx : dx + img.shape[1]]
-            w = np.exp(-np.maximum(_blurred((img - other) ** 2, box, "edge"), 0) / (strength * strength))
-            total, weight = total + w * other, weight + w
+            other = p[dy : dy + h + 2 * t, dx : dx + w + 2 * t]
+            c = np.cumsum((own - other) ** 2, 0)  # sums over patches, as differences of running sums
+            s = c[2 * t :].copy()
+            s[1:] -= c[: h - 1]
+            c = np.cumsum(s, 1)
+            s = c[:, 2 * t :].copy()
+            s[:, 1:] -= c[:, : w - 1]
+            k = np.exp(-np.maximum(s, 0) / (template * strength) ** 2)
+            total += k * other[t : t + h, t : t + w]
+            weight += k
     return np.rint(total / weight)
 
 

@@ -178,7 +178,7 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, vector, size, union: Union) -> N
     part = np.zeros(len(nodes), np.int64)  # component of each earlier text
     members: list[list[int]] = []
     of_root: dict[int, int] = {}
-    most, others, whole = 0, [], None  # the largest component, and the texts outside it
+    most, others, n_others, whole = 0, np.empty(len(nodes), np.int64), 0, None  # the largest component, and the texts outside it
 
     def alike(x: int, y: int) -> bool:
         return similarity(vector(int(nodes[x])), vector(int(nodes[y]))) >= SIMILARITY
@@ -204,7 +204,7 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, vector, size, union: Union) -> N
                 if (sig[x] == sig[y]).sum() >= AGREE and alike(x, y):
                     join(x, y)
                     break
-        seen = np.array([y for y in others if part[y] != part[x]], np.int64) if part[x] == most else np.flatnonzero(part[:x] != part[x])
+        seen = others[:n_others] if part[x] == most else np.flatnonzero(part[:x] != part[x])
         same = (sig[seen] == sig[x]).sum(1)
         todo, same = seen[same >= AGREE], same[same >= AGREE]
         todo = todo[np.argsort(-same, kind="stable")]
@@ -229,11 +229,15 @@ def cluster(nodes: np.ndarray, sig: np.ndarray, vector, size, union: Union) -> N
         largest = int(part[x])
         if largest != most and len(members[largest]) > 2 * len(members[most]):
             most = largest
-            others = np.flatnonzero(part[: x + 1] != most).tolist()
-        elif part[x] != most:
-            others.append(x)
-        if len(members[most]) + len(others) != x + 1:  # components went into the largest
-            others = [y for y in others if part[y] != most]
+            left = np.flatnonzero(part[: x + 1] != most)
+        elif largest != most:
+            others[n_others], n_others = x, n_others + 1
+            continue
+        elif len(members[most]) + n_others == x + 1:
+            continue
+        else:  # components went into the largest
+            left = others[:n_others][part[others[:n_others]] != most]
+        others[: len(left)], n_others = left, len(left)
 
 
 def components(edges: DataFrame, parts: int) -> DataFrame:

@@ -300,3 +300,21 @@ def test_leak_check_is_plain_containment(spark, tmp_path):
             if p is not None and t is not None and p in t:
                 want[k] = want.get(k, 0) + 1
     assert {r.item_id: r.pages for r in queries.leak_check(spark, str(tmp_path)).collect()} == want
+
+
+def test_images_of_one_shape_are_repaired_together(spark, monkeypatch):
+    """As image by image, in a single pass, however many fit in an array."""
+    g = np.random.default_rng(5)
+    images = [g.integers(0, 256, shape).astype(float) for shape in [(4, 8)] * 5 + [(20, 30)] * 2 + [(1, 3)]] + [None, np.full((4, 8), 255.0)]
+    stack = np.stack(images[:5])
+    for step in (image.denoise, image.binarize, image.noise):
+        assert (np.array(step(stack)) == np.stack([np.array(step(i)) for i in images[:5]])).all()
+    monkeypatch.setattr(image, "AT_ONCE", 3000)
+    rows = [(str(i), *((0, 0) if x is None else x.shape[::-1]), 1, None if x is None else bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(images)]
+    df = spark.createDataFrame(rows, "origin string, width int, height int, nChannels int, data binary")
+    gates = image.gates(image.analyze(df))
+    apart = {r.origin: r.png for r in image.repair(df.join(gates.select("origin", "skew_deg", "deskew", "denoise", "binarize"), "origin")).collect()}
+    done = {r.origin: r for r in image.triaged(df).collect()}
+    assert {k: r.png for k, r in done.items()} == apart and done["8"].png is None and not done["8"].readable and done["9"].png is None
+    assert {r.origin: (r.deskew, r.denoise, r.binarize) for r in gates.collect()} == {k: (r.deskew, r.denoise, r.binarize) for k, r in done.items()}
+    assert apart["0"] == image.png(image.denoise(images[0])) and done["0"].denoise and not done["0"].binarize

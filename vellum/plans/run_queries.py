@@ -391,10 +391,8 @@ def image_stats(spark, sf_dir):
 @query(f"WITH {_IMAGES} SELECT CAST(doc_id AS VARCHAR) AS origin, ink >= 0.002 AND noise > 0.15 AS denoise, ink >= 0.002 AND std < 40 AS binarize, ink >= 0.002 AND (noise > 0.15 OR std < 40) AS repaired FROM stat_")
 def image_repairs(spark, sf_dir):
     """Images of 32 pixels have no skew to speak of, so no page is turned here."""
-    images = _images(spark, sf_dir)
-    gates = two_pass.triage(images)
-    done = image.repair(images.join(gates.select("origin", "skew_deg", "deskew", "denoise", "binarize"), "origin"))
-    return gates.join(done, "origin").selectExpr("origin", "denoise", "binarize", "png IS NOT NULL AND hex(substr(png, 2, 3)) = '504E47' AS repaired")
+    done = two_pass.repaired(_images(spark, sf_dir))
+    return done.selectExpr("origin", "denoise", "binarize", "png IS NOT NULL AND hex(substr(png, 2, 3)) = '504E47' AS repaired")
 
 
 @query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS page, CASE WHEN n_nationkey <> 12 THEN upper(n_name) END AS text, CASE WHEN n_nationkey = 12 THEN 'TimeoutError: recognize took over 20 s' END AS error, CASE WHEN n_nationkey <> 12 THEN 'echo-1' END AS version FROM nation")

@@ -25,6 +25,12 @@ def triage(images: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return image.gates(image.analyze(images, how.blank_below), how.least_angle, how.noise_above, how.contrast_below)
 
 
+def repaired(images: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """triage, and the repaired page (png) beside it, in one pass over the images."""
+    how = settings.image
+    return image.triaged(images, how.blank_below, how.least_angle, how.noise_above, how.contrast_below)
+
+
 def products(pages: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Canonical pages (with regions, page_height, tier, confidence, warnings) -> stamps, txt and md (a document a book), qc (a row a book)."""
     how, out = settings.stamps, settings.output

@@ -128,3 +128,23 @@ def test_words_beyond_one_plane(spark, monkeypatch):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, h string")
     got = [r.w for r in df.selectExpr("i", f"{metrics.wer('r', 'h')} AS w").orderBy("i").collect()]
     assert got == [pytest.approx(distance(a.split(), b.split()) / len(a.split()) if a else 1.0) for a, b in pairs]
+
+
+def test_words_and_signs_as_one_class(spark):
+    """White space, and signs of a clean page, character by character as plain code has them."""
+    x = "".join(chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000)
+    pieces = [f"a{c}b" for c in x if c.isspace()] + ["a" + c + "b" for c in "​᠎†ヿ"] + ["", "  ", " a  b ", "a"]
+    df = spark.createDataFrame([(p,) for p in [*pieces, x]], "x string")
+    assert [r.w for r in df.selectExpr(f"{t.words('x')} AS w").collect()] == [p.split() for p in [*pieces, x]]
+    bare = "".join(x.split())
+    plain = [c for c in bare if "؀" <= c <= "ۿ" or c.isascii() and c.isalnum() or c in ".,!?:;\"'()[]«»…-—"]
+    row = df.where("char_length(x) > 9").selectExpr(f"{quality.garbage_ratio('x')} AS g", *evidence.counters("x", confidence="x")).first()
+    assert abs(row.g - (1 - len(plain) / len(bare))) < 1e-12
+    assert row.punctuation_count == 17 and row.digit_count == 20 and row.latin_count == 52
+
+
+def test_once_is_left_out_where_nothing_reads_it(spark):
+    got = t.once(spark.range(3).selectExpr("id", "CAST(id AS string) AS x"), y="concat(x, 'told')")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "told" not in plan(got.select("id")) and plan(got.where("y > '1'").selectExpr("y", "concat(y, y) AS z")).count("told") == 1
+    assert [r.y for r in got.orderBy("id").collect()] == ["0told", "1told", "2told"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from . import text as t
 
-# Patterns of the evidence counters.
-PUNCTUATION = r"[.!?:;،؛؟«»()\\[\\]…\\-—]"
-DIGIT = r"[0-9\\u0660-\\u0669]"
-LATIN = "[A-Za-z]"
+# Patterns of the evidence counters; characters up to U+00FF stand one by one, as Java looks them up in a table then.
+PUNCTUATION = r"[[.!?:;«»()\\[\\]\\-][\\u060c-\\u2026&&[،؛؟…—]]]"
+DIGIT = rf"[{string.digits}\\u0660-\\u0669]"
+LATIN = f"[{string.ascii_letters}]"
 TAG = r"<\\s*/?\\s*[A-Za-z][^>]*>"
 # Characters of a page number.
 PAGE_NUMBER = r"^[0-9\\u0660-\\u0669ivxlcIVXLC\\-–—. ()\\[\\]]{1,8}$"
@@ -42,7 +44,7 @@ def is_page_number(x: str) -> str:
 
 
 def has_html(x: str) -> str:
-    return f"{x} rlike '{TAG}'"
+    return f"(contains({x}, '<') AND {x} rlike '{TAG}')"
 
 
 def artifact_name(processing_pass: str, engine: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ FUNCTION_WORDS = (
     "هو", "هي", "هم", "هن", "أنا", "أنت", "أنتم", "نحن", "كنت", "كنا", "يكونون",
     "الله", "رب", "يا", "أيها", "ألا", "إلا", "بل", "سوف", "س", "ب", "ل", "ك",
 )
-# Characters outside the script that a clean page may have, as in a pattern's class.
-PLAIN = r"A-Za-z0-9\\u0660-\\u0669.,!?:;\"\'()\\[\\]«»…\\-—"
+# Characters outside the script that a clean page may have, as in a pattern's class; those up to U+00FF one by one, as Java looks them up in a table then.
+PLAIN, OTHER = rf"{string.ascii_letters}{string.digits}.,!?:;\"\'()\\[\\]«»\\-", r"\\u0660-\\u0669…—"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def _script(bare: str, s: Script) -> str:
 
 
 def _garbage(bare: str, s: Script) -> str:
-    return f"IF({bare} = '', 0D, 1 - char_length(regexp_replace({bare}, '[^{s.letters}{PLAIN}]+', '')) / char_length({bare}))"
+    return f"IF({bare} = '', 0D, 1 - char_length(regexp_replace({bare}, '[^[{PLAIN}][{OTHER}{s.letters}]]+', '')) / char_length({bare}))"
 
 
 def _length(n: str) -> str:
@@ -100,7 +101,8 @@ def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", co
     """
     kept, s = [c for c in pages.columns if not c.startswith("_")], rules.script
     x = f"coalesce({text}, '')"
-    pages = t.once(pages, _x=x, _w=t.words(x), _l=t.lines(x), _n=f"char_length({t.strip(x)})", _b=f"array_join({t.words(x)}, '')")
+    pages = t.once(pages, _x=x, _w=t.words(x), _l=t.lines(x), _n=f"char_length({t.strip(x)})")
+    pages = t.once(pages, _b="array_join(_w, '')")
     signal = {
         "engine_confidence": f"coalesce(CAST({confidence} AS double), 50D)",
         "arabic_char_ratio": f"{_script('_b', s)} * 100",

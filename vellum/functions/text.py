@@ -10,7 +10,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 #: White space as Python's str.isspace() has it: as a class of a Java pattern inside a SQL literal, and as characters of a SQL literal.
-SPACE = r"[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: Characters up to U+00FF stand one by one, as Java looks them up in a table then, and one range is asked before all others.
+SPACE = r"[\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f\\x20\\x85\\xa0[\\u1680-\\u3000&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]]"
 _SPACES = "".join(f"\\u{c:04x}" for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 #: Line ends as str.splitlines() has them; CR LF is one.
 LINE_END = r"\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -22,13 +23,13 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def once(df, **columns: str):
-    """df plus columns that are computed once a row, whatever later projections and filters do with them.
+    """df plus columns that are computed once a row, whatever later projections and filters do with them, or not at all if nobody asks.
 
-    They come out of a generator, through which Spark neither merges projections nor pushes filters, as it would through
-    a projection of their own, repeating their expressions wherever they are used, even inside lambdas.
+    Their condition, which always holds, isn't deterministic to Spark: so it neither merges projections nor pushes filters
+    through this one, as it would otherwise, repeating expressions wherever they are used, even inside lambdas. Columns
+    that nothing reads are still pruned.
     """
-    row = ", ".join(f"{e} AS {n}" for n, e in columns.items())
-    return df.selectExpr("*", f"inline(array(struct({row})))")
+    return df.selectExpr("*", *(f"IF(monotonically_increasing_id() >= 0, {e}, NULL) AS {n}" for n, e in columns.items()))
 
 
 def strip(x: str) -> str:
@@ -46,7 +47,8 @@ def bare(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"array_remove(split({x}, '{SPACE}+'), '')"
+    """Runs of anything but white space. A stripped text has no empty ones, unless it is empty."""
+    return let("s", strip(x), f"IF(s = '', CAST(array() AS array<string>), split(s, '{SPACE}+'))")
 
 
 def count(x: str, pattern: str) -> str:

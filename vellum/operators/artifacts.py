@@ -35,14 +35,14 @@ def layouts(pages: DataFrame) -> DataFrame:
 
 def candidates(scored: DataFrame, processing_pass: int) -> DataFrame:
     """A reading with its report and evidence, and the name it is stored under (artifact). Tags in the text make its format html."""
-    counted = scored.selectExpr("*", f"map_from_arrays({_COUNTERS}) AS evidence")
+    counted = scored.selectExpr("*", f"map({_COUNTERS}) AS evidence")
     got = counted.selectExpr("*", f"{processing_pass} AS processing_pass", "engine AS engine_name", "version AS engine_version", "confidence AS native_confidence", f"IF({evidence.has_html('text')}, 'html', 'text') AS output_format")
     name = evidence.artifact_name("processing_pass", "engine_name")
     return conform(got, "candidates").withColumn("artifact", F.expr(name))
 
 
 _COUNTED = ("character_count", "line_count", "region_count", "punctuation_count", "digit_count", "latin_count", "html_tag_count")
-_COUNTERS = f"array({', '.join(repr(c) for c in _COUNTED)}), array({', '.join(f'CAST({c} AS double)' for c in _COUNTED)})"
+_COUNTERS = ", ".join(f"{c!r}, CAST({c} AS double)" for c in _COUNTED)
 
 
 def decisions(routed: DataFrame) -> DataFrame:

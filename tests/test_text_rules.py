@@ -148,3 +148,10 @@ def test_once_is_left_out_where_nothing_reads_it(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "told" not in plan(got.select("id")) and plan(got.where("y > '1'").selectExpr("y", "concat(y, y) AS z")).count("told") == 1
     assert [r.y for r in got.orderBy("id").collect()] == ["0told", "1told", "2told"]
+
+
+def test_nfc_without_python(spark):
+    text = ["é", "abc", "été", None, "آ", "가", "क़", "ᾴ"]
+    got = t.with_nfc(spark.createDataFrame([(x,) for x in text], "x string"), "x")
+    assert [r.x for r in got.collect()] == [x if x is None else unicodedata.normalize("NFC", x) for x in text]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

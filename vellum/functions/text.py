@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 #: White space as Python's str.isspace() has it: as a class of a Java pattern inside a SQL literal, and as characters of a SQL literal.
 #: Characters up to U+00FF stand one by one, as Java looks them up in a table then, and one range is asked before all others.
@@ -76,10 +71,13 @@ def repeats(array: str, times: int) -> str:
     return let("r", array, f"IF(size(r) - size(array_distinct(r)) < {times - 1}, false, {found})")
 
 
-@pandas_udf(StringType())
-def nfc(x: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in one. ASCII text is passed on as it is."""
-    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def nfc(x):
+    """Canonical composition of a string column, by the ICU library that Spark carries, as there is no built-in function.
+
+    A text without characters from U+0300 on is composed already and is passed on as it is.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False))
+    return F.when(x.rlike("[^\\x00-\\u02ff]"), composed).otherwise(x)
 
 
 def with_nfc(df, *columns: str):

@@ -318,3 +318,18 @@ def test_images_of_one_shape_are_repaired_together(spark, monkeypatch):
     assert {k: r.png for k, r in done.items()} == apart and done["8"].png is None and not done["8"].readable and done["9"].png is None
     assert {r.origin: (r.deskew, r.denoise, r.binarize) for r in gates.collect()} == {k: (r.deskew, r.denoise, r.binarize) for k, r in done.items()}
     assert apart["0"] == image.png(image.denoise(images[0])) and done["0"].denoise and not done["0"].binarize
+
+
+def test_no_book_is_gathered_to_lose_its_stamps(spark):
+    p = tables.with_regions(spark.createDataFrame([("b", i, f"top {i}\nbody {i}\nm{i}\nn{i}\nmiddle {i}\nstamp") for i in range(9)] + [("c", 1, "x")], "book_id string, page long, text string"))
+    found = stamps.stamp_lines(p)
+    lines = p.selectExpr("book_id", "page", "inline(transform(regions, r -> struct(r.text AS text)))")
+    for body, rest in ((render.body_regions(p, found), stamps.drop_stamps(lines, found)), (render.body_regions(p, found, send=False), stamps.drop_stamps(lines, found, send=False))):
+        assert {(r.book_id, r.page): [x.text for x in r.body][-1] for r in body.collect()} == {**{("b", i): f"middle {i}" for i in range(9)}, ("c", 1): "x"}
+        assert "stamp" not in {r.text for r in rest.collect()} and rest.count() == 46
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (render.body_regions(p, found), stamps.drop_stamps(lines, found))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("BroadcastHashJoin" in x and "text#" not in "".join(y for y in x.split("\n") if "hashpartitioning" in y) for x in plans)

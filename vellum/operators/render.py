@@ -9,18 +9,25 @@ from ..functions import text as t
 
 # Kinds that are no body text.
 EXCLUDED = ("header", "footer", "page_number", "watermark")
+#: Parts that a book's pages are dealt out in where they meet its stamps by a shuffle.
+SPREAD = 64
 
 
-def body_regions(pages: DataFrame, stamps: DataFrame | None = None) -> DataFrame:
+def body_regions(pages: DataFrame, stamps: DataFrame | None = None, send: bool = True) -> DataFrame:
     """pages(book_id, page, text, regions) plus body: array<struct<kind, text>>. If no region is left, the text's lines are body.
 
-    stamps(book_id, line) becomes one array a book, of the few lines that pass the stamps' threshold.
+    stamps(book_id, line) becomes one array a book, of the few lines that pass the stamps' threshold (no more than a page's
+    lines in the band over the least share), and is sent to every task, so no book's pages are gathered in one. Without
+    send, for so many books that these arrays don't fit, pages are dealt out by book and a SPREAD-th of its pages.
     """
     kinds = ", ".join(f"'{k}'" for k in EXCLUDED)
     if stamps is None:
         pages = pages.withColumn("_s", F.expr("CAST(array() AS array<string>)"))
     else:
-        pages = pages.join(stamps.groupBy("book_id").agg(F.collect_set("line").alias("_s")), "book_id", "left").withColumn("_s", F.expr("coalesce(_s, array())"))
+        per, on = stamps.groupBy("book_id").agg(F.collect_set("line").alias("_s")), ["book_id"]
+        if not send:
+            pages, per, on = pages.withColumn("_z", F.expr(f"pmod(xxhash64(page), {SPREAD})")), per.withColumn("_z", F.expr(f"explode(sequence(0L, {SPREAD - 1}L))")), ["book_id", "_z"]
+        pages = pages.join(F.broadcast(per) if send else per, on, "left").drop("_z").withColumn("_s", F.expr("coalesce(_s, array())"))
     stays = "r.s <> '' AND NOT array_contains(_s, r.s)"
     kept = f"filter(transform(filter(coalesce(regions, array()), r -> r.kind NOT IN ({kinds})), r -> struct(r.kind AS kind, r.text AS text, {t.strip('r.text')} AS s)), r -> {stays})"
     lines = f"filter(transform(split(text, '\\n'), l -> struct('body' AS kind, l AS text, {t.strip('l')} AS s)), r -> {stays})"

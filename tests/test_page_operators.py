@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from vellum import interfaces, schemas, settings
-from vellum.functions import image
+from vellum.functions import evidence, image
 from vellum.operators import artifacts, engines, layout, log, ordering, render, routing, stamps, validate
 from vellum.plans import queries, two_pass
 from vellum.sources import files, pdf, synthetic, tables, text_layer
@@ -333,3 +333,17 @@ def test_no_book_is_gathered_to_lose_its_stamps(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all("BroadcastHashJoin" in x and "text#" not in "".join(y for y in x.split("\n") if "hashpartitioning" in y) for x in plans)
+
+
+def test_long_readings_are_compared_without_a_table_of_distances(spark):
+    g = np.random.default_rng(2)
+    draw = lambda n: "".join(g.choice(list("ab é😀"), n))
+    pairs = [(x, y) for x in ("", "a", draw(7), draw(64), draw(400)) for y in ("", "b", draw(9), draw(65), draw(390))] + [((x := draw(500)), x[200:] + x[:200]), (x, x)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    assert [evidence.edits(r.a, r.b) for r in df.collect()] == [r.d for r in df.selectExpr("levenshtein(a, b) AS d").collect()]
+    side = lambda c, e: df.selectExpr("'b' AS book_id", "i AS page", f"{c} AS text", "1D AS score", "'HIGH' AS tier", "CAST(array() AS array<string>) AS warnings", "0 AS html_tag_count", f"'{c}' AS engine", f"{e} AS error")
+    got = {r.page: r.normalized_disagreement for r in routing.adjudicate(side("a", "CAST(NULL AS string)"), side("b", "IF(i = 26, 'E: x', NULL)")).collect()}
+    want = {r.i: r.d for r in df.selectExpr("i", "IF(i = 26, NULL, coalesce(levenshtein(a, b) / nullif(greatest(char_length(a), char_length(b)), 0), IF(a = b, 0D, NULL))) AS d").collect()}
+    assert got == want
+    slow = "".join(g.choice(list("abcdefgh"), 20_000))
+    assert evidence.edits(slow, slow[50:]) == 50

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from vellum import interfaces, schemas, settings
-from vellum.functions import evidence, image
+from vellum.functions import evidence, image, quality
 from vellum.operators import artifacts, engines, layout, log, ordering, render, routing, stamps, validate
 from vellum.plans import queries, two_pass
 from vellum.sources import files, pdf, synthetic, tables, text_layer
@@ -347,3 +347,10 @@ def test_long_readings_are_compared_without_a_table_of_distances(spark):
     assert got == want
     slow = "".join(g.choice(list("abcdefgh"), 20_000))
     assert evidence.edits(slow, slow[50:]) == 50
+
+
+def test_products_score_no_page_for_its_text_or_stamps(spark):
+    scored = quality.score_pages(spark.createDataFrame([("b", 1, "x", 50.0)], "book_id string, page long, text string, confidence double"))
+    made = two_pass.products(tables.with_regions(scored))
+    scores = {k: df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") for k, df in made.items()}
+    assert scores["stamps"] == scores["txt"] == scores["md"] == 0 and scores["qc"] == 1

@@ -5,11 +5,12 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vellum import interfaces, schemas, settings
 from vellum.functions import evidence, image, quality
 from vellum.operators import artifacts, engines, layout, log, ordering, render, routing, stamps, validate
-from vellum.plans import queries, two_pass
+from vellum.plans import queries, run_queries, two_pass  # noqa: F401
 from vellum.sources import files, pdf, synthetic, tables, text_layer
 from vellum.streaming import log as slog
 
@@ -354,3 +355,34 @@ def test_products_score_no_page_for_its_text_or_stamps(spark):
     made = two_pass.products(tables.with_regions(scored))
     scores = {k: df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") for k, df in made.items()}
     assert scores["stamps"] == scores["txt"] == scores["md"] == 0 and scores["qc"] == 1
+
+
+def test_digests_are_those_of_whole_documents_without_making_them(spark):
+    rows = [("a", p, x) for p, x in ((3, "c"), (1, None), (2, ""), (2, "é\nx"), (None, "lost"))] + [("b", p, f"line {p}\n# t") for p in range(25_000)] + [("c", None, "only"), (None, 1, "no book")]
+    pages = spark.createDataFrame(rows, "book_id string, page long, text string").withColumn("regions", F.expr("transform(split(text, '\n'), l -> struct(IF(l LIKE '#%', 'heading', 'body') AS kind, l AS text))"))
+    body = render.body_regions(pages.repartition(3))
+    for whole, digests in ((render.txt(body, "[{page}]"), render.txt_digests(body, "[{page}]")), (render.markdown(body), render.markdown_digests(body))):
+        want = {r.book_id: r.m for r in whole.selectExpr("book_id", "md5(document) AS m").collect() if r.m}
+        got = {r.book_id: r.md5 for r in digests.collect()}
+        assert len(want) >= 3 and {k: got[k] for k in want} == want and len(got) == 4
+        assert "collect_list" not in digests._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_products_hash_a_book_and_make_its_stamps_lines_once(spark, tmp_path):
+    spark.createDataFrame([(1, "s", "a\nb"), (2, "s", "c\nd")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = queries.QUERIES["book_products"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    p = spark.createDataFrame([("a\nb",)], "text string").selectExpr("'b' AS book_id", "1L AS page", "text")
+    found = stamps.stamp_lines(tables.with_regions(p), normalize=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("regexp_replace(") == 1 and found.count("split(") == 1
+
+
+def test_flagged_pages_by_the_first_rule_that_holds(spark):
+    arabic = "قال الولد في البيت مع أخيه كلاما طويلا عن هذا الكتاب القديم من المدرسة"
+    texts = [None, "", "short", arabic, arabic + " ¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤¤", "نعم نعم نعم نعم " * 8, f"{arabic}\n" * 3 + "آخر", "plain words in latin letters, forty characters at least", *(x for _, x, _ in tables.SCRIPT_PAGES)]
+    rows = [(x, c) for x in texts for c in (None, 0.0, 48.0, 60.0, 92.0, float("nan"))]
+    for rules in (quality.Rules(), quality.Rules(high=50.0, medium=70.0), quality.Rules(script=quality.LATIN)):
+        scored = quality.score_pages(spark.createDataFrame(rows, "text string, confidence double"), rules)
+        got = scored.selectExpr(f"{quality.flagged(rules=rules)} AS quick", "tier IN ('LOW', 'CRITICAL') OR size(warnings) > 0 AS full").collect()
+        assert [r.quick for r in got] == [r.full for r in got] and {r.full for r in got} == {True, False}

@@ -94,6 +94,36 @@ def repeated_ngram(x: str, n: int = 4, times: int = 6) -> str:
     return t.let("ws", t.words(x), _ngram("ws", n, times))
 
 
+def _signals(confidence: str, x: str, b: str, n: str, s: Script) -> dict[str, str]:
+    return {
+        "engine_confidence": f"coalesce(CAST({confidence} AS double), 50D)",
+        "arabic_char_ratio": f"{_script(b, s)} * 100",
+        "dictionary_hit_rate": f"{dictionary_rate(x, s)} * 100",
+        "length_anomaly": f"{_length(n)} * 100",
+        "garbage_symbol_ratio": f"(1 - {_garbage(b, s)}) * 100",
+    }
+
+
+def _score(of: dict[str, str], rules: Rules) -> str:
+    """The weighted mean of signals, of which of has the expressions."""
+    return "(" + " + ".join(f"{rules.weights.get(k, 0.0)!r}D * {e}" for k, e in of.items()) + f") / {sum(rules.weights.values()) or 1.0!r}D"
+
+
+def flagged(text: str = "text", confidence: str = "confidence", rules: Rules = Rules()) -> str:
+    """Whether score_pages would give the tier LOW or CRITICAL or a warning, for reports that need no more than that.
+
+    The same rules, from the cheapest to the dearest; the first that holds settles it, and the others are not evaluated.
+    """
+    x, s = f"coalesce({text}, '')", rules.script
+    of = _signals(confidence, x, "b", "n", s)
+    score = _score(of | {"arabic_char_ratio": "a", "garbage_symbol_ratio": "g"}, rules)
+    low = f"NOT (score >= {rules.high}D OR score >= {rules.medium}D)"
+    runs = t.let("ls", t.lines(x), _line("ls")) + " OR " + t.let("ws", t.words(x), _ngram("ws"))
+    rest = t.let("g", of["garbage_symbol_ratio"], f"g < 70 OR {t.let('score', score, low)} OR {runs}")
+    scored = t.let("b", t.bare(x), t.let("a", of["arabic_char_ratio"], f"a < 30 OR {rest}"))
+    return f"({confidence} IS NULL OR {t.let('n', f'char_length({t.strip(x)})', f'n < 20 OR {scored}')})"
+
+
 def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", confidence: str = "confidence") -> DataFrame:
     """pages plus signals (map), score, warnings and tier. A null confidence counts as 50.
 
@@ -103,17 +133,9 @@ def score_pages(pages: DataFrame, rules: Rules = Rules(), text: str = "text", co
     x = f"coalesce({text}, '')"
     pages = t.once(pages, _x=x, _w=t.words(x), _l=t.lines(x), _n=f"char_length({t.strip(x)})")
     pages = t.once(pages, _b="array_join(_w, '')")
-    signal = {
-        "engine_confidence": f"coalesce(CAST({confidence} AS double), 50D)",
-        "arabic_char_ratio": f"{_script('_b', s)} * 100",
-        "dictionary_hit_rate": f"{dictionary_rate('_x', s)} * 100",
-        "length_anomaly": f"{_length('_n')} * 100",
-        "garbage_symbol_ratio": f"(1 - {_garbage('_b', s)}) * 100",
-    }
+    signal = _signals(confidence, "_x", "_b", "_n", s)
     pages = t.once(pages, **{f"_{k}": e for k, e in signal.items()}, _line=_line("_l"), _gram=_ngram("_w"))
-    weight = {k: rules.weights.get(k, 0.0) for k in signal}
-    total = sum(rules.weights.values()) or 1.0
-    score = "(" + " + ".join(f"{w!r}D * _{k}" for k, w in weight.items()) + f") / {total!r}D"
+    score = _score({k: f"_{k}" for k in signal}, rules)
     warnings = (
         "array_compact(array(IF(_arabic_char_ratio < 30, 'low_arabic_content', NULL), IF(_garbage_symbol_ratio < 70, 'high_garbage_symbol_density', NULL), IF(_n < 20, 'near_empty_page', NULL), "
         f"IF({confidence} IS NULL, 'native_confidence_unavailable', NULL), IF(_line, 'repeated_line_detected', NULL), IF(_gram, 'degenerate_repetition', NULL)))"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +75,68 @@ def markdown(pages: DataFrame, heading: str = "## Page {page}") -> DataFrame:
     return _book(pages, _md(heading), "\\n", head="concat('# ', book_id, '\\n\\n')")
 
 
+def _digests(pages: DataFrame, chunk: str, glue: str, head: str = "''", tail: str = "") -> DataFrame:
+    """book_id, md5: that of _book's document, for books of any size, as no document and no array of pages is made.
+
+    A book's pages come to one task, as MD5 takes its bytes in order; they are sorted there, on disk if need be, and
+    hashed as they stream by. Each chunk brings the glue before it, so a batch's bytes are hashed as they lie.
+    """
+    cut, end = len(glue.encode()), tail.encode()
+    sql = glue.replace("\n", "\\n")
+    rows = pages.selectExpr("book_id", "page", f"CAST(concat('{sql}', {chunk}) AS binary) AS chunk").repartition("book_id").sortWithinPartitions("book_id", "page", "chunk")
+
+    def hashed(batches):
+        book, md5, begun = None, None, False
+        for batch in batches:
+            runs, chunks = pc.run_end_encode(batch.column("book_id")), batch.column("chunk")
+            heads, at = batch.column("head"), 0
+            for b, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if md5 is None or b != book:
+                    if md5 is not None:
+                        md5.update(end)
+                        yield _row(batch.schema, book, md5)
+                    book, md5, begun = b, hashlib.md5(heads[at].as_py() or b"", usedforsecurity=False), False
+                own = _bytes(chunks.slice(at, stop - at))
+                md5.update(own if begun or not len(own) else own[cut:])  # a null chunk has no bytes
+                begun, at = begun or len(own) > 0, stop
+            schema = batch.schema
+        if md5 is not None:
+            md5.update(end)
+            yield _row(schema, book, md5)
+
+    kind = pages.schema["book_id"].dataType.simpleString()
+    return rows.selectExpr("book_id", "chunk", f"CAST({head} AS binary) AS head").mapInArrow(hashed, f"book_id {kind}, md5 string")
+
+
+def _row(schema: pa.Schema, book, md5) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([book], schema.field("book_id").type), pa.array([md5.hexdigest()])], ["book_id", "md5"])
+
+
+def _bytes(values: pa.Array) -> memoryview:
+    """All values of a binary column as they lie, one after another."""
+    _, places, data = values.buffers()
+    places = np.frombuffer(places, np.int64 if pa.types.is_large_binary(values.type) else np.int32)
+    return memoryview(data or b"")[int(places[values.offset]) : int(places[values.offset + len(values)])]
+
+
+def txt_digests(pages: DataFrame, marker: str = "===== PAGE {page} =====") -> DataFrame:
+    """book_id, md5: the digest of txt's document."""
+    return _digests(pages, _txt(marker), "\n\n", tail="\n")
+
+
+def markdown_digests(pages: DataFrame, heading: str = "## Page {page}") -> DataFrame:
+    """book_id, md5: the digest of markdown's document."""
+    return _digests(pages, _md(heading), "\n", head="concat('# ', book_id, '\\n\\n')")
+
+
 def flagged(pages: DataFrame) -> DataFrame:
     return pages.where("tier IN ('LOW', 'CRITICAL') OR size(warnings) > 0")
 
 
 def qc_report(pages: DataFrame, stamps: DataFrame | None = None) -> DataFrame:
-    """pages(book_id, page, tier, confidence, warnings) -> one row a book."""
+    """pages(book_id, page, tier, confidence, warnings) -> one row a book. A column flagged goes before what tier and warnings say."""
     by_tier = [F.count_if(F.col("tier") == k).alias(f"n_{k.lower()}") for k in ("HIGH", "MEDIUM", "LOW", "CRITICAL")]
-    flag = F.expr("tier IN ('LOW', 'CRITICAL') OR size(warnings) > 0")
+    flag = F.expr("flagged" if "flagged" in pages.columns else "tier IN ('LOW', 'CRITICAL') OR size(warnings) > 0")
     out = pages.groupBy("book_id").agg(
         F.count("*").alias("pages"), *by_tier, F.coalesce(F.round(F.avg("confidence"), 2), F.lit(0.0)).alias("mean_confidence"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("min_confidence"),
         F.count_if(flag).alias("n_flagged"), F.array_sort(F.collect_list(F.when(flag, F.col("page")))).alias("flagged_pages"),

@@ -12,11 +12,12 @@ def stamp_lines(pages: DataFrame, band: float = 0.15, least_pages: int = 3, leas
     """pages(book_id, page, page_height, regions) -> book_id, line, pages; text is taken as NFC, or brought to it with normalize.
 
     The threshold is max(least_pages, share of all pages rounded half to even); pages of height 0 count there only.
-    Distinct pages are counted by two aggregates, so a line on every page is reduced in each task first.
+    Distinct pages are counted by two aggregates, so a line on every page is reduced in each task first. A page's lines are
+    made once: Spark would make them again to ask whether there are any, and again to ask whether a line is empty.
     """
-    low = pages.where("page_height > 0").selectExpr("book_id", "page", f"explode(transform(filter(regions, r -> r.y0 >= {1 - band!r}D * page_height), r -> r.text)) AS line")
+    low = t.once(pages.where("page_height > 0"), _low=f"transform(filter(regions, r -> r.y0 >= {1 - band!r}D * page_height), r -> r.text)").selectExpr("book_id", "page", "explode(_low) AS line")
     low = t.with_nfc(low, "line") if normalize else low
-    low = low.selectExpr("book_id", "page", f"{t.collapse('line')} AS line").where("line <> ''").distinct()
+    low = t.once(low, _line=t.collapse("line")).selectExpr("book_id", "page", "_line AS line").where("line <> ''").distinct()
     total = pages.groupBy("book_id").agg(F.countDistinct("page").alias("total"))
     return low.groupBy("book_id", "line").agg(F.count("*").alias("pages")).join(total, "book_id").where(f"pages >= greatest({least_pages}, bround({least_share!r}D * total))").select("book_id", "line", "pages")
 

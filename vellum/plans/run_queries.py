@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import settings
 from ..functions import image
 from ..functions import text as t
-from ..functions import metrics
+from ..functions import metrics, quality
 from ..operators import artifacts, engines, layout, log, ordering, render, validate
 from ..sources import files, pdf, synthetic, tables, text_layer
 from ..streaming import log as slog
@@ -362,8 +362,9 @@ SELECT d.book_id, txt_md5, n_flagged, coalesce(stamp_lines, '') AS stamp_lines F
 def book_products(spark, sf_dir):
     """Products of scored pages under settings of their own: fewer pages make a stamp, and another page marker."""
     how = settings.load(overrides={"stamps.least_share": "0.05", "output.marker": "[{page}]"})
-    made = two_pass.products(tables.with_regions(base._scored(spark, sf_dir)), how)
-    return made["txt"].join(made["qc"], "book_id").selectExpr("book_id", "md5(document) AS txt_md5", "n_flagged", "array_join(stamp_lines, '|') AS stamp_lines")
+    scored = base._scored(spark, sf_dir).withColumn("flagged", F.expr(quality.flagged()))
+    made = two_pass.products(tables.with_regions(scored), how)
+    return made["txt_md5"].join(made["qc"], "book_id").selectExpr("book_id", "md5 AS txt_md5", "n_flagged", "array_join(stamp_lines, '|') AS stamp_lines")
 
 
 # Images and engines ---------------------------------------------------------------------------------------------------

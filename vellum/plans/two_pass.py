@@ -32,11 +32,11 @@ def repaired(images: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def products(pages: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Canonical pages (with regions, page_height, tier, confidence, warnings) -> stamps, txt and md (a document a book), qc (a row a book)."""
+    """Canonical pages (with regions, page_height, tier, confidence, warnings) -> stamps, txt and md (a document a book), txt_md5 (its digest, for books of any size), qc (a row a book)."""
     how, out = settings.stamps, settings.output
     found = stamps.stamp_lines(pages, how.band, how.least_pages, how.least_share)
     body = render.body_regions(pages, found)
-    return {"stamps": found, "txt": render.txt(body, out.marker), "md": render.markdown(body, out.heading), "qc": render.qc_report(pages, found)}
+    return {"stamps": found, "txt": render.txt(body, out.marker), "txt_md5": render.txt_digests(body, out.marker), "md": render.markdown(body, out.heading), "qc": render.qc_report(pages, found)}
 
 
 def judged(readings: DataFrame, rules: Rules) -> DataFrame:

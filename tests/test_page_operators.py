@@ -386,3 +386,20 @@ def test_flagged_pages_by_the_first_rule_that_holds(spark):
         scored = quality.score_pages(spark.createDataFrame(rows, "text string, confidence double"), rules)
         got = scored.selectExpr(f"{quality.flagged(rules=rules)} AS quick", "tier IN ('LOW', 'CRITICAL') OR size(warnings) > 0 AS full").collect()
         assert [r.quick for r in got] == [r.full for r in got] and {r.full for r in got} == {True, False}
+
+
+def test_labels_are_sent_to_the_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "s", "a"), (2, "s", None), (3, "t", "c")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 0), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        sent = tables.pages(spark, str(tmp_path), False)
+        monkeypatch.setattr(tables, "SENT", 2)
+        dealt = tables.pages(spark, str(tmp_path), False)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (sent, dealt)]
+        assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+        want = [("s", 1, "a", 92.0), ("s", 2, None, None), ("t", 3, "c", 48.0)]
+        assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, dealt.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

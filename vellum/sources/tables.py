@@ -26,9 +26,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Labels (two numbers each) that are sent to every task; more of them meet the texts by a shuffle.
+SENT = 4_000_000
+
+
 def pages(spark: SparkSession, sf_dir: str, script_pages: bool = True) -> DataFrame:
-    """book_id, page, text, confidence. Confidence comes from labels (1: 92, 0: 48), null where there is none."""
+    """book_id, page, text, confidence. Confidence comes from labels (1: 92, 0: 48), null where there is none.
+
+    Labels are counted, as Spark's own limit may be low and texts are a thousand times the size of what a shuffle would bring them.
+    """
     labels = read(spark, sf_dir, "labels").selectExpr("doc_id", "CASE quality WHEN 1 THEN 92D WHEN 0 THEN 48D END AS confidence")
+    labels = F.broadcast(labels) if labels.count() <= SENT else labels
     out = read(spark, sf_dir, "documents").select("doc_id", "source", "text").join(labels, "doc_id", "left").selectExpr("source AS book_id", "doc_id AS page", "text", "confidence")
     if script_pages:
         out = out.unionByName(spark.createDataFrame([("script", p, x, c) for p, x, c in SCRIPT_PAGES], "book_id string, page bigint, text string, confidence double"))
